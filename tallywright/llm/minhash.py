@@ -31,6 +31,14 @@ BANDS = 40
 ROWS = 5
 
 
+def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """n x bands hashes of a sketch's bands, different for each band."""
+    keys = np.zeros((len(sketch), bands), np.uint64)
+    for r in range(rows):
+        keys = K.mix(keys * np.uint64(31) + sketch[:, r::rows] + np.uint64(r))
+    return K.mix(keys + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(K.BASE)).view(np.int64)
+
+
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = K.SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, same, bands): size of the shingle set, a 128-bit digest of it, band hashes.
 
@@ -44,17 +52,14 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int
                 h, doc = K.distinct_sorted(*K.shingle_hashes(*K.word_hashes(c), shingle))
                 n = np.bincount(doc, minlength=c.n)
                 sketch = K.one_permutation(h, doc, c.n, bands * rows, probes)
-                keys = np.zeros((c.n, bands), np.uint64)
-                for r in range(rows):
-                    keys = K.mix(keys * np.uint64(31) + sketch[:, r::rows] + np.uint64(r))
-                keys = K.mix(keys + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(K.BASE))
+                keys = band_keys(sketch, bands, rows)
                 some = n > 0
                 digest = np.zeros((c.n, 2), np.uint64)
                 if len(h):
                     at = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
                     digest[some, 0] = np.add.reduceat(h, at)
                     digest[some, 1] = np.bitwise_xor.reduceat(K.mix(h + np.uint64(1)), at)
-                flat = pa.array(keys[some].reshape(-1).view(np.int64))
+                flat = pa.array(keys[some].reshape(-1))
                 ends = np.concatenate(([0], np.cumsum(some * bands))).astype(np.int32)
                 same = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), c.n, [None, pa.py_buffer(np.ascontiguousarray(digest).tobytes())]).cast(pa.binary())
                 same = pa.compute.if_else(pa.array(some), same, pa.scalar(None, pa.binary()))
@@ -84,14 +89,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle
             total = np.cumsum(np.maximum.reduce(list(sizes)))
             at, n = 0, batch.num_rows
             while at < n:
-                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + K.CHUNK_BYTES, side="right")))
+                to = min(at + K.CHUNK_ROWS, max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + K.CHUNK_BYTES, side="right"))))
                 part = batch.slice(at, to - at)
                 (h_a, doc_a), (h_b, doc_b) = sets(part.column("text_a")), sets(part.column("text_b"))
                 h, doc = np.concatenate((h_a, h_b)), np.concatenate((doc_a, doc_b))
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                twice = np.flatnonzero((h[1:] == h[:-1]) & (doc[1:] == doc[:-1]))
-                common = np.bincount(doc[twice], minlength=to - at)
+                keyed = np.sort(K.keyed(h, doc))
+                common = np.bincount((keyed[1:][keyed[1:] == keyed[:-1]] >> np.uint64(K.HASH_BITS)).astype(np.int64), minlength=to - at)
                 union = np.bincount(doc, minlength=to - at) - common
                 keep = pa.array((common > 0) & (100 * common >= percent * union))
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
@@ -101,19 +104,20 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle
 
 
 #: Bins of the second round's sketches, kept as one byte each, and rows of a bucket's tile.
-SIGNATURE = 512
+SIGNATURE = 1024
 TILE = 1024
 
 
-def likely(met: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle: int = K.SHINGLE) -> DataFrame:
+def likely(met: DataFrame, docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, shingle: int = K.SHINGLE) -> DataFrame:
     """Pairs (a, b) with different labels in one bucket of ``met`` that may be similar enough.
 
     ``met`` has key, doc_id, n_shingles, label. A pair goes on if its sizes allow the similarity and its
     one-byte sketches agree in a share of bins no more than five standard deviations below it (one pair
-    in three million at the very threshold is missed). Large buckets are cut into tiles that meet
-    pairwise, so a task holds two tiles at most.
+    in three million at the very threshold is missed). A pair is looked at only in the bucket of its
+    first common band, so it comes once. Large buckets are cut into tiles that meet pairwise, so a task
+    holds two tiles at most.
     """
-    probes = K.probe_table(SIGNATURE)
+    probes, band_probes = K.probe_table(SIGNATURE), K.probe_table(bands * rows)
     j = percent / 100
     chance = j + (1 - j) / 256
     least = SIGNATURE * (chance - 5 * (chance * (1 - chance) / SIGNATURE) ** 0.5)
@@ -122,8 +126,9 @@ def likely(met: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle: int
         for batch in batches:
             for c in K.chunks(batch.column("text")):
                 h, doc = K.distinct_sorted(*K.shingle_hashes(*K.word_hashes(c), shingle))
-                low = K.one_permutation(h, doc, c.n, SIGNATURE, probes).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.first_row, c.n), pa.array([x.tobytes() for x in low], pa.binary())], ["id", "sign"])
+                low = K.mix(K.one_permutation(h, doc, c.n, SIGNATURE, probes)).astype(np.uint8)
+                keys = band_keys(K.one_permutation(h, doc, c.n, bands * rows, band_probes), bands, rows)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.first_row, c.n), pa.array([x.tobytes() + k.tobytes() for x, k in zip(low, keys)], pa.binary())], ["id", "sign"])
 
     signs = only(docs.select("doc_id", "text"), "doc_id", met.select("doc_id")).mapInArrow(sign, "id long, sign binary")
     cuts = met.groupBy("key").agg(F.ceil(F.count("*") / TILE).alias("cuts")).select(F.col("key").alias("k"), "cuts")
@@ -132,26 +137,30 @@ def likely(met: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle: int
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "doc_id", "n_shingles", "label")
     )
-    rows = tiles.join(signs, F.col("doc_id") == F.col("id")).drop("id")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
+    signed = tiles.join(signs, F.col("doc_id") == F.col("id")).drop("id")
+    signed = signed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, jj), rows in grouped(batches, ("key", "i", "j")):
-            ids, n, label = (rows.column(x).to_numpy() for x in ("doc_id", "n_shingles", "label"))
-            left = rows.column("left").to_numpy(zero_copy_only=False)
-            sig = np.frombuffer(b"".join(rows.column("sign").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+        for (key, i, jj), part in grouped(batches, ("key", "i", "j")):
+            ids, n, label = (part.column(x).to_numpy() for x in ("doc_id", "n_shingles", "label"))
+            left = part.column("left").to_numpy(zero_copy_only=False)
+            raw = np.frombuffer(b"".join(part.column("sign").to_pylist()), np.uint8).reshape(len(ids), -1)
+            sig, keys = raw[:, :SIGNATURE], np.ascontiguousarray(raw[:, SIGNATURE:]).view(np.int64)
             a = np.arange(len(ids)) if i == jj else np.flatnonzero(left)
             b = a if i == jj else np.flatnonzero(~left)
-            found: list[np.ndarray] = []
+            found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
             for x in a:
                 y = b[b > x] if i == jj else b
                 y = y[(label[y] != label[x]) & (ids[y] != ids[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
-                y = y[(sig[y] == sig[x]).sum(1) >= least]
-                found.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]))
-            both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+                if len(y):
+                    common = keys[y] == keys[x]
+                    y = y[common.any(1) & (keys[x][common.argmax(1)] == key)]
+                    y = y[(sig[y] == sig[x]).sum(1) >= least]
+                    found.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]))
+            both = np.concatenate(found, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
-    return rows.mapInArrow(compare, "a long, b long").distinct()
+    return signed.mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, shingle: int = K.SHINGLE) -> DataFrame:
@@ -190,7 +199,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     )
     open_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("key").alias("k"))
     open_rows = stored(placed.join(open_keys, F.col("key") == F.col("k")).select("key", "doc_id", "n_shingles", "label"), "open")
-    rest = likely(open_rows, docs, percent, shingle)
+    rest = likely(open_rows, docs, percent, bands, rows, shingle)
     more = stored(confirmed(rest, docs, percent, shingle), "links")
     joined = components(first.filter("node <> component").toDF("a", "b").union(more))
     out = sk.join(joined, F.col("doc_id") == F.col("node"), "left")
