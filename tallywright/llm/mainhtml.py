@@ -45,9 +45,10 @@ BROADCAST_HOSTS = 20_000
 
 @dataclass
 class Parsed:
-    """A page's text blocks and its containers: parent, key, first block, end block."""
+    """A page's text blocks, their characters outside links, and its containers: parent, key, first block, end block."""
 
     blocks: list[str] = field(default_factory=list)
+    weights: list[int] = field(default_factory=list)
     nodes: list[list] = field(default_factory=list)
 
     def path(self, i: int) -> str:
@@ -84,14 +85,17 @@ def parse(page: str) -> Parsed:
     pieces: list[str] = []
     stack: list[tuple[str, int, bool]] = []  # tag, node or -1, skipped
     open_tags: Counter[str] = Counter()
-    skipping, node, at, n, quoted = 0, -1, 0, len(page), True
+    skipping, node, at, n, quoted, linked = 0, -1, 0, len(page), True, 0
 
     def flush() -> None:
+        nonlocal linked
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
                 out.blocks.append(text)
+                out.weights.append(max(0, len(text) - linked))
+            linked = 0
 
     def pop() -> None:
         nonlocal skipping, node
@@ -110,6 +114,7 @@ def parse(page: str) -> Parsed:
             lt = n
         if lt > at and not skipping:
             pieces.append(page[at:lt])
+            linked += lt - at if open_tags["a"] else 0
         if lt == n:
             break
         if page.startswith("<!--", lt):
@@ -185,12 +190,12 @@ def parse(page: str) -> Parsed:
 
 
 def best_container(p: Parsed) -> tuple[int, int]:
-    """The container that holds the page's main text (-1: the page itself), and its characters.
+    """The container that holds the page's main text (-1: the page itself), and its characters outside links.
 
     The largest article or main element that holds half of the text; else, from the top, the child that
     holds DESCEND of its parent's text, as long as there is one.
     """
-    total = [0, *accumulate(len(b) for b in p.blocks)]
+    total = [0, *accumulate(p.weights)]
     size = lambda i: total[p.nodes[i][3]] - total[p.nodes[i][2]]
     whole = total[-1]
     named = [i for i, x in enumerate(p.nodes) if x[1].split(".")[0] in ("article", "main") and 2 * size(i) >= whole > 0]

@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywright.llm import kernels as K
 from tallywright.llm.common import stored
+from tallywright.llm.tokenids import Encoder
 
 CAPACITY = 2048
 END_ID = 0
 #: Slices in which the pieces of one length are ranked independently.
 SLICES = 256
-#: Distinct words whose ids a task remembers.
-REMEMBERED = 300_000
 
 
 @dataclass
@@ -180,41 +180,6 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return plan
 
 
-def word_ids(tokenizer_path: str):
-    """A function from a text to its token ids as little-endian unsigned 32-bit bytes.
-
-    The tokenizer drops white space and no token spans it, so a text's ids are those of its words one
-    after another, and each distinct word is encoded once. A text with control characters that only
-    Python takes for white space is encoded as a whole.
-    """
-    import re
-
-    import numpy as np
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    odd = re.compile("[\\x1c-\\x1f]")
-
-    def encode(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    class Words(dict):
-        def __missing__(self, word: str) -> bytes:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            ids = encode(word)
-            if len(word) <= 64:
-                self[word] = ids
-            return ids
-
-    words = Words()
-
-    def ids(text: str) -> bytes:
-        return encode(text) if odd.search(text) else b"".join([words[w] for w in text.split()])
-
-    return ids
-
-
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -222,14 +187,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     """(doc_id, piece, start, length, ids_crc32): each document's ids and ``end_id``, cut at ``capacity``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = word_ids(tokenizer_path), end_id.to_bytes(4, "little")
+        encoder, end = Encoder.of(tokenizer_path), end_id.to_bytes(4, "little")
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                data = ids(text.as_py() or "") + end
-                for i, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    rows.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part)))
+            docs_of, rows = batch.column("doc_id").to_pylist(), []
+            for c in K.chunks(batch.column("text")):
+                ids, bounds = encoder.chunk(c)
+                raw, bounds = ids.astype("<u4").tobytes(), (4 * bounds).tolist()
+                for k in range(c.n):
+                    data = raw[bounds[k] : bounds[k + 1]] + end
+                    for i, at in enumerate(range(0, len(data), 4 * capacity)):
+                        part = data[at : at + 4 * capacity]
+                        rows.append((docs_of[c.first_row + k], i, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECE)] if rows else [pa.array([], f.type) for f in PIECE], schema=PIECE)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -77,7 +77,7 @@ class Level:
 
 def places(key: Column, seed: int, bits: int) -> list[Column]:
     """The bit numbers of a key by double hashing."""
-    one, two = F.xxhash64(key, F.lit(seed)), F.xxhash64(F.lit(seed + 1), key)
+    one, two = (F.pmod(h, F.lit(1 << 40)) for h in (F.xxhash64(key, F.lit(seed)), F.xxhash64(F.lit(seed + 1), key)))
     return [F.pmod(one + F.lit(i) * two, F.lit(bits)) for i in range(HASHES)]
 
 

@@ -133,7 +133,7 @@ def deduplicated(spark: SparkSession, source: str, path: str, least: int = LEAST
 
     Headers are shuffled by digest; revisits already there are pointed at the original that remains.
     """
-    records = with_payloads(read_archives(spark, source)).withColumn("payload", F.decode("payload", F.lit("UTF-8")))
+    records = with_payloads(read_archives(spark, source)).withColumn("payload", F.decode("payload", "UTF-8"))
     write_archives(resolved(records.drop("record_type", "refers_to"), originals(records, least)), path)
 
 
