@@ -100,18 +100,22 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _add(self, keys: np.ndarray, words: list[str], odd: np.ndarray) -> None:
-        """Encode new words; the token that ends a run tells where the next begins."""
+        """Encode new words; the tokens that end a run, one for each digit, tell where the next begins."""
         plain = [w for w, o in zip(words, odd) if not o]
         ids = self.encode(" ".join(plain)) if plain else np.zeros(0, np.uint32)
         cut = np.flatnonzero(self.ends[ids]) + 1
-        parts: list[np.ndarray] = []
-        if len(cut) == len(plain) and (not len(cut) or cut[-1] == len(ids)) and not odd.any():
-            counts, flat = np.diff(cut, prepend=0), ids
-        else:
-            split = np.split(ids, cut)[:-1] if len(cut) == len(plain) and len(cut) and cut[-1] == len(ids) else [self.encode(w) for w in plain]
-            own = iter(split)
+        upto = np.cumsum([len(w) if "0" <= w[0] <= "9" else 1 for w in plain], dtype=np.int64)
+        if len(plain) and (len(cut) != upto[-1] or cut[-1] != len(ids)):  # not the tokenizer's runs after all
+            parts = [self.encode(w) for w in plain]
+            ids, cut = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        elif len(plain):
+            cut = cut[upto - 1]
+        counts, flat = np.zeros(len(words), np.int64), ids
+        counts[~odd] = np.diff(cut, prepend=0)
+        if odd.any():
+            own = iter(np.split(ids, cut[:-1]) if len(plain) else [])
             parts = [self.encode(w) if o else next(own) for w, o in zip(words, odd)]
-            counts, flat = np.array([len(p) for p in parts], np.int64), np.concatenate(parts) if parts else ids[:0]
+            counts, flat = np.array([len(p) for p in parts], np.int64), np.concatenate(parts)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.ids[self.used : self.used + len(flat)] = flat
