@@ -1,10 +1,447 @@
-"""Registered queries over the driver's tables and the SQL they are held against."""
+"""Registered queries over the driver's tables, and DuckDB SQL with the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallywright.functions import multiplicity
+from tallywright.functions import textprep
+from tallywright.operators import crosstab as ct
+from tallywright.operators import hygiene, models, multiselect, openends, weighting
+from tallywright.operators import profile as profiling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+
+
+# --- crosstabs ---------------------------------------------------------------
+
+_CELLS = """
+    WITH base AS (SELECT o_orderpriority AS label, o_orderstatus AS banner, o_totalprice / 1000 AS w FROM orders),
+    long AS (SELECT label, w, 'Total' AS col, 0 AS col_ord FROM base
+        UNION ALL SELECT label, w, banner, b.ord FROM base JOIN (SELECT v, row_number() OVER (ORDER BY v) AS ord FROM (SELECT DISTINCT banner AS v FROM base)) b ON banner = v),
+    bases AS (SELECT col, col_ord, count(*) AS n, sum(w) AS sw, sum(w) * sum(w) / sum(w * w) AS raw FROM long GROUP BY 1, 2),
+    lines AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS row_ord FROM base GROUP BY 1),
+    cells AS (SELECT l.row_ord, l.label, b.col, b.col_ord, b.n, b.sw, round(b.raw, 1) AS neff, coalesce(sum(x.w), 0) / b.sw AS p
+        FROM lines l CROSS JOIN bases b LEFT JOIN long x ON x.label = l.label AND x.col_ord = b.col_ord GROUP BY 1, 2, 3, 4, 5, 6, 7)"""
+
+
+@query(_CELLS + """
+    SELECT CAST(row_ord AS INTEGER) AS row_ord, label, CAST(col_ord AS INTEGER) AS col_ord, col AS col_label, n AS base_n, round(sw, 1) AS base_w, neff, neff < 30 AS small_base, round(p, 6) AS value FROM cells""")
+def crosstab_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bases, effective bases and weighted shares of priority by status, weighted by price."""
+    df = read(spark, sf_dir, "orders").withColumn("w", F.col("o_totalprice") / 1000)
+    t = ct.crosstab(df, "o_orderpriority", ["o_orderstatus"], "w")
+    return t.select(F.col("row_ord").cast("int"), "label", F.col("col_ord").cast("int"), "col_label", "base_n", "base_w", "neff", "small_base", F.round("value", 6).alias("value"))
+
+
+@query(_CELLS + """,
+    pairs AS (SELECT a.row_ord, a.col_ord AS i, b.col_ord AS j, chr(CAST(64 + a.col_ord AS INTEGER)) AS li, chr(CAST(64 + b.col_ord AS INTEGER)) AS lj, a.neff AS ni, b.neff AS nj,
+        (a.p - b.p) / sqrt(((a.p * a.neff + b.p * b.neff) / (a.neff + b.neff)) * (1 - (a.p * a.neff + b.p * b.neff) / (a.neff + b.neff)) * (1 / a.neff + 1 / b.neff)) AS z
+        FROM cells a JOIN cells b ON a.row_ord = b.row_ord AND a.col_ord < b.col_ord WHERE a.col_ord > 0),
+    won AS (SELECT row_ord, CASE WHEN z > 0 THEN i ELSE j END AS col_ord, i, j, CASE WHEN abs(z) > 1.959963985 THEN upper(CASE WHEN z > 0 THEN lj ELSE li END) WHEN abs(z) > 1.644853627 THEN lower(CASE WHEN z > 0 THEN lj ELSE li END) END AS m
+        FROM pairs WHERE ni >= 20 AND nj >= 20),
+    letters AS (SELECT row_ord, col_ord, string_agg(m, ' ' ORDER BY i, j) AS letters FROM won WHERE m IS NOT NULL GROUP BY 1, 2),
+    rest AS (SELECT c.*, t.n AS tn, t.neff AS tneff, t.p AS tp, greatest(0, least(1, (t.p * t.n - c.p * c.n) / (t.n - c.n))) AS pr, greatest(1, (t.n - c.n) * t.neff / t.n) AS nr FROM cells c JOIN cells t ON c.row_ord = t.row_ord AND t.col_ord = 0 WHERE c.col_ord > 0),
+    bz AS (SELECT *, (p - pr) / sqrt(((p * neff + pr * nr) / (neff + nr)) * (1 - (p * neff + pr * nr) / (neff + nr)) * (1 / neff + 1 / nr)) AS z FROM rest)
+    SELECT CAST(c.row_ord AS INTEGER) AS row_ord, c.label, CAST(c.col_ord AS INTEGER) AS col_ord, c.col AS col_label, CASE WHEN c.col_ord = 0 THEN '-' ELSE coalesce(l.letters, '') END AS letters,
+        CASE WHEN c.col_ord = 0 THEN '-' WHEN b.neff < 20 OR b.nr < 20 THEN '' WHEN z > 1.959963985 THEN '++' WHEN z > 1.644853627 THEN '+' WHEN z < -1.959963985 THEN '--' WHEN z < -1.644853627 THEN '-' ELSE '' END AS benchmark
+    FROM cells c LEFT JOIN letters l ON c.row_ord = l.row_ord AND c.col_ord = l.col_ord LEFT JOIN bz b ON c.row_ord = b.row_ord AND c.col_ord = b.col_ord""")
+def crosstab_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column letters and rest-of-sample benchmarks of the weighted crosstab."""
+    df = read(spark, sf_dir, "orders").withColumn("w", F.col("o_totalprice") / 1000)
+    t = ct.crosstab(df, "o_orderpriority", ["o_orderstatus"], "w")
+    return t.select(F.col("row_ord").cast("int"), "label", F.col("col_ord").cast("int"), "col_label", "letters", "benchmark")
+
+
+_MEANS = """
+    WITH long AS (SELECT l_linenumber AS x, l_quantity AS w, 'Total' AS col FROM lineitem UNION ALL SELECT l_linenumber, l_quantity, l_returnflag FROM lineitem),
+    m AS (SELECT col, count(*) AS n, sum(w) AS sw, sum(w * w) AS sww, sum(w * x) / sum(w) AS mean, sum(w * x * x) / sum(w) AS sq FROM long GROUP BY 1)"""
+
+
+@query(_MEANS + "SELECT col AS col_label, n AS base_n, round(mean, 6) AS value, round(sqrt((sq - mean * mean) * n / (n - 1)), 6) AS sd, round(sw * sw / sww, 1) AS neff FROM m")
+def crosstab_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted mean and standard deviation of line number by return flag."""
+    t = ct.crosstab(read(spark, sf_dir, "lineitem"), "l_linenumber", ["l_returnflag"], "l_quantity", metric="mean")
+    return t.select("col_label", "base_n", F.round("value", 6).alias("value"), F.round("sd", 6).alias("sd"), "neff")
+
+
+@query("""
+    WITH long AS (SELECT l_linenumber AS x, l_quantity AS w, 'Total' AS col FROM lineitem UNION ALL SELECT l_linenumber, l_quantity, l_returnflag FROM lineitem)
+    SELECT 'NET: Top-2-Box (6-7)' AS label, col AS col_label, round(sum(CASE WHEN x IN (6, 7) THEN w ELSE 0 END) / sum(w), 6) AS value FROM long GROUP BY col""")
+def crosstab_top_two_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-two-box share of line number, a scale of 1 to 7, by return flag."""
+    t = ct.crosstab(read(spark, sf_dir, "lineitem"), "l_linenumber", ["l_returnflag"], "l_quantity", metric="t2b")
+    return t.select("label", "col_label", F.round("value", 6).alias("value"))
+
+
+@query("""
+    WITH top AS (SELECT p_brand, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS r FROM part GROUP BY 1), n AS (SELECT count(*) - 12 AS more FROM top)
+    SELECT CASE WHEN r <= 12 THEN p_brand ELSE 'Other (' || more || ' categories)' END AS label, round(count(*) * 1.0 / (SELECT count(*) FROM part), 6) AS value
+    FROM part JOIN top USING (p_brand), n GROUP BY 1""")
+def crosstab_top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve most frequent brands and the rest."""
+    t = ct.crosstab(read(spark, sf_dir, "part"), "p_brand", ["p_size"])
+    return t.filter("col_ord = 0").select("label", F.round("value", 6).alias("value"))
+
+
+@query()
+def crosstab_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters under false-discovery control for dependent tests."""
+    return rounded(ct.crosstab(read(spark, sf_dir, "lineitem"), "l_linenumber", ["l_returnflag"], "l_quantity", fdr="by"))
+
+
+@query("""
+    WITH c AS (SELECT o_orderpriority AS r, o_orderstatus AS c, sum(o_totalprice) AS w, sum(o_totalprice * o_totalprice) AS ww FROM orders GROUP BY 1, 2),
+    s AS (SELECT r, c, w * sum(w) OVER () / sum(ww) OVER () AS v FROM c),
+    e AS (SELECT v, sum(v) OVER (PARTITION BY r) * sum(v) OVER (PARTITION BY c) / sum(v) OVER () AS e FROM s)
+    SELECT round(sum((v - e) * (v - e) / e), 4) AS stat, (SELECT (count(DISTINCT r) - 1) * (count(DISTINCT c) - 1) FROM c) AS df FROM e""")
+def crosstab_chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chi-square of the weighted table, scaled to the effective base."""
+    t = ct.crosstab_chi_square(read(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", "o_totalprice")
+    return t.select(F.round("stat", 4).alias("stat"), F.col("df").cast("long"))
+
+
+@query("""
+    WITH g AS (SELECT l_returnflag AS g, count(*) AS n, sum(l_quantity) AS w, sum(l_quantity * l_linenumber) AS s, sum(l_quantity * l_linenumber * l_linenumber) AS ss FROM lineitem GROUP BY 1),
+    a AS (SELECT sum(s * s / w) AS a, sum(s) AS s, sum(w) AS w, sum(ss) AS ss, sum(n) AS n, count(*) AS k FROM g)
+    SELECT round(((a - s * s / w) / (k - 1)) / ((ss - a) / (n - k)), 4) AS f, CAST(k - 1 AS BIGINT) AS df1, CAST(n - k AS BIGINT) AS df2 FROM a""")
+def anova(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted one-way analysis of variance of line number by return flag."""
+    return ct.anova(read(spark, sf_dir, "lineitem"), "l_linenumber", "l_returnflag", "l_quantity").select(F.round("f", 4).alias("f"), "df1", "df2")
+
+
+def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event types of each user and day, as a multi-select answer."""
+    t = read(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sort_array(F.collect_set("event_type")).alias("chosen"))
+    return t.withColumn("group", (F.col("user_id") % 3).cast("string")).withColumn("answer", F.array_join(F.transform("chosen", F.initcap), ", "))
+
+
+TYPES = ["click", "error", "purchase", "signup", "view"]
+_DAYS = "WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, list_sort(list(DISTINCT event_type)) AS chosen FROM events GROUP BY 1, 2),"
+
+
+@query(_DAYS + """
+    o(v) AS (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')),
+    y AS (SELECT user_id, day, user_id % 3 AS g, v, CASE WHEN list_contains(chosen, v) THEN 1.0 ELSE 0.0 END AS y FROM d, o),
+    n AS (SELECT count(*) AS n FROM d), p AS (SELECT v, avg(y) AS p FROM y GROUP BY 1 HAVING avg(y) > 0 AND avg(y) < 1),
+    x AS (SELECT sum((s - k * p) * (s - k * p) / (k * p) + (s - k * p) * (s - k * p) / (k * (1 - p))) AS x2, count(DISTINCT g) AS gs FROM (SELECT v, g, sum(y) AS s, count(*) AS k FROM y GROUP BY 1, 2) JOIN p USING (v)),
+    c AS (SELECT a.v AS i, b.v AS j, avg(a.y * b.y) AS joint FROM y a JOIN y b USING (user_id, day) GROUP BY 1, 2),
+    r AS (SELECT sum(power(joint - pi.p * pj.p, 2) / (pi.p * (1 - pi.p) * pj.p * (1 - pj.p))) AS f, count(DISTINCT i) AS k FROM c JOIN p pi ON i = pi.v JOIN p pj ON j = pj.v)
+    SELECT round(x2 / (f / k), 4) AS stat, round(k * (gs - 1) / (f / k), 4) AS df FROM x, r""")
+def rao_scott(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second-order Rao-Scott test of event types by user group."""
+    t = ct.rao_scott(user_days(spark, sf_dir), TYPES)
+    return t.select(F.round("stat", 4).alias("stat"), F.round("df", 4).alias("df"))
+
+
+@query(_DAYS + """
+    e AS (SELECT unnest(chosen) AS option FROM d) SELECT upper(option[1]) || option[2:] AS option, count(*) AS n FROM e GROUP BY 1""")
+def option_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options of a comma-joined multi-select answer with their counts."""
+    return multiselect.census_table(user_days(spark, sf_dir), "answer")
+
+
+@query(_DAYS + """
+    m AS (SELECT user_id, day, chosen FROM d) SELECT upper(option[1]) || option[2:] AS option, col AS grp, count(*) AS mentions FROM (SELECT unnest(chosen) AS option, user_id % 3 AS col FROM m) GROUP BY 1, 2""")
+def multi_response_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of each option by group, from the split answers."""
+    t = multiselect.resolved(user_days(spark, sf_dir), "answer", [t.title() for t in TYPES])
+    return t.select(F.explode("chosen").alias("option"), (F.col("user_id") % 3).alias("grp")).groupBy("option", "grp").agg(F.count("*").alias("mentions"))
+
+
+# --- weighting ---------------------------------------------------------------
+
+
+@query("""
+    WITH t(s, share) AS (VALUES ('F', 0.5), ('O', 0.3), ('P', 0.2)), n AS (SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1)
+    SELECT s AS status, n, round(share * (SELECT count(*) FROM orders) / n, 6) AS weight FROM n JOIN t USING (s)""")
+def rake_one_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of one margin."""
+    t = weighting.one_variable_weights(read(spark, sf_dir, "orders"), "o_orderstatus", {"F": 0.5, "O": 0.3, "P": 0.2})
+    return t.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), F.round(F.max("weight"), 6).alias("weight"))
+
+
+@query()
+def rake_two_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted margins after raking two variables: what the targets ask for."""
+    targets = {"o_orderstatus": {"F": 50, "O": 30, "P": 20}, "o_orderpriority": {"1-URGENT": 0.3, "2-HIGH": 0.25, "3-MEDIUM": 0.2, "4-NOT SPECIFIED": 0.15, "5-LOW": 0.1}}
+    t, _ = weighting.rim_weights(read(spark, sf_dir, "orders"), targets)
+    return rounded(weighting.margin_report(t, "weight", "o_orderstatus").union(weighting.margin_report(t, "weight", "o_orderpriority")))
+
+
+@query("""
+    WITH q AS (SELECT quantile_cont(l_extendedprice, 0.95) AS t FROM lineitem),
+    w AS (SELECT l_returnflag, l_extendedprice AS w, CASE WHEN l_extendedprice > t THEN t + ln(1 + l_extendedprice - t) ELSE l_extendedprice END AS x FROM lineitem, q),
+    k AS (SELECT sum(w) / sum(x) AS k FROM w)
+    SELECT l_returnflag, count(*) AS n, round(sum(x * k), 2) AS sum_w, round(sum(x * k) * sum(x * k) / sum(x * k * x * k), 4) AS neff FROM w, k GROUP BY 1""")
+def soft_trim_kish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentile trimming of a weight, then effective bases by group."""
+    t = weighting.soft_trim(read(spark, sf_dir, "lineitem"), "l_extendedprice")
+    return weighting.weight_diagnostics(t, "trimmed", ["l_returnflag"]).select("l_returnflag", "n", F.round("sum_w", 2).alias("sum_w"), F.round("neff", 4).alias("neff"))
+
+
+# --- hygiene and profile -----------------------------------------------------
+
+
+@query("""
+    WITH d AS (SELECT doc_id, count(*) OVER (PARTITION BY upper(trim(text))) > 1 AS twice, n_chars FROM documents), m AS (SELECT median(n_chars) AS m FROM d WHERE n_chars > 0)
+    SELECT flag, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN twice THEN 'DUPLICATE_ID' END, CASE WHEN n_chars IS NULL OR n_chars <= 0 THEN 'INVALID_DURATION' END, CASE WHEN n_chars > 0 AND n_chars < m / 3 THEN 'SPEEDER' END], lambda x: x IS NOT NULL)) AS flag FROM d, m) GROUP BY 1""")
+def hygiene_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate, duration and speeder flags, texts standing for ids and lengths for durations."""
+    t = hygiene.audited(read(spark, sf_dir, "documents"), "text", "n_chars", [], [])
+    return t.select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+
+
+@query("""
+    SELECT o_orderkey FROM (SELECT l_orderkey AS o_orderkey, max(l_linenumber) FILTER (WHERE r = 1) AS a, max(l_linenumber) FILTER (WHERE r = 2) AS b, max(l_linenumber) FILTER (WHERE r = 3) AS c
+        FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS r FROM lineitem) GROUP BY 1)
+    WHERE (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT >= 2 AND least(a, b, c) = greatest(a, b, c)""")
+def straight_liners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose first three lines have the same number, as equal ratings."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+    t = read(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(w)).groupBy("l_orderkey").agg(*[F.max(F.when(F.col("r") == i, F.col("l_linenumber"))).alias(f"q{i}_rating") for i in (1, 2, 3)])
+    return t.filter(hygiene.straight_liner(["q1_rating", "q2_rating", "q3_rating"])).select(F.col("l_orderkey").alias("o_orderkey"))
+
+
+@query()
+def profile_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survey types of the customer columns."""
+    return profiling.profile(read(spark, sf_dir, "customer"))
+
+
+@query("SELECT 'o_orderpriority' AS variable, count(o_orderpriority) AS n, count(DISTINCT o_orderpriority) AS kinds FROM orders UNION ALL SELECT 'o_orderstatus', count(o_orderstatus), count(DISTINCT o_orderstatus) FROM orders UNION ALL SELECT 'o_totalprice', count(o_totalprice), count(DISTINCT o_totalprice) FROM orders")
+def profile_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the profile."""
+    t = profiling.measures(read(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus", F.col("o_totalprice")))
+    return t.select(F.col("column").alias("variable"), F.col("n").cast("long").alias("n"), F.col("distinct").cast("long").alias("kinds"))
+
+
+# --- models ------------------------------------------------------------------
+
+_RANKS = """
+    WITH w AS (SELECT l_linenumber AS y, l_returnflag AS g, l_quantity AS w FROM lineitem WHERE l_quantity > 0){scale},
+    v AS (SELECT y, sum(w) AS yw FROM s GROUP BY 1), r AS (SELECT y, (2 * sum(yw) OVER (ORDER BY y) - yw) / 2 + 0.5 AS r FROM v),
+    t AS (SELECT g, w, r FROM s JOIN r USING (y)), a AS (SELECT sum(w) AS n, sum(w * r) / sum(w) AS m FROM t),
+    va AS (SELECT sum(w * (r - m) * (r - m)) / (max(n) - 1) AS v FROM t, a),
+    gs AS (SELECT g, count(*) AS n, sum(w) AS gw, sum(w) * sum(w) / sum(w * w) AS neff, sum(w * r) / sum(w) AS mr FROM t GROUP BY 1)"""
+
+
+@query(_RANKS.replace("{scale}", ", s AS (SELECT y, g, w * (SELECT sum(w) / sum(w * w) FROM w) AS w FROM w)") + " SELECT round(sum(gw * (mr - m) * (mr - m)) / max(v), 4) AS h, CAST(count(*) - 1 AS BIGINT) AS df, CAST(sum(gs.n) AS BIGINT) AS n FROM gs, a, va")
+def kruskal_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted Kruskal-Wallis of line number by return flag."""
+    return models.kruskal_wallis(read(spark, sf_dir, "lineitem"), "l_linenumber", "l_returnflag", "l_quantity").select(F.round("h", 4).alias("h"), "df", "n")
+
+
+@query(_RANKS.replace("{scale}", ", s AS (SELECT * FROM w)") + " SELECT a.g AS group_a, b.g AS group_b, round(a.mr - b.mr, 3) AS mean_rank_diff, round((a.mr - b.mr) / sqrt(v * (1 / a.neff + 1 / b.neff)), 4) AS z FROM gs a JOIN gs b ON a.g < b.g, va")
+def dunn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted Dunn comparisons."""
+    t = models.dunn(read(spark, sf_dir, "lineitem"), "l_linenumber", "l_returnflag", "l_quantity")
+    return t.select("group_a", "group_b", F.round("mean_rank_diff", 3).alias("mean_rank_diff"), F.round("z", 4).alias("z"))
+
+
+@query("""
+    WITH t AS (SELECT o_totalprice AS x, o_orderstatus AS g FROM orders WHERE o_orderstatus IN ('F', 'O')),
+    r AS (SELECT g, (rank() OVER (ORDER BY x) + (rank() OVER (ORDER BY x) + count(*) OVER (PARTITION BY x) - 1)) / 2.0 AS r FROM t)
+    SELECT round(sum(r) FILTER (WHERE g = 'F') - count(*) FILTER (WHERE g = 'F') * (count(*) FILTER (WHERE g = 'F') + 1) / 2.0, 1) AS u, count(*) FILTER (WHERE g = 'F') AS n_a, count(*) FILTER (WHERE g = 'O') AS n_b FROM r""")
+def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mann-Whitney U of price between two statuses."""
+    return models.mann_whitney(read(spark, sf_dir, "orders"), "o_totalprice", "o_orderstatus", "F", "O").select(F.round("u", 1).alias("u"), "n_a", "n_b")
+
+
+@query("""
+    WITH d AS (SELECT l_linenumber - l_quantity / 7 AS d FROM lineitem WHERE l_linenumber - l_quantity / 7 <> 0),
+    r AS (SELECT d, (2 * rank() OVER (ORDER BY abs(d)) + count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d)
+    SELECT round(least(sum(r) FILTER (WHERE d > 0), sum(r) FILTER (WHERE d < 0)), 1) AS w, count(*) AS n FROM r""")
+def wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wilcoxon's signed ranks of line number against a seventh of quantity."""
+    t = read(spark, sf_dir, "lineitem").withColumn("b", F.col("l_quantity") / 7)
+    return models.wilcoxon(t, "b", "l_linenumber").select(F.round("w", 1).alias("w"), "n")
+
+
+@query("""
+    WITH s AS (SELECT o_orderstatus AS g, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1)
+    SELECT round(a.m, 2) AS mean_a, round(b.m, 2) AS mean_b, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 4) AS t, round(power(a.v / a.n + b.v / b.n, 2) / (power(a.v / a.n, 2) / (a.n - 1) + power(b.v / b.n, 2) / (b.n - 1)), 2) AS df
+    FROM s a, s b WHERE a.g = 'F' AND b.g = 'O'""")
+def welch_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Welch's t of price between two statuses."""
+    t = models.t_test(read(spark, sf_dir, "orders"), "o_totalprice", "o_orderstatus", "F", "O")
+    return t.select(F.round("mean_a", 2).alias("mean_a"), F.round("mean_b", 2).alias("mean_b"), F.round("t", 4).alias("t"), F.round("df", 2).alias("df"))
+
+
+@query("SELECT round(avg(d), 6) AS mean_diff, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 4) AS t, count(*) - 1 AS df FROM (SELECT l_linenumber - l_quantity AS d FROM lineitem)")
+def paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired t of line number and quantity."""
+    return models.paired_t(read(spark, sf_dir, "lineitem"), "l_quantity", "l_linenumber").select(F.round("mean_diff", 6).alias("mean_diff"), F.round("t", 4).alias("t"), "df")
+
+
+@query("""
+    WITH x AS (SELECT l_quantity AS a, l_extendedprice AS b FROM lineitem),
+    r AS (SELECT a, b, 2 * rank() OVER (ORDER BY a) + count(*) OVER (PARTITION BY a) AS ra, 2 * rank() OVER (ORDER BY b) + count(*) OVER (PARTITION BY b) AS rb FROM x)
+    SELECT 'pearson' AS kind, round(corr(a, b), 6) AS r, count(*) AS n FROM r UNION ALL SELECT 'spearman', round(corr(ra, rb), 6), count(*) FROM r""")
+def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pearson and Spearman correlation of quantity and price."""
+    t = read(spark, sf_dir, "lineitem")
+    parts = [models.correlation(t, "l_quantity", "l_extendedprice", k).select(F.lit(k).alias("kind"), F.round("r", 6).alias("r"), "n") for k in ("pearson", "spearman")]
+    return parts[0].union(parts[1])
+
+
+@query("""
+    WITH c AS (SELECT l_linenumber AS x, floor(l_quantity / 10) AS y, CAST(count(*) AS DOUBLE) AS k FROM lineitem GROUP BY 1, 2),
+    s AS (SELECT sum(sign(a.y - b.y) * a.k * b.k) AS s FROM c a JOIN c b ON a.x > b.x), n AS (SELECT sum(k) AS n FROM c),
+    tx AS (SELECT sum(k * (k - 1) / 2) AS t FROM (SELECT x, sum(k) AS k FROM c GROUP BY 1)), ty AS (SELECT sum(k * (k - 1) / 2) AS t FROM (SELECT y, sum(k) AS k FROM c GROUP BY 1))
+    SELECT round(s / sqrt((n * (n - 1) / 2 - tx.t) * (n * (n - 1) / 2 - ty.t)), 6) AS r, CAST(n AS BIGINT) AS n FROM s, n, tx, ty""")
+def kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kendall's tau-b of line number and tens of quantity."""
+    t = read(spark, sf_dir, "lineitem").withColumn("y", F.floor(F.col("l_quantity") / 10))
+    return models.correlation(t, "l_linenumber", "y", "kendall").select(F.round("r", 6).alias("r"), "n")
+
+
+@query("""
+    WITH c AS (SELECT l_returnflag AS r, l_linestatus AS c, count(*) AS v FROM lineitem GROUP BY 1, 2),
+    f AS (SELECT a.r, b.c, coalesce(c.v, 0) AS v FROM (SELECT DISTINCT r FROM c) a CROSS JOIN (SELECT DISTINCT c FROM c) b LEFT JOIN c ON c.r = a.r AND c.c = b.c),
+    e AS (SELECT *, sum(v) OVER (PARTITION BY r) * sum(v) OVER (PARTITION BY c) * 1.0 / sum(v) OVER () AS e FROM f),
+    k AS (SELECT count(DISTINCT r) AS k, count(DISTINCT c) AS m, sum(v) AS n, sum((v - e) * (v - e) / e) AS plain, sum(power(abs(v - e) - least(0.5, abs(v - e)), 2) / e) AS yates FROM e)
+    SELECT round(CASE WHEN (k - 1) * (m - 1) = 1 THEN yates ELSE plain END, 4) AS stat, CAST((k - 1) * (m - 1) AS BIGINT) AS df, round(sqrt(CASE WHEN (k - 1) * (m - 1) = 1 THEN yates ELSE plain END / (n * (least(k, m) - 1))), 6) AS cramers_v FROM k""")
+def chi_square_association(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chi-square and Cramer's v of return flag and line status."""
+    t = models.chi_square_association(read(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
+    return t.select(F.round("stat", 4).alias("stat"), "df", F.round("cramers_v", 6).alias("cramers_v"))
+
+
+@query("SELECT '(intercept)' AS term, round(regr_intercept(l_extendedprice, l_quantity), 2) AS estimate, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 2), round(regr_r2(l_extendedprice, l_quantity), 6) FROM lineitem")
+def linear_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price on quantity."""
+    t = models.linear_regression(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity"])
+    return t.select("term", F.round("estimate", 2).alias("estimate"), F.round("r2", 6).alias("r2"))
+
+
+@query("""
+    WITH c AS (SELECT corr(l_quantity, l_discount) AS r, corr(l_quantity, l_extendedprice) AS a, corr(l_discount, l_extendedprice) AS b FROM lineitem),
+    p AS (SELECT *, (sqrt(1 + r) + sqrt(1 - r)) / 2 AS u, (sqrt(1 + r) - sqrt(1 - r)) / 2 AS v FROM c),
+    s AS (SELECT *, (u * a - v * b) / (u * u - v * v) AS s1, (u * b - v * a) / (u * u - v * v) AS s2 FROM p)
+    SELECT 'l_quantity' AS feature, round(u * u * s1 * s1 + v * v * s2 * s2, 6) AS raw FROM s UNION ALL SELECT 'l_discount', round(v * v * s1 * s1 + u * u * s2 * s2, 6) FROM s""")
+def relative_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Johnson's relative weights of two predictors of price."""
+    return models.relative_weights(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"]).select("feature", F.round("raw", 6).alias("raw"))
+
+
+@query()
+def quadrant_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance and performance of line attributes for price."""
+    return rounded(models.quadrants(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_linenumber", "l_quantity", "l_discount", "l_tax"]))
+
+
+@query(_DAYS + """
+    o(v) AS (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')), c AS (SELECT a.v AS a, b.v AS b FROM o a JOIN o b ON a.v < b.v),
+    s AS (SELECT a || ' + ' || b AS items, avg(CASE WHEN list_contains(chosen, a) OR list_contains(chosen, b) THEN 1.0 ELSE 0.0 END) AS reach,
+        sum(list_contains(chosen, a)::INT + list_contains(chosen, b)::INT) * 1.0 / sum((list_contains(chosen, a) OR list_contains(chosen, b))::INT) AS f FROM d, c GROUP BY a, b)
+    SELECT items, round(reach, 6) AS reach, round(f, 6) AS frequency FROM s""")
+def turf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reach of pairs of event types over user days."""
+    t = models.turf(user_days(spark, sf_dir), [F.array_contains("chosen", e) for e in TYPES], TYPES, 2, 10)
+    return t.select("items", F.round("reach", 6).alias("reach"), F.round("frequency", 6).alias("frequency"))
+
+
+@query("""
+    WITH p AS (SELECT l_orderkey AS k, CAST(l_discount * 5 AS DOUBLE) AS p FROM (SELECT l_orderkey, avg(l_discount) AS l_discount FROM lineitem GROUP BY 1)),
+    f AS (SELECT k, p, k % 7 AS fam FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY p, k) AS r, count(*) OVER (PARTITION BY fam) AS m FROM f)
+    SELECT k, round(least(1.0, min(p * m / r) OVER (PARTITION BY fam ORDER BY r DESC)), 6) AS bh, round(least(1.0, max(p * (m - r + 1)) OVER (PARTITION BY fam ORDER BY r)), 6) AS holm FROM r""")
+def adjusted_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benjamini-Hochberg and Holm adjustment of ratios, in families."""
+    t = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg((F.avg("l_discount") * 5).alias("p")).withColumn("fam", F.col("k") % 7)
+    t = multiplicity.adjusted(t, "p", ["fam"], "bh", ["k"], "bh")
+    t = multiplicity.adjusted(t, "p", ["fam"], "holm", ["k"], "holm")
+    return t.select("k", F.round("bh", 6).alias("bh"), F.round("holm", 6).alias("holm"))
+
+
+@query("SELECT 'l_quantity' AS variable, count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS sd, min(l_quantity) AS minimum, max(l_quantity) AS maximum FROM lineitem UNION ALL SELECT 'l_discount', count(l_discount), round(avg(l_discount), 6), round(stddev_samp(l_discount), 6), min(l_discount), max(l_discount) FROM lineitem")
+def descriptives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n, mean, standard deviation and range."""
+    return rounded(models.descriptives(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"]), 6)
+
+
+# --- open ends ---------------------------------------------------------------
+
+
+@query("""
+    WITH l AS (SELECT doc_id, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY 1)
+    SELECT count(*) AS n, round(avg(CASE WHEN q = t THEN 1.0 ELSE 0.0 END), 6) AS exact, round(avg(CASE WHEN q = t THEN 1.0 ELSE 0.0 END), 6) AS jaccard FROM l""")
+def coder_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of two label sets, as two coders."""
+    t = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
+    mark = lambda c: F.when(F.col(c) == 1, F.array(F.lit("1"))).otherwise(F.array(F.lit("0")))
+    return models.agreement(t, mark("q"), mark("t")).select("n", F.round("exact", 6).alias("exact"), F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("""
+    WITH t AS (SELECT l_orderkey AS r, p_type AS net, p_brand AS subnet, p_size AS leaf FROM lineitem JOIN part ON l_partkey = p_partkey), b AS (SELECT count(DISTINCT r) AS b FROM t)
+    SELECT 1 AS level, net, NULL AS subnet, CAST(NULL AS INTEGER) AS leaf, count(DISTINCT r) AS n, round(count(DISTINCT r) * 100.0 / max(b), 4) AS pct FROM t, b GROUP BY net
+    UNION ALL SELECT 2, net, subnet, NULL, count(DISTINCT r), round(count(DISTINCT r) * 100.0 / max(b), 4) FROM t, b GROUP BY net, subnet
+    UNION ALL SELECT 3, net, subnet, leaf, count(DISTINCT r), round(count(DISTINCT r) * 100.0 / max(b), 4) FROM t, b GROUP BY net, subnet, leaf""")
+def hierarchy_nets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by part type, brand and size, every level without double counting."""
+    t = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return openends.hierarchy(t, "l_orderkey", "p_type", "p_brand", "p_size").select("level", "net", "subnet", "leaf", "n", F.round("pct", 4).alias("pct"))
+
+
+@query("""
+    SELECT conv_id, turn, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM conversations""")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of letters and digits per turn."""
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)).cast("long").alias("n"))
+
+
+@query("""
+    WITH f AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS n FROM documents) SELECT doc_id, n FROM f WHERE n > 0""".replace("\\\\", "\\"))
+def masked_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses that the survey scrubber masks, by document."""
+    t = read(spark, sf_dir, "documents").withColumn("n", F.regexp_count(textprep.masked_numbers(F.col("text")), F.lit(r"\[EMAIL\]")).cast("long"))
+    return t.filter("n > 0").select("doc_id", "n")
+
+
+CODEFRAME = {
+    "schema_version": 1, "id": "shop", "name": "Shop", "domain": "consumer",
+    "topics": [
+        {"id": "price", "net": "Offer", "subnet": "Price", "codes": {"pos": {"code_id": 101, "label": "Good price"}, "neg": {"code_id": 102, "label": "Poor price"}}, "keywords": ["price", "cost", "presyo"], "pos_keywords": ["cheap", "mura"], "neg_keywords": ["expensive", "mahal"]},
+        {"id": "service", "net": "Service", "subnet": "Staff", "codes": {"pos": {"code_id": 111, "label": "Good service"}, "neg": {"code_id": 112, "label": "Poor service"}}, "keywords": ["staff", "service", "cashier"], "pos_keywords": ["friendly", "helpful"], "neg_keywords": ["rude", "slow"]},
+    ],
+}
+
+
+@query()
+def coded_open_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentiment and themes of all conversation turns."""
+    t = read(spark, sf_dir, "conversations").withColumn("response_id", F.concat_ws("-", "conv_id", "turn"))
+    return openends.coded(t, "text", CODEFRAME).select("conv_id", "turn", "coded.sentiment", "coded.score", "coded.needs_review", F.transform("coded.themes", lambda x: x["code_id"]).alias("codes"))
+
+
+@query("""
+    WITH h AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('split' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents)
+    SELECT doc_id, CASE WHEN r <= round(n * 0.7) THEN 'train' ELSE 'test' END AS part FROM h""")
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A salted, stratified split of the documents."""
+    return openends.stratified_split(read(spark, sf_dir, "documents"), ["lang"], "doc_id").select("doc_id", "part")
