@@ -211,17 +211,13 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     Repeated rows and null doc_ids are packed like any others. Other columns are not read. An empty
     table gives no rows.
 
-    The driver gets the number of pieces of each length and slice: capacity x SLICES numbers at most.
+    The driver gets the number of pieces of each length: ``capacity`` numbers at most.
     """
     spark = docs.sparkSession
     cut = stored(pieces(docs, tokenizer_path, capacity, end_id), "pieces")
     cut = cut.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SLICES)).cast("int"))
-    tally = {(r.length, r.slice): r.n for r in cut.groupBy("length", "slice").agg(F.count("*").alias("n")).collect()}
-    counts: dict[int, int] = {}
-    starts = []
-    for (length, at), n in sorted(tally.items()):
-        starts.append((int(length), int(at), counts.get(length, 0)))
-        counts[length] = counts.get(length, 0) + n
+    tally = stored(cut.groupBy("length", "slice").agg(F.count("*").alias("n")), "tally")
+    counts = {int(r.length): r.n for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = plan_packing(counts, capacity)
     runs = []
     for length, parts in plan.runs.items():
@@ -229,15 +225,16 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         for n, first, each, offset in parts:
             runs.append((length, at, at + n, first, each, offset))
             at += n
-    # Both tables are bounded by the capacity and the slices, so they are broadcast.
-    start_df = spark.createDataFrame(starts, "l long, s int, ahead long")
+    before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    start_df = tally.select(F.col("length").alias("l"), F.col("slice").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     by_length: dict[int, list] = {}
     for length, *run in runs:
         by_length.setdefault(length, []).append(tuple(run))
     run_df = spark.createDataFrame([(k, v) for k, v in by_length.items()], "k long, runs array<struct<lo:long,hi:long,first:long,each:long,offset:long>>")
     in_slice = Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "ids_crc32")
     ranked = cut.withColumn("r", F.row_number().over(in_slice) - 1)
-    ranked = ranked.join(F.broadcast(start_df), F.expr("length = l and slice = s")).withColumn("r", F.col("r") + F.col("ahead"))
+    ranked = ranked.join(start_df, F.expr("length = l and slice = s")).withColumn("r", F.col("r") + F.col("ahead"))
+    # A row per length, so at most ``capacity``; its runs are bounded by the capacity too.
     placed = ranked.join(F.broadcast(run_df), F.col("length") == F.col("k"))
     placed = placed.withColumn("run", F.expr("filter(runs, x -> x.lo <= r and r < x.hi)[0]"))
     return placed.select(
