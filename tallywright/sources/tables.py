@@ -13,6 +13,9 @@ from tallywright.sources import workbook
 
 ENCODINGS = ("utf-8", "windows-1252", "ISO-8859-1")
 SEPARATORS = (",", ";", "\t", "|")
+#: Spark reads no windows-1252: its text is read as ISO-8859-1, whose control characters it uses for signs.
+C1 = "".join(map(chr, range(0x80, 0xA0)))
+WINDOWS = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0))
 
 
 def sniff(head: bytes) -> tuple[str, str]:
@@ -36,7 +39,9 @@ def read_csv(spark: SparkSession, path: str, promote: bool = True) -> DataFrame:
     """All columns as text first; only an empty cell is missing, so "NA" stays. Numbers are promoted if all are."""
     head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536).alias("h")).first()
     encoding, sep = sniff(bytes(head.h) if head else b"")
-    df = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("nullValue", "").option("multiLine", True).option("escape", '"').csv(path)
+    df = spark.read.option("header", True).option("sep", sep).option("encoding", "ISO-8859-1" if encoding == "windows-1252" else encoding).option("nullValue", "").option("multiLine", True).option("escape", '"').csv(path)
+    if encoding == "windows-1252":
+        df = df.select(*[F.translate(c, C1, WINDOWS).alias(c.translate(str.maketrans(C1, WINDOWS))) for c in df.columns])
     df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
     return promoted(df) if promote else df
 
