@@ -9,12 +9,14 @@ replaced by its class wherever it occurs, from REMOVE on it is removed.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm.common import stored
@@ -98,6 +100,26 @@ def words(text: str) -> Iterator[tuple[str, int, int]]:
             yield core.translate(_FOLD), at, at + len(core)
 
 
+_CORES: dict[str, str] = {}
+
+
+def cores(text: str) -> set[str]:
+    """The distinct folded words of a text, as ``words`` gives them; forms seen before are looked up."""
+    out = set()
+    for raw in set(_WORD.findall(text)):
+        core = _CORES.get(raw)
+        if core is None:
+            core = raw.strip(_EDGES)
+            core = core.translate(_FOLD) if len(core) >= 3 else ""
+            if len(_CORES) > 300_000:
+                _CORES.clear()
+            if len(raw) <= 64:
+                _CORES[raw] = core
+        out.add(core)
+    out.discard("")
+    return out
+
+
 def surroundings(text: str) -> Iterator[tuple[str, list[str]]]:
     """(entity, the words within NEAR words of it, base spans left out) for each base span."""
     found = base_spans(text)
@@ -106,8 +128,6 @@ def surroundings(text: str) -> Iterator[tuple[str, list[str]]]:
         return
     plain = [(w, a, b) for w, a, b in words(text) if not any(a < e and s < b for s, e, _ in spans)] if len(spans) < 50 else _outside(text, spans)
     starts = [a for _, a, _ in plain]
-    import bisect
-
     for a, b, kind in spans:
         i = bisect.bisect_left(starts, a)
         yield f"{kind}:{text[a:b].translate(_FOLD)}", [w for w, _, _ in plain[max(0, i - NEAR) : i + NEAR]]
@@ -135,68 +155,77 @@ def _clean(docs: DataFrame) -> DataFrame:
 
 
 def entity_terms(docs: DataFrame) -> DataFrame:
-    """(text_key, entity, near_key, term): the words around each entity, keys standing for distinct texts."""
+    """(entity, near_key, term, first, new): the words around each entity, with a key of the surroundings.
+
+    ``first`` is 1 once per document, entity and term and ``new`` once per document and term, so their
+    sums count documents; a null term stands for the entity itself.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for text in batch.column("text"):
-                text = text.as_py()
-                key = None
-                for entity, near in surroundings(text):
-                    key = key or hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:24]
+                seen: set = set()
+                for entity, near in surroundings(text.as_py()):
                     near_key = hashlib.sha256("\n".join(near).encode("utf-8", "surrogatepass")).hexdigest()[:24]
-                    rows += [(key, entity, near_key, t) for t in ({*near} or {None})]
-            columns = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["text_key", "entity", "near_key", "term"])
+                    for t in (None, *sorted({*near})):
+                        rows.append((entity, near_key, t, int((entity, t) not in seen), int(t not in seen)))
+                        seen |= {t, (entity, t)}
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string()] * 3 + [pa.int64()] * 2)], ["entity", "near_key", "term", "first", "new"])
 
-    return _clean(docs).select("text").mapInArrow(each, "text_key string, entity string, near_key string, term string")
+    return _clean(docs).select("text").mapInArrow(each, "entity string, near_key string, term string, first long, new long")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): the number of distinct texts that hold each of the one-column ``terms``, over all documents."""
+    """(term, n): the number of documents that hold each of the one-column ``terms``, over all documents.
+
+    Up to BROADCAST_TERMS terms are counted within each task and added up; more are joined.
+    """
     spark = docs.sparkSession
-    n = terms.count()
-    text_key = F.xxhash64("text")
-    if n <= BROADCAST_TERMS:
+    if terms.count() <= BROADCAST_TERMS:
         wanted = spark.sparkContext.broadcast(frozenset(r[0] for r in terms.collect()))
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: Counter[str] = Counter()
             for batch in batches:
-                keys, found = [], []
-                for key, text in zip(batch.column("k").to_pylist(), batch.column("text")):
-                    hits = {w for w, _, _ in words(text.as_py())} & wanted.value
-                    keys += [key] * len(hits)
-                    found += hits
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.string())], ["k", "term"])
-
-        hits = _clean(docs).select(text_key.alias("k"), "text").mapInArrow(each, "k long, term string")
-    else:
-        raw = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)))
-        core = F.translate(F.regexp_replace("raw", r"^\p{Punct}+|\p{Punct}+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        hits = _clean(docs).select(text_key.alias("k"), raw.alias("raw")).select("k", core.alias("term")).join(terms.toDF("term"), "term", "left_semi").distinct()
-    return hits.distinct().groupBy("term").agg(F.count("*").alias("n"))
+                for text in batch.column("text"):
+                    found.update(cores(text.as_py()) & wanted.value)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "c"])
+
+        return _clean(docs).select("text").mapInArrow(each, "term string, c long").groupBy("term").agg(F.sum("c").alias("n"))
+    raw = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)))
+    core = F.translate(F.regexp_replace("raw", r"^\p{Punct}+|\p{Punct}+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = _clean(docs).select("text", F.monotonically_increasing_id().alias("k")).select("k", raw.alias("raw")).select("k", core.alias("term"))
+    return rows.join(terms.toDF("term"), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n"))
 
 
 def revealing_terms(docs: DataFrame, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
     """(term, share): words whose PMI with some entity reaches ``generalise`` of its information content.
 
-    Everything is counted over distinct texts. A word counts for an entity if they stand together in at
-    least ``support`` different surroundings, so copies of one passage prove nothing.
+    Probabilities are shares of all documents. A word counts for an entity if they stand together in at
+    least ``support`` different surroundings, so copies of one passage prove nothing. A word's documents
+    near any entity are some of all its documents, so pairs that fall short even with these are left
+    out before the corpus is counted.
     """
     near = stored(entity_terms(docs), "near")
-    pair = near.filter("term is not null").groupBy("entity", "term").agg(F.countDistinct("near_key").alias("seen"), F.countDistinct("text_key").alias("n_both")).filter(F.col("seen") >= support)
-    pair = stored(pair, "pairs")
+    total = _clean(docs).agg(F.count("*").alias("total"))
+    per_entity = near.filter("term is null").groupBy("entity").agg(F.sum("first").alias("n_entity"))
+    here = near.filter("term is not null")
+    pair = here.groupBy("entity", "term").agg(F.countDistinct("near_key").alias("seen"), F.sum("first").alias("n_both")).filter(F.col("seen") >= support)
+    about = here.groupBy("term").agg(F.sum("new").alias("n_near"))
+    content = F.log2(F.col("total") / F.col("n_entity"))
+
+    def share(n: str) -> Column:
+        return F.when(content > 0, F.log2(F.col("n_both") * F.col("total") / (F.col("n_entity") * F.col(n))) / content).otherwise(F.lit(0.0))
+
+    pair = pair.join(per_entity, "entity").join(about, "term").crossJoin(F.broadcast(total))  # one row
+    pair = stored(pair.filter(share("n_near") >= generalise), "pairs")
     terms = pair.select("term").distinct()
     if terms.isEmpty():
         return docs.sparkSession.createDataFrame([], "term string, share double")
-    total = _clean(docs).agg(F.count_distinct(F.xxhash64("text")).alias("total"))
-    per_entity = near.groupBy("entity").agg(F.countDistinct("text_key").alias("n_entity"))
-    counted = pair.join(per_entity, "entity").join(term_counts(docs, terms), "term").crossJoin(F.broadcast(total))  # one row
-    content = F.log2(F.col("total") / F.col("n_entity"))
-    pmi = F.log2(F.col("n_both") * F.col("total") / (F.col("n_entity") * F.col("n")))
-    share = F.when(content > 0, pmi / content).otherwise(F.lit(0.0))
-    return counted.select("term", share.alias("share")).groupBy("term").agg(F.max("share").alias("share")).filter(F.col("share") >= generalise)
+    counted = pair.join(term_counts(docs, terms), "term")
+    return counted.select("term", share("n").alias("share")).groupBy("term").agg(F.max("share").alias("share")).filter(F.col("share") >= generalise)
 
 
 def _class_of(word: str) -> str:
@@ -251,7 +280,7 @@ def sanitised(docs: DataFrame, generalise: float = GENERALISE, remove: float = R
                 found = base_spans(text)
                 base = rendered(found)
                 taken = sorted(((a, b, k) for k, v in found.items() for a, b in v), key=lambda s: (s[0], -s[1]))
-                hits = [(a, b) for w, a, b in _outside(text, sorted(taken)) if w in known] if known else []
+                hits = [(a, b) for w, a, b in _outside(text, sorted(taken)) if w in known] if known and not known.keys().isdisjoint(cores(text)) else []
                 marks = [(a, b, f"[{k.upper()}]") for a, b, k in taken]
                 for a, b in hits:
                     marks.append((a, b, "[REMOVED]" if known[text[a:b].translate(_FOLD)] >= remove else _class_of(text[a:b])))

@@ -31,6 +31,13 @@ def test_spans_equal_the_patterns():
         assert pii.base_spans(text) == brute(text), text
 
 
+def test_cores_are_the_words():
+    draw = random.Random(2)
+    for _ in range(3000):
+        text = "".join(draw.choice(["a", "B", "é", ".", "-", "'", " ", "\n", "\u00a0", "(", "x" * 70]) for _ in range(draw.randrange(40)))
+        assert pii.cores(text) == {w for w, _, _ in pii.words(text)}
+
+
 def test_long_runs_are_linear():
     for text in ("a" * 400_000, "1" * 400_000, "1." * 200_000, "a@" * 200_000, "+1" + " " * 400_000, "1 " * 200_000, "+" * 400_000, "a" * 200_000 + "@"):
         pii.base_spans(text)
