@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallywright.functions import multiplicity
 from tallywright.functions import textprep
 from tallywright.operators import crosstab as ct
-from tallywright.operators import hygiene, models, multiselect, openends, weighting
+from tallywright.operators import hygiene, models, multiselect, openends, reporting, rules, weighting
 from tallywright.operators import profile as profiling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -445,3 +445,43 @@ def coded_open_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A salted, stratified split of the documents."""
     return openends.stratified_split(read(spark, sf_dir, "documents"), ["lang"], "doc_id").select("doc_id", "part")
+
+
+@query("""
+    WITH l AS (SELECT doc_id, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY 1), s AS (SELECT source, count(*) AS n, sum(q) AS k FROM l JOIN documents USING (doc_id) GROUP BY 1),
+    p AS (SELECT source, n, k * 1.0 / n AS p, 1 + 1.96 * 1.96 / n AS d FROM s)
+    SELECT source, n, round((p + 1.96 * 1.96 / (2 * n)) / d - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n)) / d, 6) AS low, round((p + 1.96 * 1.96 / (2 * n)) / d + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n)) / d, 6) AS high FROM p""")
+def wilson_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wilson intervals of the share of good documents by source."""
+    t = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
+    t = t.join(read(spark, sf_dir, "documents"), "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.sum("q").alias("k"))
+    low, high = reporting.wilson(F.col("k"), F.col("n"))
+    return t.select("source", "n", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@query("""
+    WITH l AS (SELECT doc_id, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY 1), n AS (SELECT count(*) AS n, avg((q = t)::INT) AS po, avg(q) * avg(t) + (1 - avg(q)) * (1 - avg(t)) AS pe FROM l)
+    SELECT n, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) AS kappa FROM n""")
+def kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cohen's kappa of two label sets."""
+    t = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
+    return reporting.cohen_kappa(t, "q", "t").select("n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
+
+
+RULES = [
+    rules.CodeRule(1, "There", ("the", "der", "le", "el")), rules.CodeRule(2, "And", ("and", "und", "et", "y"), lump_into=1),
+]
+
+
+_PLAIN = r"[^\x00-\x7F]"
+_NEGATED = r"\b(no|not|never|di|wala|walang|hindi|dili)\b"
+
+
+@query(f"""
+    WITH t AS (SELECT conv_id, turn, regexp_replace(regexp_replace(lower(text), '{_PLAIN}', 'x', 'g'), '{_NEGATED}', 'xx', 'g') AS t FROM conversations)
+    SELECT conv_id, turn, regexp_matches(t, '\\b(the|der|le|el)\\b') AS has_first, regexp_matches(t, '\\b(and|und|et|y)\\b') AS has_second FROM t""")
+def rule_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule codes of all turns; letters beyond ASCII and negators are masked, which SQL engines see differently."""
+    t = read(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace(F.regexp_replace(F.lower("text"), _PLAIN, "x"), _NEGATED, "xx"))
+    ids = F.transform("codes", lambda x: x["code_id"])
+    return rules.rule_coded(t, "text", RULES).select("conv_id", "turn", F.array_contains(ids, 1).alias("has_first"), F.array_contains(ids, 2).alias("has_second"))
