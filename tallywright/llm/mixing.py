@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywright.llm.common import stored
+
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
@@ -80,7 +82,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
     Null texts have size 0; a null source is one more source. An empty table gives no rows.
     """
-    out = mixed(sizes(docs))
+    out = mixed(stored(sizes(docs), "sizes"))  # the texts are read once
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
