@@ -1,15 +1,14 @@
 """Personal data: exact base patterns, and an information-theoretic sanitiser on top.
 
 The base finds e-mail addresses, IP and card numbers and phone numbers by pattern. The sanitiser asks
-which other words give a protected entity away. Entities are the base values found; for a word t that
-stands near an entity e, the corpus gives PMI(e; t) = log2(p(e, t) / (p(e) p(t))), at most the
+which other words give a protected entity away. Entities are the base values found; for a word t in the
+documents of an entity e, the corpus gives PMI(e; t) = log2(p(e, t) / (p(e) p(t))), at most the
 entity's information content IC(e) = -log2 p(e). A word whose PMI reaches GENERALISE of that content is
 replaced by its class wherever it occurs, from REMOVE on it is removed.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import re
 from collections import Counter
@@ -25,9 +24,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Shares of an entity's information content at which a word is generalised or removed.
 GENERALISE = 0.8
 REMOVE = 0.95
-#: Distinct surroundings in which a word must accompany an entity, and words to each side that count.
+#: Different texts in which a word must accompany an entity.
 SUPPORT = 3
-NEAR = 5
 #: Revealing words up to this number are sent to every executor (about 8 MB); more are joined by document.
 BROADCAST_TERMS = 100_000
 
@@ -90,12 +88,12 @@ def rendered(found: dict[str, list[Span]], kinds: tuple[str, ...] = KINDS) -> st
 
 
 def words(text: str) -> Iterator[tuple[str, int, int]]:
-    """Each word that has at least three characters without the punctuation around it: folded, start, end."""
+    """Each word without the punctuation around it: folded, start, end."""
     for m in _WORD.finditer(text):
         raw = m[0]
         left = raw.lstrip(_EDGES)
         core = left.rstrip(_EDGES)
-        if len(core) >= 3:
+        if core:
             at = m.start() + len(raw) - len(left)
             yield core.translate(_FOLD), at, at + len(core)
 
@@ -109,8 +107,7 @@ def cores(text: str) -> set[str]:
     for raw in set(_WORD.findall(text)):
         core = _CORES.get(raw)
         if core is None:
-            core = raw.strip(_EDGES)
-            core = core.translate(_FOLD) if len(core) >= 3 else ""
+            core = raw.strip(_EDGES).translate(_FOLD)
             if len(_CORES) > 300_000:
                 _CORES.clear()
             if len(raw) <= 64:
@@ -120,19 +117,6 @@ def cores(text: str) -> set[str]:
     return out
 
 
-def surroundings(text: str) -> Iterator[tuple[str, list[str]]]:
-    """(entity, the words within NEAR words of it, base spans left out) for each base span."""
-    found = base_spans(text)
-    spans = sorted((a, b, k) for k, v in found.items() for a, b in v)
-    if not spans:
-        return
-    plain = [(w, a, b) for w, a, b in words(text) if not any(a < e and s < b for s, e, _ in spans)] if len(spans) < 50 else _outside(text, spans)
-    starts = [a for _, a, _ in plain]
-    for a, b, kind in spans:
-        i = bisect.bisect_left(starts, a)
-        yield f"{kind}:{text[a:b].translate(_FOLD)}", [w for w, _, _ in plain[max(0, i - NEAR) : i + NEAR]]
-
-
 def _outside(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
     """The words that overlap no span, by one walk over both in order."""
     merged: list[list[int]] = []
@@ -154,27 +138,24 @@ def _clean(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def entity_terms(docs: DataFrame) -> DataFrame:
-    """(entity, near_key, term, first, new): the words around each entity, with a key of the surroundings.
-
-    ``first`` is 1 once per document, entity and term and ``new`` once per document and term, so their
-    sums count documents; a null term stands for the entity itself.
-    """
+def entity_texts(docs: DataFrame) -> DataFrame:
+    """(key, entities, terms) of each document with an entity: a hash of its text, its distinct entities and its other words."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for text in batch.column("text"):
-                seen: set = set()
-                for entity, near in surroundings(text.as_py()):
-                    near_key = hashlib.sha256("\n".join(near).encode("utf-8", "surrogatepass")).hexdigest()[:24]
-                    for t in (None, *sorted({*near})):
-                        rows.append((entity, near_key, t, int((entity, t) not in seen), int(t not in seen)))
-                        seen |= {t, (entity, t)}
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string()] * 3 + [pa.int64()] * 2)], ["entity", "near_key", "term", "first", "new"])
+                text = text.as_py()
+                spans = sorted((a, b, k) for k, v in base_spans(text).items() for a, b in v)
+                if spans:
+                    key = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:32]
+                    entities = sorted({f"{k}:{text[a:b].translate(_FOLD)}" for a, b, k in spans})
+                    rows.append((key, entities, sorted({w for w, _, _ in _outside(text, spans)})))
+            columns = list(zip(*rows)) if rows else [[]] * 3
+            types = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], ["key", "entities", "terms"])
 
-    return _clean(docs).select("text").mapInArrow(each, "entity string, near_key string, term string, first long, new long")
+    return _clean(docs).select("text").mapInArrow(each, "key string, entities array<string>, terms array<string>")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -203,17 +184,23 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def revealing_terms(docs: DataFrame, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
     """(term, share): words whose PMI with some entity reaches ``generalise`` of its information content.
 
-    Probabilities are shares of all documents. A word counts for an entity if they stand together in at
-    least ``support`` different surroundings, so copies of one passage prove nothing. A word's documents
-    near any entity are some of all its documents, so pairs that fall short even with these are left
-    out before the corpus is counted.
+    Probabilities are shares of all documents, and a word and an entity meet wherever one text holds both.
+    A word counts for an entity if at least ``support`` different texts hold both, so a text and its exact
+    copies prove nothing; entities in fewer texts can have no such word and are left out first. A word's
+    documents with any entity are some of all its documents, so pairs that fall short even with these are
+    left out before the corpus is counted.
     """
-    near = stored(entity_terms(docs), "near")
+    # a text's copies share one row from here on
+    texts = entity_texts(docs).groupBy("key").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count("*").alias("copies"))
+    texts = stored(texts, "entity_texts")
     total = _clean(docs).agg(F.count("*").alias("total"))
-    per_entity = near.filter("term is null").groupBy("entity").agg(F.sum("first").alias("n_entity"))
-    here = near.filter("term is not null")
-    pair = here.groupBy("entity", "term").agg(F.countDistinct("near_key").alias("seen"), F.sum("first").alias("n_both")).filter(F.col("seen") >= support)
-    about = here.groupBy("term").agg(F.sum("new").alias("n_near"))
+    held = texts.select(F.explode("entities").alias("entity"), "terms", "copies")
+    per_entity = held.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("seen"))
+    per_entity = stored(per_entity.filter(F.col("seen") >= support).drop("seen"), "entities")
+    several = F.broadcast(per_entity) if per_entity.count() <= BROADCAST_TERMS else per_entity
+    here = held.join(several, "entity", "left_semi").select("entity", F.explode("terms").alias("term"), "copies")
+    pair = here.groupBy("entity", "term").agg(F.count("*").alias("seen"), F.sum("copies").alias("n_both")).filter(F.col("seen") >= support)
+    about = texts.select(F.explode("terms").alias("term"), "copies").groupBy("term").agg(F.sum("copies").alias("n_near"))
     content = F.log2(F.col("total") / F.col("n_entity"))
 
     def share(n: str) -> Column:

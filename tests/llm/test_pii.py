@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -74,3 +75,33 @@ def test_revealing_terms(spark, monkeypatch):
     monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)  # the way for many terms gives the same
     again = {r.doc_id: r for r in pii.sanitised(df).collect()}
     assert again == clean
+
+
+def test_terms_count_over_whole_texts(spark):
+    """A signature repeated in different texts, a name far from the value and a name of two characters are found."""
+    draw = random.Random(9)
+    word = lambda: f"w{draw.randrange(40)}"
+    some = lambda n: " ".join(word() for _ in range(n))
+    signature = "Best wishes and kind regards, Wibbleton at s@mail.example.com over and out"
+    rows = [(i, f"{some(8)} {signature}", "en", "a", 1) for i in range(9)]
+    rows += [(20 + i, f"Farrow {some(15)} f@mail.example.com", "en", "a", 1) for i in range(5)]
+    rows += [(40 + i, f"{some(3)} 李明 ({some(1)}) m@mail.example.com", "en", "a", 1) for i in range(4)]
+    rows += [(100 + i, some(12), "en", "a", 1) for i in range(200)]
+    rows += [(400 + i, "Twice t@mail.example.com", "en", "a", 1) for i in range(3)]
+    df = spark.createDataFrame(rows, DOC_SCHEMA)
+    n = len(rows)
+    holds = lambda i, w: w in {x.strip("(),.").lower() for x in rows[i][1].split()}
+    want = {}
+    for entity in ("s", "f", "m", "t"):
+        docs = [i for i in range(n) if holds(i, f"{entity}@mail.example.com")]
+        for w in {x.strip("(),.").lower() for i in docs for x in rows[i][1].split() if "@" not in x}:
+            both = [i for i in docs if holds(i, w)]
+            if len({rows[i][1] for i in both}) >= 3:
+                share = math.log2(len(both) * n / (len(docs) * sum(holds(i, w) for i in range(n)))) / math.log2(n / len(docs))
+                if share >= pii.GENERALISE:
+                    want[w] = max(want.get(w, 0), share)
+    assert {"wibbleton", "farrow", "李明"} <= set(want) and "twice" not in want
+    got = {r.term: r.share for r in pii.revealing_terms(df).collect()}
+    assert set(got) == set(want) and all(abs(got[w] - want[w]) < 1e-9 for w in want)
+    clean = {r.doc_id: r.clean_text for r in pii.sanitised(df).collect()}
+    assert "Wibbleton" not in clean[0] and "Farrow" not in clean[20] and "李明" not in clean[40]
