@@ -2,7 +2,8 @@
 
 Every page is parsed once to score its containers; its best one votes, as a generalised path of tags and
 classes, for its host. Spark counts the votes; the winning path of a host is then used to extract all
-its pages again. A page that lacks the path, or has no text there, keeps its own best container.
+its pages again. A page that lacks the path, or has clearly less text there than in its own best container,
+keeps its own.
 """
 
 from __future__ import annotations
@@ -37,19 +38,29 @@ _CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
 _SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-#: A container is left for a child that holds this share of its text.
-DESCEND = 0.75
+#: The text at a host's path counts if it holds this share of what the page's own container holds.
+HOLD = 0.9
 #: Hosts whose winning paths are sent to every executor (a few MB); more are joined.
 BROADCAST_HOSTS = 20_000
 
 
 @dataclass
 class Parsed:
-    """A page's text blocks, their characters outside links, and its containers: parent, key, first block, end block."""
+    """A page's text blocks, their characters outside links, and its containers: parent, key, first block, end block.
+
+    ``left_out`` has the place and the characters outside links of each element skipped for its class or id alone,
+    ``chars`` those of the page with these elements.
+    """
 
     blocks: list[str] = field(default_factory=list)
     weights: list[int] = field(default_factory=list)
     nodes: list[list] = field(default_factory=list)
+    left_out: list[tuple[int, int]] = field(default_factory=list)
+    chars: int = 0
+
+    def solid(self) -> list[int]:
+        """Running sums of the characters outside links, over blocks that are not mostly links."""
+        return [0, *accumulate(w if 2 * w > len(b) else 0 for w, b in zip(self.weights, self.blocks))]
 
     def path(self, i: int) -> str:
         keys = []
@@ -59,11 +70,11 @@ class Parsed:
         return ">".join(reversed(keys))
 
 
-def _skipped(tag: str, attrs: str) -> tuple[bool, str]:
-    """Whether an element is boilerplate, and its generalised key."""
+def _skipped(tag: str, attrs: str) -> tuple[bool, bool, str]:
+    """Whether an element is boilerplate by its tag, role or hiding, whether by a word in its class or id, and its generalised key."""
     if not attrs or "=" not in attrs:
-        return tag in _SKIP_TAGS, tag
-    skip, key = tag in _SKIP_TAGS, tag
+        return tag in _SKIP_TAGS, False, tag
+    skip, worded, key = tag in _SKIP_TAGS, False, tag
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name == "class":
@@ -71,21 +82,24 @@ def _skipped(tag: str, attrs: str) -> tuple[bool, str]:
             if first:
                 key = f"{tag}.{re.sub('[0-9]+', 'N', first[0])}"
         if name in ("class", "id"):
-            skip = skip or (tag not in ("html", "body") and not _SKIP_WORDS.isdisjoint(_SPLIT.split(value)))
+            worded = worded or (tag not in ("html", "body") and not _SKIP_WORDS.isdisjoint(_SPLIT.split(value)))
         elif name == "role":
             skip = skip or not _SKIP_ROLES.isdisjoint(value.split())
         elif name == "aria-hidden":
             skip = skip or value == "true"
-    return skip or bool(re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs))), key
+    return skip or bool(re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs))), worded, key
+
 
+def parse(page: str, spared: frozenset[int] = frozenset()) -> Parsed:
+    """Blocks and containers of a page, in one pass over its bytes; broken markup never fails.
 
-def parse(page: str) -> Parsed:
-    """Blocks and containers of a page, in one pass over its bytes; broken markup never fails."""
+    Elements that start at a place in ``spared`` are not skipped for their class or id.
+    """
     out = Parsed()
     pieces: list[str] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, node or -1, skipped
+    stack: list[tuple[str, int, bool, bool, int, int]] = []  # tag, node or -1, skipped, skipped by more than a word, place, chars before
     open_tags: Counter[str] = Counter()
-    skipping, node, at, n, quoted, linked = 0, -1, 0, len(page), True, 0
+    skipping, firmly, node, at, n, quoted, linked = 0, 0, -1, 0, len(page), True, 0
 
     def flush() -> None:
         nonlocal linked
@@ -98,11 +112,14 @@ def parse(page: str) -> Parsed:
             linked = 0
 
     def pop() -> None:
-        nonlocal skipping, node
-        tag, i, skipped = stack.pop()
+        nonlocal skipping, firmly, node
+        tag, i, skipped, firm, place, before = stack.pop()
         open_tags[tag] -= 1
         if skipped:
             skipping -= 1
+            firmly -= firm
+            if not firm and out.chars > before:
+                out.left_out.append((place, out.chars - before))
         if i >= 0:
             flush()
             out.nodes[i][3] = len(out.blocks)
@@ -112,6 +129,8 @@ def parse(page: str) -> Parsed:
         lt = page.find("<", at)
         if lt < 0:
             lt = n
+        if lt > at and not firmly and not open_tags["a"]:
+            out.chars += len(page[at:lt].strip())
         if lt > at and not skipping:
             pieces.append(page[at:lt])
             linked += lt - at if open_tags["a"] else 0
@@ -170,7 +189,8 @@ def parse(page: str) -> Parsed:
                     break
                 if stack[i][0] in _SAME[tag]:
                     break
-        skip, key = _skipped(tag, m[3])
+        firm, worded, key = _skipped(tag, m[3])
+        skip = firm or (worded and lt not in spared)
         if tag in _RAW_END:
             found = _RAW_END[tag].search(page, at)
             at = n if found is None else found.start()
@@ -180,54 +200,72 @@ def parse(page: str) -> Parsed:
             i = len(out.nodes)
             out.nodes.append([node, key, len(out.blocks), len(out.blocks)])
             node = i
-        stack.append((tag, i, skip))
+        stack.append((tag, i, skip, firm, lt, out.chars))
         open_tags[tag] += 1
         skipping += skip
+        firmly += firm
     while stack:
         pop()
     flush()
     return out
 
 
+def whole(page: str) -> Parsed:
+    """``parse``, but elements that hold most of the page's text are not skipped for a word in their class or id.
+
+    Where an article or main element is read, and holds half of what is, such elements are no main text.
+    """
+    p = parse(page)
+    spared = frozenset(place for place, chars in p.left_out if 2 * chars > p.chars)
+    return p if not spared or _named(p) else parse(page, spared)
+
+
+def _named(p: Parsed) -> list[int]:
+    """The article and main elements that hold half of the text."""
+    total = [0, *accumulate(p.weights)]
+    return [i for i, x in enumerate(p.nodes) if x[1].split(".")[0] in ("article", "main") and 2 * (total[x[3]] - total[x[2]]) >= total[-1] > 0]
+
+
 def best_container(p: Parsed) -> tuple[int, int]:
     """The container that holds the page's main text (-1: the page itself), and its characters outside links.
 
-    The largest article or main element that holds half of the text; else, from the top, the child that
-    holds DESCEND of its parent's text, as long as there is one.
+    The largest article or main element that holds half of the text; else, from the top, the child beside
+    which its parent has nothing but links, as long as there is one.
     """
-    total = [0, *accumulate(p.weights)]
+    total, solid = [0, *accumulate(p.weights)], p.solid()
     size = lambda i: total[p.nodes[i][3]] - total[p.nodes[i][2]]
-    whole = total[-1]
-    named = [i for i, x in enumerate(p.nodes) if x[1].split(".")[0] in ("article", "main") and 2 * size(i) >= whole > 0]
+    named = _named(p)
     if named:
         best = max(named, key=lambda i: (p.nodes[i][1].split(".")[0] == "article", size(i), -i))
         return best, size(best)
-    at, held = -1, whole
+    at, held = -1, total[-1]
     for i, x in enumerate(p.nodes):  # in page order, so a child follows its parent
-        if x[0] == at and held and size(i) >= DESCEND * held and x[1].split(".")[0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "blockquote", "pre"):
+        if x[0] == at and solid[x[3]] - solid[x[2]] == solid[-1] > 0 and x[1].split(".")[0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "blockquote", "pre"):
             at, held = i, size(i)
     return at, held
 
 
-def text_at(p: Parsed, path: str) -> str | None:
-    """The blocks of all containers with this path, or None if there are none; nested ones count once."""
-    leaf, depth = path.rsplit(">", 1)[-1], path.count(">")
-    out, end, seen = [], 0, False
+def blocks_at(p: Parsed, path: str) -> list[tuple[int, int]]:
+    """First and end block of all containers with this path; nested ones count once."""
+    leaf = path.rsplit(">", 1)[-1]
+    out, end = [], 0
     for i, x in enumerate(p.nodes):
         if x[1] == leaf and x[2] >= end and p.path(i) == path:
-            out += p.blocks[x[2] : x[3]]
-            end, seen = max(end, x[3]), True
-    return "\n".join(out) if seen and depth >= 0 else None
+            out.append((x[2], x[3]))
+            end = max(end, x[3])
+    return out
 
 
 def main_text(page: str, path: str | None) -> str:
-    """The text at ``path``, or at the page's own best container where that gives none."""
-    p = parse(page)
-    text = text_at(p, path) if path else None
-    if text:
-        return text
+    """The text at ``path``, or in the page's own best container where that holds clearly more."""
+    p = whole(page)
+    solid = p.solid()
     i, _ = best_container(p)
-    return "\n".join(p.blocks if i < 0 else p.blocks[p.nodes[i][2] : p.nodes[i][3]])
+    own = [(0, len(p.blocks)) if i < 0 else (p.nodes[i][2], p.nodes[i][3])]
+    there = blocks_at(p, path) if path else []
+    held = lambda ranges: sum(solid[b] - solid[a] for a, b in ranges)
+    use = there if any(a < b for a, b in there) and held(there) >= HOLD * held(own) else own
+    return "\n".join(t for a, b in use for t in p.blocks[a:b])
 
 
 def _clean(pages: DataFrame) -> DataFrame:
@@ -242,7 +280,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
         for batch in batches:
             votes: dict[tuple[str, str], list[int]] = {}
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html")):
-                p = parse(page.as_py())
+                p = whole(page.as_py())
                 i, size = best_container(p)
                 if i >= 0 and size:
                     v = votes.setdefault((host, p.path(i)), [0, 0])

@@ -113,3 +113,21 @@ def test_table_pages(spark):
 def test_hard_pages_are_linear():
     for text in ("<" * 200_000, "<div>" * 50_000, "<a href='" * 30_000, "<!--" * 100_000, "</p>" * 100_000, "<p>" * 50_000, "<div><p>" * 20_000 + "</span>" * 20_000, "<script>" * 30_000, "&amp" * 100_000):
         mainhtml.main_text(text, None)
+
+
+def test_whole_texts_are_kept(spark):
+    """Title, lead and last section, pages of another template, and main text in elements with a boilerplate word."""
+    menu = '<div class="top"><a href="/">Home</a> <a href="/b">Blog</a></div>'
+    say = lambda w, n: " ".join([w] * n)
+    parts = (say("title", 2), say("lead", 20), say("body", 150), say("more", 15))
+    post = '{}<div class="post"><h1>{}</h1><p>{}</p><div class="body"><p>{}</p></div><div class="more"><p>{}</p></div></div>'.format(menu, *parts)
+    rows = [(i, "http://h.example/", page(post)) for i in range(3)]
+    rows.append((3, "http://h.example/", page(f'{menu}<div class="post">Short.</div><div class="story"><p>{say("story", 80)}</p></div>')))
+    rows.append((4, "http://i.example/", page(f'{menu}<div id="content" class="with-sidebar"><p>{say("text", 60)}</p><div class="sidebar">{say("aside", 9)}</div></div><p>End.</p>')))
+    rows.append((5, "http://j.example/", page(f'<article><p>{say("piece", 10)}</p></article><div class="comments"><p>{say("comment", 90)}</p></div>')))
+    got = {r.page_id: r.text for r in mainhtml.extracted(spark.createDataFrame(rows, PAGE_SCHEMA)).collect()}
+    assert got[0] == got[1] == got[2] == "\n".join(parts)
+    assert got[3] == "Home Blog\nShort.\n" + say("story", 80)  # links beside several parts stay
+    assert got[4] == "Home Blog\n" + say("text", 60) + "\nEnd."
+    assert got[5] == say("piece", 10)
+    mainhtml.main_text('<div class="menu">text ' * 20_000, None)  # linear
