@@ -31,7 +31,7 @@ class CodeRule:
 
 def clauses(c: Column) -> Column:
     """Clauses of a text in lower case, cut at punctuation and contrasting conjunctions."""
-    cut = F.split(F.lower(F.coalesce(c.cast("string"), F.lit(""))), r"[.!?;,\n]+|\b(?:pero|but|kaso|however)\b")
+    cut = F.split(F.lower(F.coalesce(c.cast("string"), F.lit(""))), r"(?U)[.!?;,\n]+|\b(?:pero|but|kaso|however)\b")
     return F.filter(F.transform(cut, F.trim), lambda x: x != "")
 
 
@@ -44,7 +44,8 @@ def rule_coded(df: DataFrame, column: str, rules: list[CodeRule], lump: bool = F
 
     A code holds if a clause matches one of its patterns without a negator among the three words before;
     with one, its opposite holds. Answers of nothing, and text without meaning, have special codes, and
-    an answer that no rule fits is general feedback. Null and empty answers have no code.
+    an answer that no rule fits is general feedback. Null and empty answers have no code. Words are of
+    letters, marks and digits of any script.
     """
     by_code = {r.code_id: r for r in rules}
     text, parts = F.trim(F.coalesce(F.col(column).cast("string"), F.lit(""))), clauses(F.col(column))
@@ -61,8 +62,8 @@ def rule_coded(df: DataFrame, column: str, rules: list[CodeRule], lump: bool = F
 
     def in_clause(pattern: str, negated: bool) -> Column:
         def test(c: Column) -> Column:
-            turned = c.rlike("(?i)" + negator + pattern) & ~c.rlike("(?i)" + excepted)
-            return turned if negated else c.rlike("(?i)" + pattern) & ~turned
+            turned = c.rlike("(?iU)" + negator + pattern) & ~c.rlike("(?iU)" + excepted)
+            return turned if negated else c.rlike("(?iU)" + pattern) & ~turned
 
         return F.exists(parts, test)
 

@@ -485,3 +485,14 @@ def rule_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace(F.regexp_replace(F.lower("text"), _PLAIN, "x"), _NEGATED, "xx"))
     ids = F.transform("codes", lambda x: x["code_id"])
     return rules.rule_coded(t, "text", RULES).select("conv_id", "turn", F.array_contains(ids, 1).alias("has_first"), F.array_contains(ids, 2).alias("has_second"))
+
+
+#: The rules with an opposite code; "and" is lumped into "There".
+OPPOSED = [rules.CodeRule(1, "There", ("the", "der", "le", "el"), opposite=3), RULES[1], rules.CodeRule(3, "Absent", ("absent", "missing"), opposite=1)]
+
+
+@query()
+def rule_codes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule codes of all turns as they stand, with negation, opposite codes and lumping."""
+    t = rules.rule_coded(read(spark, sf_dir, "conversations"), "text", OPPOSED, lump=True)
+    return t.select("conv_id", "turn", F.transform("codes", lambda x: x["code_id"]).alias("codes"))

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -57,3 +59,44 @@ def test_snapshot_and_topics(spark):
 
     near = reporting.nearest_topics(df, "t", CODEFRAME, embed, 0.05).collect()
     assert near[0].topic == "service"
+
+
+def brute_codes(text, coded, lump):
+    """The rule coder word by word; ``coded`` has (code, words, opposite)."""
+    text = (text or "").strip(" ")
+    if not text:
+        return []
+    low = text.lower()
+    if re.fullmatch(r"(none|nothing|wala|n/?a|no comment|wala naman)[\s.!]*", low):
+        return [999]
+    if re.fullmatch(r"[\W\d_]*|([^\W\d_])\1{2,}|asdf\w*|qwer\w*|test+", low):
+        return [998]
+    out = []
+    for code, words, opposite in coded:
+        plain = turned = False
+        for clause in re.split(r"[.!?;,\n]+|\b(?:pero|but|kaso|however)\b", low):
+            alone = re.findall(r"\w+", clause)
+            if not set(alone) & set(words):
+                continue
+            chunks = re.findall(r"[\w'-]+", clause)
+            exempt = any(re.search(rf"\b{e}\b", clause) for e in rules.EXCEPTIONS)
+            negated = any(set(re.findall(r"\w+", c)) & set(words) and set(rules.NEGATORS) & set(chunks[max(0, i - 3) : i]) for i, c in enumerate(chunks)) and not exempt
+            plain, turned = plain or not negated, turned or negated
+        out += [lump.get(code, code)] * plain + ([opposite] * turned if opposite else [])
+    return list(dict.fromkeys(out)) or [900]
+
+
+def test_whole_rule_codes(spark):
+    """Texts as they stand: negators, letters beyond ASCII, opposite codes and lumping."""
+    from tallywright.plans import catalog
+
+    coded, lump = [(r.code_id, r.patterns, r.opposite) for r in catalog.OPPOSED], {r.code_id: r.lump_into for r in catalog.OPPOSED if r.lump_into}
+    got = {(r.conv_id, r.turn): r.codes for r in catalog.rule_codes_whole(spark, "/root/testdata/sf0.01").collect()}
+    table = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").collect()
+    assert len(got) == len(table)
+    assert [(r.text, got[r.conv_id, r.turn]) for r in table if got[r.conv_id, r.turn] != brute_codes(r.text, coded, lump)] == []
+    texts = ["the shop", "not the shop", "no señor él the shop", "no ñu ñu ñu the shop", "ethé thee théthe", "und", "not und", "hindi lang the", "never absent", "dili missing, and", "no the but the", "é", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    codes = [[c.code_id for c in r.codes] for r in rules.rule_coded(df, "t", catalog.OPPOSED, lump=True).orderBy("i").collect()]
+    assert codes == [[1], [3], [3], [1], [900], [1], [900], [1], [1], [1], [1, 3], [900], []]
+    assert codes == [brute_codes(t, coded, lump) for t in texts]
