@@ -99,19 +99,55 @@ def expanded(c: Column, speak: dict[str, str]) -> Column:
 
 #: Affixes of Tagalog words, as fixed values.
 PREFIXES = ("nakaka", "nakapag", "nakipag", "makapag", "makaka", "napaka", "pinaka", "pagka", "nagpa", "magpa", "ipinag", "ipag", "naka", "maka", "nag", "mag", "pag", "nang", "mang", "pang", "ika", "ipa", "ma", "na", "pa", "ka", "in", "um", "i")
-SUFFIXES = ("han", "hin", "an", "in")
+SUFFIXES = ("han", "hin", "nan", "nin", "an", "in")
 INFIXES = ("um", "in")
 VOWELS = "aeiou"
+#: What a nasal after ma-, na- or pa- may stand for: it takes the place of the root's first consonant.
+NASALS = (("ng", ("k", "")), ("m", ("p", "b")), ("n", ("t", "d", "s")))
+#: Words that look derived and are not, or mean something else than their root.
+NO_STEM = frozenset(
+    "kasama kasi kaya kahit kapag kaso kailan kailangan kapatid kapwa kaibigan kapitbahay kalsada kalaban katawan karapatan kalidad mga may mayroon marami maraming mahalaga "
+    "masyado matanda magulang na nasa naman namin natin nila niya ninyo ngayon noon nalang pa pala palagi para paano pagkain pagkatapos pamilya pero "
+    "hindi huwag wala walang ito iyan iyon isa iba ilan ibang ikaw unang bago bawat kung tungkol talaga talagang habang salamat lahat lagi lang siya sila".split()
+)
+
+
+def _nasal(w: str) -> list[str]:
+    """Roots of a word in ma-, na- or pa- whose first consonant a nasal has replaced: mamili from bili, panulat from sulat."""
+    new = []
+    if w[:2] in ("ma", "na", "pa"):
+        for nasal, initials in NASALS:
+            rest = w[2 + len(nasal) :]
+            if w.startswith(nasal, 2) and rest[:1] and rest[0] in VOWELS:
+                if len(rest) > 3 and rest[1:].startswith(nasal + rest[0]):
+                    new += [x + rest[1 + len(nasal) :] for x in initials]  # mamimili
+                new += [x + rest for x in initials]
+    return [f for f in new if len(f) >= 3]
+
+
+def _unsuffixed(w: str, suffix: str) -> list[str]:
+    """Roots of a word without its suffix: as it stands, with o for its last u, and with a vowel that the suffix took."""
+    r = w[: -len(suffix)]
+    i = r.rfind("u")
+    new = [r] + ([r[:i] + "o" + r[i + 1 :]] if i >= max(0, len(r) - 3) else [])
+    if r[-1] not in VOWELS and suffix[0] == "h":
+        new += [r + v for v in "aiou"]  # dalhin
+    elif r[-1] not in VOWELS and r[-2] not in VOWELS:
+        new += [r[:-1] + v + r[-1] for v in "aiou"]  # bigyan, sundin
+    return new
 
 
 def candidates(word: str) -> list[str]:
-    """Forms that a word may be derived from: affixes, infixes, repeated syllables and linkers taken off."""
+    """Forms that a word may be derived from: affixes, infixes, repeated syllables and linkers taken off, sounds that they changed restored."""
     forms, todo = {word}, [word]
-    while todo and len(forms) < 200:
+    while todo and len(forms) < 2000:
         w = todo.pop()
         new = [w[len(p) :].lstrip("-") for p in PREFIXES if w.startswith(p) and len(w) - len(p) >= 3]
-        new += [w[: -len(s)] for s in SUFFIXES if w.endswith(s) and len(w) - len(s) >= 3]
+        new += _nasal(w)
+        new += [f for s in SUFFIXES if w.endswith(s) and len(w) - len(s) >= 3 for f in _unsuffixed(w, s)]
         new += [w[0] + w[3:] for x in INFIXES if w[1:3] == x and len(w) >= 6 and w[0] not in VOWELS]
+        if w.startswith("ni") and w[2:3] in ("l", "y") and len(w) >= 6:
+            new.append(w[2:])
         if len(w) > 5 and w[:2] == w[2:4]:
             new.append(w[2:])
         if len(w) > 4 and w[0] in VOWELS and w[0] == w[1:2]:
@@ -130,8 +166,8 @@ def candidates(word: str) -> list[str]:
 
 
 def stem(word: str, roots: frozenset[str]) -> str:
-    """The shortest known root that the word may come from, else the word; roots are their own stems."""
-    if word in roots:
+    """The shortest known root that the word may come from, else the word; roots and NO_STEM are their own stems."""
+    if word in roots or word in NO_STEM:
         return word
     return next((f for f in candidates(word) if f in roots), word)
 

@@ -100,3 +100,12 @@ def test_whole_rule_codes(spark):
     codes = [[c.code_id for c in r.codes] for r in rules.rule_coded(df, "t", catalog.OPPOSED, lump=True).orderBy("i").collect()]
     assert codes == [[1], [3], [3], [1], [900], [1], [900], [1], [1], [1], [1, 3], [900], []]
     assert codes == [brute_codes(t, coded, lump) for t in texts]
+
+
+def test_senses_and_roots(spark):
+    """ "Mahal" as love or expense, and patterns that only the roots of the words meet."""
+    loved = [*RULES, rules.CodeRule(340, "Affinity", ("favourite",), "Positive", "Brand"), rules.CodeRule(350, "Buying", ("bili",))]
+    texts = ["mahal ko ang brand", "mahal ko pero mahal ang presyo", "mahal ko sana, presyo lang", "hindi mahal, loyal ako", "ang mahal", "love it, mahal", "mahal ko ang presyo", "mamili ako", "hindi mabilhan"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = rules.rule_coded(df, "t", loved, senses=[rules.mahal(340)], roots=["bili", "mahal"]).orderBy("i").collect()
+    assert [[c.code_id for c in r.codes] for r in rows] == [[340], [340, 120], [340], [110], [120], [120], [120], [350], [900]]

@@ -190,3 +190,10 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("response_id int, t string").parquet(f"{tmp_path}/in")
     answers.code_stream(stream, "t", CODEFRAME, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
     assert {r.response_id: r.coded.sentiment for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {1: "neg", 2: "pos"}
+
+
+def test_stems_with_changed_sounds():
+    roots = frozenset("bili dala bigay sama tulong inom sunod sulat kahoy tahi linis sabi".split())
+    want = {"mamili": "bili", "mamimili": "bili", "dalhin": "dala", "bigyan": "bigay", "tulungan": "tulong", "inumin": "inom", "sundin": "sunod", "panulat": "sulat",
+            "mangahoy": "kahoy", "manahi": "tahi", "nilinis": "linis", "sabihin": "sabi", "kasama": "kasama", "sasama": "sama"}
+    assert {w: textprep.stem(w, roots) for w in want} == want
