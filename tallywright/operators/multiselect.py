@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Options that a census returns at most.
+MOST_OPTIONS = 500
 OUTSIDE_BRACKETS = r",\s*(?![^()]*\))"
 
 
@@ -25,10 +27,14 @@ def split_answers(c: Column) -> Column:
 def census(df: DataFrame, column: str, least: int = 2) -> list[tuple[str, int]]:
     """Options with their counts, most frequent first, then by name; "Other: ..." and single ones left out.
 
-    With fewer than ten answers single ones stay. The list is a questionnaire's options, so it is small.
+    With fewer than ten answers single ones stay. The list is a questionnaire's options; more than
+    MOST_OPTIONS are refused, ``census_table`` has them all.
     """
     t = census_table(df, column, least)
-    return [(r.option, r.n) for r in t.orderBy(F.desc("n"), "option").limit(500).collect()]
+    rows = t.orderBy(F.desc("n"), "option").limit(MOST_OPTIONS + 1).collect()
+    if len(rows) > MOST_OPTIONS:
+        raise ValueError(f"{column} has more than {MOST_OPTIONS} options that occur {least} times; give the options, or raise least")
+    return [(r.option, r.n) for r in rows]
 
 
 def census_table(df: DataFrame, column: str, least: int = 2) -> DataFrame:

@@ -197,3 +197,11 @@ def test_stems_with_changed_sounds():
     want = {"mamili": "bili", "mamimili": "bili", "dalhin": "dala", "bigyan": "bigay", "tulungan": "tulong", "inumin": "inom", "sundin": "sunod", "panulat": "sulat",
             "mangahoy": "kahoy", "manahi": "tahi", "nilinis": "linis", "sabihin": "sabi", "kasama": "kasama", "sasama": "sama"}
     assert {w: textprep.stem(w, roots) for w in want} == want
+
+
+def test_census_refuses_what_it_cannot_hold(spark):
+    many = lambda n: spark.createDataFrame([(f"Option {i:03d}",) for i in range(n) for _ in (0, 1)], "a string")
+    assert len(multiselect.census(many(500), "a")) == 500
+    for call in (multiselect.census, multiselect.resolved):
+        with pytest.raises(ValueError, match="more than 500 options"):
+            call(many(501), "a")
