@@ -178,10 +178,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     known = sk.filter("doc_id is not null and same is not null")
     groups = known.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     copied = groups.filter("first <> last").select(F.col("same").alias("of"), "first")
-    copies = known.select("same", "doc_id").join(copied, F.col("same") == F.col("of")).filter("doc_id <> first").select("first", "doc_id")
+    copies = known.select("same", "doc_id").join(copied, F.col("same") == F.col("of")).filter("doc_id <> first").select("first", "doc_id", "same")
     copies = stored(copies, "copies")
 
-    single = known.select("doc_id", "n_shingles", "bands").join(copies.select("doc_id"), "doc_id", "left_anti")
+    single = known.select("doc_id", "same", "n_shingles", "bands").join(copies.select("doc_id", "same"), ["doc_id", "same"], "left_anti")
     bucketed = single.select(F.explode("bands").alias("key"), "doc_id", "n_shingles")
     heads = bucketed.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("head"), F.max("doc_id").alias("top")).filter("head.doc_id <> top")
     shared = heads.select(F.col("key").alias("bucket"), F.col("head.doc_id").alias("center"), F.col("head.n_shingles").alias("n_center"))
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     fits = f"100 * least(n_center, n_shingles) >= {percent} * greatest(n_center, n_shingles)"
     stars = met.filter(fits).select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = stored(confirmed(stars, docs, percent, shingle), "links")
-    first = components(copies.toDF("a", "b").union(links))
+    first = components(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct().union(links))
 
     # Second round: what one bucket still holds in different components.
     labels = first.select(F.col("node").alias("id"), F.col("component").alias("label"))

@@ -108,3 +108,11 @@ def test_sketch_likeness():
         sketch = K.one_permutation(h, d, 2, 512, probes)
         true = common / (common + 2 * own)
         assert abs((sketch[0] == sketch[1]).mean() - true) < 0.12
+
+
+def test_repeated_ids_link_by_any_text(spark):
+    """Document 9 repeats document 1's text, and its other text is near document 7's."""
+    one, other = " ".join(f"a{i}" for i in range(60)), [f"b{i}" for i in range(60)]
+    rows = [(1, one), (9, one), (9, " ".join(other)), (7, " ".join([*other[:-1], "c"])), (3, "unlike the rest of them all")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (9, 1), (7, 1), (3, 3)} and len(got) == 5
