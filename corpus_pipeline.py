@@ -22,17 +22,31 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the least doc_id.
+    """One text of each group of near duplicates stays, that with the least doc_id.
 
-    Rows that repeat a doc_id are one document; the least text of them stays. A null doc_id stays.
+    Rows that repeat a doc_id are compared like rows of different documents, so unlike texts of one doc_id
+    all stay, and of its copies and near copies one; a null text stays only if its doc_id has no other.
+    A null doc_id stays.
     """
     docs = docs.select(*COLUMNS)
-    gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone"))
-    left = docs.join(gone.distinct(), F.col("doc_id") == F.col("gone"), "left_anti")
-    repeated = left.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).filter("n > 1 and id is not null").select("id")
-    single = left.join(repeated, F.col("doc_id") == F.col("id"), "left_anti")
-    several = left.join(repeated, F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")).select("doc_id", "row.*")
-    return single.unionByName(several)
+    repeated = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    repeated = stored(repeated, "repeated")
+    if repeated.isEmpty():
+        gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone"))
+        return docs.join(gone.distinct(), F.col("doc_id") == F.col("gone"), "left_anti")
+    repeated = docs.join(repeated, F.col("doc_id") == F.col("id"), "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("least"))
+    no_id = docs.filter("doc_id is null")
+    once = docs.join(repeated, F.col("doc_id") == F.col("id"), "left_anti").filter("doc_id is not null").withColumn("key", F.col("doc_id"))
+    texts = docs.join(repeated, F.col("doc_id") == F.col("id")).filter("text is not null or least is null")
+    texts = texts.groupBy("doc_id", "text", "least").agg(F.min(F.struct("lang", "source", "n_chars")).alias("row"))
+    # the least text of a doc_id keeps the id as its key, the others get keys above all ids
+    new = docs.agg((F.max("doc_id") + 1).alias("from"))
+    texts = texts.crossJoin(F.broadcast(new)).withColumn("key", F.when(F.col("text").eqNullSafe(F.col("least")), F.col("doc_id")).otherwise(F.col("from") + F.monotonically_increasing_id()))
+    keyed = stored(once.unionByName(texts.select("doc_id", "text", "row.*", "key")), "keyed")
+    found = minhash.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("of"), "component_id")
+    found = keyed.select("doc_id", "key").join(found, F.col("key") == F.col("of"))
+    stay = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first")).select(F.col("first.key").alias("stays"))
+    return keyed.join(stay, F.col("key") == F.col("stays"), "left_semi").select(*COLUMNS).unionByName(no_id)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,11 @@ def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     check([(r.sequence_id, r.offset, r.length) for r in rows], 2048)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and rows
+
+
+def test_dedup_keeps_unlike_texts_of_one_id(spark, sf_dir):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, one), (2, None), (2, two), (3, one), (3, three), (3, three + " end"), (4, None), (4, None), (5, two), (None, one)]
+    docs = documents(spark, [(i, t, "en", "a", 1) for i, t in rows])
+    kept = sorted(((r.doc_id or 0, (r.text or "").removesuffix(" end")) for r in corpus_pipeline.dedup_stage(spark, docs, sf_dir).collect()))
+    assert kept == [(0, one), (1, one), (2, two), (3, three), (4, "")]
