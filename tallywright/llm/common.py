@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,14 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; where that is unset (tests, a single machine)
-    a temporary folder is made once and remembered as the context's checkpoint folder.
+    It is the session's ``spark.checkpoint.dir``; where that is unset, a session on one machine (tests) makes
+    a temporary folder once and remembers it as the context's checkpoint folder. On a cluster, where such a
+    folder is not shared, it must be set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tallywright-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -48,8 +52,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``key`` (a long) is in the one-column ``ids``.
+def only(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``df`` whose ``key`` (a long) is in the one-column ``ids``, or is not with ``left_anti``.
 
     The ids are counted first: up to BROADCAST_IDS of them are broadcast, so the wide rows of ``df`` stay
     where they are; more are joined by a shuffle.
@@ -57,4 +61,4 @@ def only(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     ids = stored(ids.select(F.col(ids.columns[0]).cast("long").alias("only_id")).distinct(), "ids")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return df.join(ids, F.col(key) == F.col("only_id"), "left_semi")
+    return df.join(ids, F.col(key) == F.col("only_id"), how)

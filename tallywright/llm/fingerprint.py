@@ -29,7 +29,7 @@ def bins_of(texts: pa.Array, bins: int = BINS, bits: int = BITS) -> tuple[np.nda
     """n x bins low-order bits of each text, and whether it has any shingle."""
     probes = K.probe_table(bins)
     values, some = [np.zeros((0, bins), np.uint8)], [np.zeros(0, bool)]
-    for c in K.chunks(texts):
+    for c in K.chunks(texts, bins=bins):
         h, doc = K.distinct_sorted(*K.shingle_hashes(*K.word_hashes(c)))
         low = K.mix(K.one_permutation(h, doc, c.n, bins, probes) + np.uint64(1)).astype(np.uint8) & np.uint8((1 << bits) - 1)
         has = np.bincount(doc, minlength=c.n) > 0

@@ -25,6 +25,8 @@ SHINGLE = 5
 #: Texts are worked on in chunks of so many bytes and rows at most.
 CHUNK_BYTES = 2 << 20
 CHUNK_ROWS = 4096
+#: Values of the sketches of a chunk's texts: some arrays of so many 64-bit words are alive at a time.
+CHUNK_CELLS = 1 << 19
 #: Bits of a hash that are kept where hashes of a chunk's texts are sorted with the text's number above them.
 HASH_BITS = 52
 
@@ -52,7 +54,7 @@ class _Powers:
                 p = np.full(n, base, U)
                 p[0] = 1
                 tables.append(np.multiply.accumulate(p))
-            if n > 4 * CHUNK_BYTES:  # of use for this chunk only
+            if n > CHUNK_BYTES + 1:  # of use for this chunk only
                 return tuple(tables)
             cls.up, cls.down = tables
         return cls.up[:n], cls.down[:n]
@@ -71,8 +73,12 @@ class Chunk:
         return len(self.bounds) - 1
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, most: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """The column's texts (null: empty) in runs of at most ``most`` bytes, or one longer text."""
+def chunks(column: pa.Array | pa.ChunkedArray, most: int = CHUNK_BYTES, bins: int = 1) -> Iterator[Chunk]:
+    """The column's texts (null: empty) in runs of at most ``most`` bytes, or one longer text.
+
+    A run has so few texts that sketches of ``bins`` values stay within CHUNK_CELLS.
+    """
+    most_rows = max(1, min(CHUNK_ROWS, CHUNK_CELLS // bins))
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column, "").cast(pa.large_string())
@@ -82,7 +88,7 @@ def chunks(column: pa.Array | pa.ChunkedArray, most: int = CHUNK_BYTES) -> Itera
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     at = 0
     while at < len(column):
-        to = min(at + CHUNK_ROWS, max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1))
+        to = min(at + most_rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1))
         yield Chunk(at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
 

@@ -48,7 +48,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in K.chunks(batch.column("text")):
+            for c in K.chunks(batch.column("text"), bins=bands * rows):
                 h, doc = K.distinct_sorted(*K.shingle_hashes(*K.word_hashes(c), shingle))
                 n = np.bincount(doc, minlength=c.n)
                 sketch = K.one_permutation(h, doc, c.n, bands * rows, probes)
@@ -124,7 +124,7 @@ def likely(met: DataFrame, docs: DataFrame, percent: int = PERCENT, bands: int =
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in K.chunks(batch.column("text")):
+            for c in K.chunks(batch.column("text"), bins=SIGNATURE):
                 h, doc = K.distinct_sorted(*K.shingle_hashes(*K.word_hashes(c), shingle))
                 low = K.mix(K.one_permutation(h, doc, c.n, SIGNATURE, probes)).astype(np.uint8)
                 keys = band_keys(K.one_permutation(h, doc, c.n, bands * rows, band_probes), bands, rows)

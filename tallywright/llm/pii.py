@@ -98,6 +98,8 @@ def words(text: str) -> Iterator[tuple[str, int, int]]:
             yield core.translate(_FOLD), at, at + len(core)
 
 
+#: Word forms that a process remembers, about 200 bytes each; beyond it the memory starts anew.
+REMEMBERED = 100_000
 _CORES: dict[str, str] = {}
 
 
@@ -108,7 +110,7 @@ def cores(text: str) -> set[str]:
         core = _CORES.get(raw)
         if core is None:
             core = raw.strip(_EDGES).translate(_FOLD)
-            if len(_CORES) > 300_000:
+            if len(_CORES) > REMEMBERED:
                 _CORES.clear()
             if len(raw) <= 64:
                 _CORES[raw] = core
