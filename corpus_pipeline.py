@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm import minhash, mixing, packing, pii, quality
-from tallywright.llm.common import stored, table
+from tallywright.llm.common import only, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: No SQL expresses the trained classifier of the first stage; the tests hold each stage against brute force.
@@ -33,7 +33,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = stored(repeated, "repeated")
     if repeated.isEmpty():
         gone = minhash.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone"))
-        return docs.join(gone.distinct(), F.col("doc_id") == F.col("gone"), "left_anti")
+        return only(docs, "doc_id", gone, "left_anti")
     repeated = docs.join(repeated, F.col("doc_id") == F.col("id"), "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("least"))
     no_id = docs.filter("doc_id is null")
     once = docs.join(repeated, F.col("doc_id") == F.col("id"), "left_anti").filter("doc_id is not null").withColumn("key", F.col("doc_id"))
