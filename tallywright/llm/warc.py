@@ -1,27 +1,32 @@
 """WARC archives: writing, reading and revisit resolution, through Spark's own readers and writers.
 
-A WARC record ends in two line ends, so the text writer with that separator writes archives whose
-records are whole strings: any store that Spark reaches will do, and its committer makes retried tasks
-harmless. Archives are read as binary files of bounded size and parsed by Content-Length.
+Tasks make whole archives of bounded size, every record a gzip member of its own, and each becomes one
+file of the text writer, which writes the bytes as they are: any store that Spark reaches will do, and its
+committer makes retried tasks harmless. After an archive the writer puts its line separator, an empty
+gzip member, which readers pass over. Archives are read as binary files and parsed by Content-Length.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import fresh_path
+from tallywright.llm.common import fresh_path, only, stored
 
-END = "\r\n\r\n"
+END = b"\r\n\r\n"
 #: Payloads below this many bytes are always stored in full.
 LEAST_BYTES = 100
-#: About this many payload bytes go into one archive; a reader holds one archive at a time.
+#: An archive is closed once its records have so many bytes before compression; a reader holds one archive at a time.
 ARCHIVE_BYTES = 8 << 20
+#: Revisits sent to every executor (about 40 MB); more are joined by a shuffle.
+BROADCAST_REVISITS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -35,58 +40,87 @@ def digests(pages: DataFrame) -> DataFrame:
     )
 
 
-def originals(records: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """(digest, original): the least page_id of each digest that more than one page_id shares."""
-    held = records.filter((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull())
-    groups = held.groupBy(F.col("payload_digest").alias("digest")).agg(F.min("page_id").alias("original"), F.max("page_id").alias("last"))
-    return groups.filter("original <> last").select("digest", "original")
+def originals(headers: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+    """(digest, original, original_url): the least page_id of each digest that more than one page_id shares."""
+    held = headers.filter((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull())
+    groups = held.groupBy(F.col("payload_digest").alias("digest")).agg(F.min(F.struct("page_id", "url")).alias("first"), F.max("page_id").alias("last"))
+    return groups.filter("first.page_id <> last").select("digest", F.col("first.page_id").alias("original"), F.col("first.url").alias("original_url"))
 
 
-def resolved(records: DataFrame, first: DataFrame) -> DataFrame:
-    """``records`` with record_type and refers_to from ``first`` (digest, original)."""
-    out = records.join(first, F.col("payload_digest") == F.col("digest"), "left")
-    again = F.col("original").isNotNull() & F.col("page_id").isNotNull() & (F.col("page_id") > F.col("original"))
-    return out.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("original"))).drop("digest", "original")
+def resolved(records: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+    """``records`` with record_type, refers_to and refers_to_url.
 
-
-def _one_line(c: Column) -> Column:
-    """A header value: controls and blanks percent-encoded, so it can't end its line."""
-    value = F.replace(F.replace(F.replace(c, F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    return F.replace(value, F.lit(" "), F.lit("%20"))
-
-
-def record_text(records: DataFrame) -> DataFrame:
-    """One string per record: fresh headers, an empty line and the block, without the end."""
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    maybe = lambda name, value: F.when(value.isNotNull(), line(name, value)).otherwise(F.lit(""))
-    revisit = F.col("record_type") == "revisit"
-    block = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
-    name = F.md5(F.concat_ws("/", F.col("page_id").cast("string"), F.col("url"), F.col("payload_digest")).cast("binary"))
-    text = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.concat(F.lit("<urn:md5:"), name, F.lit(">"))),
-        line("WARC-Date", F.lit(DATE)), maybe("WARC-Target-URI", _one_line(F.col("url"))), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
-        F.when(revisit, line("WARC-Profile", F.lit(PROFILE))).otherwise(F.lit("")), maybe("X-Refers-To-Page", F.col("refers_to").cast("string")),
-        maybe("X-Page-Id", F.col("page_id").cast("string")), line("X-Payload-Bytes", F.col("payload_bytes").cast("string")),
-        line("Content-Type", F.lit("text/html; charset=utf-8")), F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(END), block,
-    )
-    return records.select(text.alias("value"))
+    Only headers (page_id, url, size, digest) are shuffled by digest. The revisits found are counted and
+    meet the payloads by page_id and digest: as a broadcast up to BROADCAST_REVISITS, by a shuffle beyond.
+    """
+    headers = stored(records.select("page_id", "url", "payload_bytes", "payload_digest"), "headers")
+    again = headers.join(originals(headers, least), (F.col("payload_digest") == F.col("digest")) & (F.col("page_id") > F.col("original")))
+    again = stored(again.select(F.col("page_id").alias("again"), "digest", F.col("original").alias("refers_to"), F.col("original_url").alias("refers_to_url")).distinct(), "revisits")
+    told = F.broadcast(again) if again.count() <= BROADCAST_REVISITS else again
+    out = records.join(told, (F.col("page_id") == F.col("again")) & (F.col("payload_digest") == F.col("digest")), "left")
+    return out.withColumn("record_type", F.when(F.col("again").isNotNull(), "revisit").otherwise("response")).drop("again", "digest")
+
+
+def record_id(page_id: int | None, url: str | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.UUID(hashlib.sha256(repr((page_id, url, digest)).encode('utf-8', 'surrogatepass')).hexdigest()[:32])}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, kind: str, refers_to: int | None, refers_to_url: str | None) -> bytes:
+    """One record: fresh headers, an empty line, the block and the end. A block is an HTTP head, and its body in responses."""
+    line = lambda value: quote(value, safe="".join(chr(c) for c in range(33, 127) if c != 37))  # noqa: E731 - a value can't end its line
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    if kind == "response":
+        block += payload
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, url, digest)}", f"WARC-Date: {DATE}"]
+    head += [] if url is None else [f"WARC-Target-URI: {line(url)}"]
+    head.append(f"WARC-Payload-Digest: sha256:{digest}")
+    if kind == "revisit":
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, refers_to_url, digest)}", f"WARC-Refers-To-Date: {DATE}"]
+        head += [] if refers_to_url is None else [f"WARC-Refers-To-Target-URI: {line(refers_to_url)}"]
+        head.append(f"X-Refers-To-Page: {refers_to}")
+    head += [] if page_id is None else [f"X-Page-Id: {page_id}"]
+    head += [f"X-Payload-Bytes: {size}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + END + block + END
+
+
+def member(data: bytes) -> bytes:
+    """``data`` as one gzip member."""
+    gz = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return gz.compress(data) + gz.flush()
 
 
 def write_archives(records: DataFrame, path: str) -> None:
-    """Gzipped archives of about ARCHIVE_BYTES; ``records`` as given by ``resolved``."""
-    mean = records.agg(F.avg(F.col("payload_bytes")).alias("m")).first().m or 0
-    per_file = max(1, int(ARCHIVE_BYTES / (mean + 400)))
-    record_text(records).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    """Archives of ARCHIVE_BYTES, or one longer record; ``records`` as given by ``resolved``."""
+    names = ("page_id", "url", "payload", "payload_digest", "payload_bytes", "record_type", "refers_to", "refers_to_url")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+        for batch in batches:
+            for row in zip(*(batch.column(c) for c in names)):
+                data = record(*(x.as_py() for x in row))
+                if held and size + len(data) > ARCHIVE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
+                    held, size = [], 0
+                held.append(member(data))
+                size += len(data)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["archive"])
+
+    rows = records.select(*(F.col(c).cast("binary").alias(c) if c == "payload" else c for c in names))
+    # A cast of bytes to a string changes nothing, and ISO-8859-1 gives the separator's bytes as they are.
+    archives = rows.mapInArrow(each, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    archives.write.option("lineSep", member(b"").decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The headers (names in lower case) and the block of each record of an archive."""
+    """The headers (names in lower case) and the payload of each record of an archive; a revisit's is empty."""
     at = 0
     while at < len(data):
         if data.startswith(b"\r\n", at):
             at += 2
             continue
-        head = data.index(b"\r\n\r\n", at)
+        head = data.index(END, at)
         lines = data[at:head].decode("utf-8").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}: {lines[0][:40]!r}")
@@ -95,33 +129,45 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = body + int(headers["content-length"])
         if at > len(data):
             raise ValueError("archive ends inside a record")
+        if headers.get("content-type", "").startswith("application/http"):
+            body = data.index(END, body, at) + 4
         yield headers, data[body:at]
 
 
+def unzipped(data: bytes) -> Iterator[bytes]:
+    """The contents of an archive's gzip members, one after another; an archive without gzip as it is."""
+    while data:
+        if data[:2] != b"\x1f\x8b":
+            yield data
+            return
+        gz = zlib.decompressobj(31)
+        yield gz.decompress(data) + gz.flush()
+        if not gz.eof:
+            raise ValueError("archive ends inside a gzip member")
+        data = gz.unused_data
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload of every record.
 
-    A response's digest and size are computed from its block and must equal its headers.
+    A response's digest and size are computed from its payload and must equal its headers.
     """
     out_type = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
     names = [c.split()[0] for c in out_type.split(", ")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from urllib.parse import unquote
-
         for batch in batches:
             for content in batch.column("content"):
                 rows = []
-                data = content.as_py()
-                for h, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                for h, payload in parse(b"".join(unzipped(content.as_py()))):
                     told = h["warc-payload-digest"].removeprefix("sha256:")
                     size = int(h["x-payload-bytes"])
-                    if h["warc-type"] == "response" and (hashlib.sha256(block).hexdigest() != told or len(block) != size):
+                    if h["warc-type"] == "response" and (hashlib.sha256(payload).hexdigest() != told or len(payload) != size):
                         raise ValueError(f"record {h['warc-record-id']} does not hold what its headers say")
                     number = lambda k: int(h[k]) if k in h else None  # noqa: B023, E731
                     url = h.get("warc-target-uri")
-                    rows.append((number("x-page-id"), unquote(url) if url is not None else None, h["warc-type"], size, told, number("x-refers-to-page"), block))
+                    rows.append((number("x-page-id"), unquote(url) if url is not None else None, h["warc-type"], size, told, number("x-refers-to-page"), payload))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 7, types)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
@@ -133,15 +179,19 @@ def deduplicated(spark: SparkSession, source: str, path: str, least: int = LEAST
 
     Headers are shuffled by digest; revisits already there are pointed at the original that remains.
     """
-    records = with_payloads(read_archives(spark, source)).withColumn("payload", F.decode("payload", "UTF-8"))
-    write_archives(resolved(records.drop("record_type", "refers_to"), originals(records, least)), path)
+    write_archives(resolved(with_payloads(read_archives(spark, source)).drop("record_type", "refers_to"), least), path)
 
 
 def with_payloads(records: DataFrame) -> DataFrame:
-    """Read ``records`` with each revisit's payload taken from the response it refers to."""
-    full = records.filter("record_type = 'response'").select(F.col("page_id").alias("of"), F.col("payload_digest").alias("d"), F.col("payload").alias("original_payload"))
-    out = records.join(full.dropDuplicates(["of", "d"]), (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("d")), "left")
-    return out.withColumn("payload", F.when(F.col("record_type") == "revisit", F.col("original_payload")).otherwise(F.col("payload"))).drop("of", "d", "original_payload")
+    """Read ``records`` with each revisit's payload taken from the response it refers to.
+
+    Only responses that a revisit refers to are moved.
+    """
+    again = records.filter("record_type = 'revisit'")
+    full = only(records.filter("record_type = 'response'"), "page_id", again.select("refers_to"))
+    full = full.select(F.col("page_id").alias("of"), F.col("payload_digest").alias("d"), F.col("payload").alias("original_payload")).dropDuplicates(["of", "d"])
+    found = again.drop("payload").join(full, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("d")), "left")
+    return records.filter("record_type <> 'revisit'").unionByName(found.withColumnRenamed("original_payload", "payload").drop("of", "d"))
 
 
 def archived(pages: DataFrame, path: str | None = None, least: int = LEAST_BYTES) -> DataFrame:
@@ -156,7 +206,7 @@ def archived(pages: DataFrame, path: str | None = None, least: int = LEAST_BYTES
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")
     records = digests(pages)
-    write_archives(resolved(records, originals(records, least)), path)
+    write_archives(resolved(records, least), path)
     read = read_archives(spark, path).drop("payload")
     full = read.filter("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("of"), F.col("payload_digest").alias("d")).agg(F.max("payload_bytes").alias("b"))
     checked = read.join(full, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("d")), "left")

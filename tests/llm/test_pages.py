@@ -34,6 +34,24 @@ def test_archives(spark, tmp_path):
     assert warc.archived(spark.createDataFrame([], PAGE_SCHEMA)).collect() == []
 
 
+def test_archive_format(spark, tmp_path, monkeypatch):
+    """Bounded archives, a gzip member for each record, and revisits that name their response."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3000)
+    monkeypatch.setattr(warc, "BROADCAST_REVISITS", 0)  # the shuffle gives the same
+    warc.archived(spark.createDataFrame(PAGES, PAGE_SCHEMA).coalesce(1), f"file://{tmp_path}/w").collect()
+    ids, refers = {}, []
+    for f in glob.glob(f"{tmp_path}/w/part-*"):
+        parts = [x for x in warc.unzipped(open(f, "rb").read()) if x]
+        assert len(parts) == 1 or sum(map(len, parts)) <= 3000
+        for part in parts:
+            (h, payload), = warc.parse(part)
+            if h["warc-type"] == "response":
+                ids[h["warc-record-id"]] = hashlib.sha256(payload).hexdigest()
+            else:
+                refers.append((h["warc-refers-to"], h["warc-payload-digest"]))
+    assert len(refers) == 3 and all("sha256:" + ids[to] == digest for to, digest in refers)
+
+
 def plain_verdict(url):
     import re
 
@@ -68,6 +86,24 @@ def test_cascade_is_exact(spark):
     assert wrong.count() == 0
 
 
+def test_long_lists(spark, monkeypatch):
+    """200,000 listed keys: a cascade of bounded size that follows the list, and the join beyond the bound give the same."""
+    rules = spark.range(200_000).selectExpr("if(id % 3 = 0, 'allow', 'block') verdict", "concat('h', id, '.com') host", "if(id % 2 = 0, '/', '/p/') path")
+    urls = spark.range(3000).selectExpr("id page_id", "concat('http://w.h', id * 97, '.com/p/', id) url").union(spark.createDataFrame([(1, "http://w.h97.com/p/1"), (None, None)], "page_id long, url string"))
+    levels = urlfilter.cascade(rules.selectExpr("concat(host, '\n', path) key"), spark.range(100_000).selectExpr("concat('g', id, '\n') key"))
+    assert sum(len(x.words) for x in levels) < 200_000 * 6 / 64
+    got = sorted(str(tuple(r)) for r in urlfilter.judged(urls, rules).collect())
+    want = []
+    for i, url in [(i, f"http://w.h{i * 97}.com/p/{i}") for i in range(3000)] + [(1, "http://w.h97.com/p/1"), (None, None)]:
+        host, path = (url[7:].split("/", 1)[0], "/" + url[7:].split("/", 1)[1]) if url else ("", "")
+        n = int(host[3:-4]) if url else 0
+        hit = url and n < 200_000
+        want.append(str((i, host, path, f"h{n}.com" + ("/" if n % 2 == 0 else "/p/") if hit else None, ("allow" if n % 3 == 0 else "block") if hit else "allow")))
+    assert got == sorted(want)
+    monkeypatch.setattr(urlfilter, "MOST_WORDS", 1)
+    assert sorted(str(tuple(r)) for r in urlfilter.judged(urls, rules).collect()) == got
+
+
 def page(body, title="T"):
     return f'<!DOCTYPE html><html><head><title>{title}</title><script>var t="</p>";</script><style>p{{}}</style></head><body>{body}</body></html>'
 
