@@ -4,17 +4,18 @@ Packing depends on lengths only, and there are at most ``capacity`` of them, so
 histogram: every step below handles all pieces of one length at once, and the plan's size depends on
 the capacity, not on the corpus. The pieces then take their places by their rank within their length.
 
-Reduction: for the longest remaining length, a set is fixed for good where it dominates all others that
-could hold it: the length alone if nothing fits beside it; with the longest that fits, if that fills the
-sequence or if no two remaining pieces fit beside it; with two that together are at least as good as
-any three. What no rule fixes is packed best-fit, in descending length.
+Reduction: for every remaining length, longest first and again until nothing changes, a set is fixed for
+good where it dominates all others that could hold it: the length alone if nothing fits beside it; with
+the longest that fits, if that fills the sequence, if no two remaining pieces fit beside it or if no three
+do and no two are longer together; with two others, if no three fit and any one or two that fit can be
+dealt to these two. What no rule fixes is packed best-fit, in descending length.
 """
 
 from __future__ import annotations
 
 import bisect
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -27,8 +28,8 @@ from tallywright.llm.tokenids import Encoder
 
 CAPACITY = 2048
 END_ID = 0
-#: Slices in which the pieces of one length are ranked independently.
-SLICES = 256
+#: Slices of one length are ranked independently; there are so many that one holds about this many pieces.
+SLICE_ROWS = 100_000
 
 
 @dataclass
@@ -42,6 +43,16 @@ class Plan:
     def add(self, length: int, pieces: int, first: int, each: int, offset: int) -> None:
         self.runs.setdefault(length, []).append((pieces, first, each, offset))
 
+    def fix(self, left: _Lengths, lengths: tuple[int, ...], k: int) -> None:
+        """``k`` sequences of one piece of each of ``lengths``."""
+        offset = 0
+        for x in dict.fromkeys(lengths):
+            each = lengths.count(x)
+            self.add(x, each * k, self.sequences, each, offset)
+            left.take(x, each * k)
+            offset += each * x
+        self.sequences, self.fixed = self.sequences + k, self.fixed + k
+
 
 class _Lengths:
     """Remaining counts by length, with the shortest and the longest that fits."""
@@ -70,69 +81,76 @@ class _Lengths:
 
 
 def _reduce(left: _Lengths, capacity: int, plan: Plan) -> None:
-    """Fix dominating sets for the longest length, in bulk, until no rule holds for it."""
-    while left.order:
-        top = left.order[-1]
-        room, have = capacity - top, left.n[top]
-        mate = left.most(room)
-        if mate is None or (mate == top and have == 1 and left.most(min(room, top - 1)) is None):
-            plan.add(top, have, plan.sequences, 1, 0)
-            left.take(top, have)
-            plan.sequences, plan.fixed = plan.sequences + have, plan.fixed + have
-            continue
-        if mate == top and have == 1:
-            mate = left.most(top - 1)
-        pair = left.shortest(2)
-        others = left.shortest(3)
-        if top in pair and have == 1 and len(left.order) > 1:  # top itself is among the shortest only if nearly alone
-            pair = [x for x in others if x != top][:2]
-        alone = top + mate == capacity or len(pair) < 2 or pair[0] + pair[1] > room
-        if alone:
-            k = have // 2 if mate == top else min(have, left.n[mate])
-            if top + mate != capacity:  # the rule holds as long as no two others fit, whatever is taken
-                k = max(k, 1)
-            if mate == top:
-                plan.add(top, 2 * k, plan.sequences, 2, 0)
-                left.take(top, 2 * k)
-            else:
-                plan.add(top, k, plan.sequences, 1, 0)
-                plan.add(mate, k, plan.sequences, 1, top)
-                left.take(top, k)
-                left.take(mate, k)
-            plan.sequences, plan.fixed = plan.sequences + k, plan.fixed + k
-            continue
-        # No three fit beside the top, and the longest single is no shorter than any two that fit.
-        if len(others) == 3 and sum(others) > room:
-            best = _best_two(left, room)
-            if best is None or mate >= sum(best):
-                k = 1 if mate == top else min(have, left.n[mate])
-                if mate == top:
-                    plan.add(top, 2, plan.sequences, 2, 0)
-                    left.take(top, 2)
-                else:
-                    plan.add(top, k, plan.sequences, 1, 0)
-                    plan.add(mate, k, plan.sequences, 1, top)
-                    left.take(top, k)
-                    left.take(mate, k)
-                plan.sequences, plan.fixed = plan.sequences + k, plan.fixed + k
-                continue
-        return
-
-
-def _best_two(left: _Lengths, room: int) -> tuple[int, int] | None:
-    """The two remaining lengths with the largest sum within ``room``."""
-    best, lo, hi = None, 0, len(left.order) - 1
+    """Fix dominating sets for every length, longest first and in bulk, until a pass over all fixes none."""
+    found = True
+    while found:
+        found = False
+        for top in reversed(left.order.copy()):
+            while top in left.n and _fixed(left, top, capacity, plan):
+                found = True
+
+
+def _fixed(left: _Lengths, top: int, capacity: int, plan: Plan) -> bool:
+    """Fix sequences with ``top`` whose set dominates every other set with it; False if no rule holds.
+
+    A set dominates another if the other's pieces can be dealt to its own so that each holds what it gets.
+    """
+    room, have = capacity - top, left.n[top]
+    others = lambda x: left.n[x] - (x == top)  # noqa: E731 - without the piece that is to be placed
+    mate = left.most(room)
+    if mate == top and have == 1:
+        mate = left.most(top - 1)
+    if mate is None:
+        plan.fix(left, (top,), have)
+        return True
+    small = left.shortest(4)
+    if top in small:
+        small.remove(top)
+    small = small[:3]
+    k = have // 2 if mate == top else min(have, left.n[mate])
+    if top + mate == capacity or len(small) < 2 or small[0] + small[1] > room:
+        plan.fix(left, (top, mate), k)
+        return True
+    if len(small) == 3 and sum(small) <= room:
+        return False
+    a, b = _best_two(left, others, room)
+    if mate >= a + b:
+        plan.fix(left, (top, mate), k)
+        return True
+    if mate <= b and _most_smaller(left, others, room) <= a:
+        # as long as no length runs out, the same holds for the next one
+        plan.fix(left, (top, a, b), max(1, min(have, left.n[a], left.n[b]) // 3 - 1))
+        return True
+    return False
+
+
+def _best_two(left: _Lengths, others: Callable[[int], int], room: int) -> tuple[int, int]:
+    """The two other lengths with the largest sum within ``room``, of which there are some."""
+    best, lo, hi = (0, 0), 0, bisect.bisect_right(left.order, room) - 1
     while lo <= hi:
         a, b = left.order[lo], left.order[hi]
-        if a + b > room or (lo == hi and left.n[a] < 2):
+        if not others(a):
+            lo += 1
+        elif a + b > room or others(b) < 1 + (lo == hi):
             hi -= 1
         else:
-            if best is None or a + b > sum(best):
+            if a + b > sum(best):
                 best = (a, b)
             lo += 1
     return best
 
 
+def _most_smaller(left: _Lengths, others: Callable[[int], int], room: int) -> int:
+    """The greatest length that another one, as long or longer, fits beside in ``room``."""
+    for i in range(bisect.bisect_right(left.order, room // 2) - 1, -1, -1):
+        x = left.order[i]
+        if others(x):
+            y = x if others(x) > 1 else next((z for z in left.order[i + 1 : i + 3] if others(z)), room)
+            if x + y <= room:
+                return x
+    return 0
+
+
 def _best_fit(left: _Lengths, capacity: int, plan: Plan) -> None:
     """Best-fit in descending length; equal sequences are filled in one step."""
     groups: dict[int, list[tuple[int, int]]] = {}  # free room: runs of sequences (first, count)
@@ -215,7 +233,8 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     """
     spark = docs.sparkSession
     cut = stored(pieces(docs, tokenizer_path, capacity, end_id), "pieces")
-    cut = cut.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SLICES)).cast("int"))
+    slices = 64 + cut.count() // SLICE_ROWS
+    cut = cut.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(slices)).cast("int"))
     tally = stored(cut.groupBy("length", "slice").agg(F.count("*").alias("n")), "tally")
     counts = {int(r.length): r.n for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = plan_packing(counts, capacity)

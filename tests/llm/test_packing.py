@@ -60,6 +60,40 @@ def test_plans(seed):
         assert check(placed, capacity) == plan.sequences <= best_fit(counts, capacity)
 
 
+def optimum(items, capacity):
+    """The least number of sequences, over all subsets of few items."""
+    fits = [m for m in range(1, 1 << len(items)) if sum(x for i, x in enumerate(items) if m >> i & 1) <= capacity]
+    best = [0] + [len(items)] * ((1 << len(items)) - 1)
+    for m in range(1, 1 << len(items)):
+        low = m & -m
+        best[m] = min(1 + best[m ^ f] for f in fits if f & low and f & m == f)
+    return best[-1]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_reduction_keeps_an_optimum(seed):
+    """What the reduction fixes, and the best packing of the rest, is a best packing; every rule is met."""
+    draw, seen = random.Random(seed), set()
+    for _ in range(150):
+        capacity = draw.choice([10, 23, 50])
+        counts = Counter(draw.randint(max(1, capacity // draw.choice([4, 5, 9])), capacity) for _ in range(draw.randrange(1, 9)))
+        plan, left = packing.Plan(), packing._Lengths(dict(counts))
+        packing._reduce(left, capacity, plan)
+        check(spread(plan), capacity)
+        rest = [x for x, n in left.n.items() for _ in range(n)]
+        assert plan.fixed + optimum(rest, capacity) == optimum(list(counts.elements()), capacity)
+        seen.update(Counter(s for s, _, _ in spread(plan)).values())
+    assert seen == {1, 2, 3}
+
+
+def test_fixed_share_on_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = {r.length: r["count"] for r in packing.pieces(docs, PATH).groupBy("length").count().collect()}
+    plan = packing.plan_packing(counts)
+    assert plan.sequences == ceil(sum(k * v for k, v in counts.items()) / 2048)
+    assert plan.fixed - counts[2048] > 10  # more than the full pieces
+
+
 def test_large_counts_stay_small():
     counts = {n: 1_000_000 // n for n in range(1, 2049)}
     plan = packing.plan_packing(counts, 2048)
