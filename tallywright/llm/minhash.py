@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm import kernels as K
-from tallywright.llm.common import only, stored
+from tallywright.llm.common import BROADCAST_IDS, only, stored
 from tallywright.llm.components import components
 from tallywright.llm.streams import grouped
 
@@ -131,10 +131,13 @@ def likely(met: DataFrame, docs: DataFrame, percent: int = PERCENT, bands: int =
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.first_row, c.n), pa.array([x.tobytes() + k.tobytes() for x, k in zip(low, keys)], pa.binary())], ["id", "sign"])
 
     signs = only(docs.select("doc_id", "text"), "doc_id", met.select("doc_id")).mapInArrow(sign, "id long, sign binary")
-    cuts = met.groupBy("key").agg(F.ceil(F.count("*") / TILE).alias("cuts")).select(F.col("key").alias("k"), "cuts")
+    cuts = met.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > TILE).select(F.col("key").alias("k"), F.ceil(F.col("n") / TILE).alias("many"))
+    cuts = stored(cuts, "cuts")  # a row per TILE rows of ``met`` at most
+    if cuts.count() <= BROADCAST_IDS:
+        cuts = F.broadcast(cuts)  # a hot bucket's rows stay where they are
     tiles = (
-        met.join(cuts, F.col("key") == F.col("k")).withColumn("own", F.pmod(F.xxhash64("doc_id"), "cuts"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        met.join(cuts, F.col("key") == F.col("k"), "left").withColumn("cuts", F.coalesce("many", F.lit(1).cast("long"))).withColumn("own", F.pmod(F.xxhash64("doc_id"), "cuts"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "doc_id", "n_shingles", "label")
     )
     signed = tiles.join(signs, F.col("doc_id") == F.col("id")).drop("id")
