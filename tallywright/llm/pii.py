@@ -251,9 +251,9 @@ def sanitised(docs: DataFrame, generalise: float = GENERALISE, remove: float = R
     else:
         raw = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)))
         core = F.translate(F.regexp_replace("raw", r"^\p{Punct}+|\p{Punct}+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        held = rows.select(F.xxhash64("text").alias("k"), raw.alias("raw")).select("k", core.alias("term")).distinct().join(terms, "term")
+        held = rows.select(F.sha2("text", 256).alias("k"), raw.alias("raw")).select("k", core.alias("term")).distinct().join(terms, "term")
         held = held.groupBy("k").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("own"))  # bounded by a text's words
-        rows = rows.withColumn("k", F.xxhash64("text")).join(held, "k", "left").drop("k")
+        rows = rows.withColumn("k", F.sha2("text", 256)).join(held, "k", "left").drop("k")
     out_type = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long, clean_text string"
     types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64(), pa.string()]
     names = [c.split()[0] for c in out_type.split(", ")]

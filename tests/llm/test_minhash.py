@@ -116,3 +116,37 @@ def test_repeated_ids_link_by_any_text(spark):
     rows = [(1, one), (9, one), (9, " ".join(other)), (7, " ".join([*other[:-1], "c"])), (3, "unlike the rest of them all")]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (9, 1), (7, 1), (3, 3)} and len(got) == 5
+
+
+def exact_components(rows, percent=75):
+    """Components by an exact prefix-filter join: sets this alike share one of their rarest shingles."""
+    sets = {i: shingles(t) for i, t in rows}
+    often = {}
+    for s in sets.values():
+        for x in s:
+            often[x] = often.get(x, 0) + 1
+    root, index = {i: i for i in sets}, {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, s in sorted(sets.items()):
+        rare = sorted(s, key=lambda x: (often[x], x))[: len(s) - -(-percent * len(s) // 100) + 1]
+        for j in {j for x in rare for j in index.get(x, ())}:
+            t = sets[j]
+            if 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)) and 100 * len(s & t) >= percent * len(s | t):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        for x in rare:
+            index.setdefault(x, []).append(i)
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def test_whole_table_is_exact(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    want = exact_components([(r.doc_id, r.text) for r in docs.collect()])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()}
+    assert len({c for _, c in want.values()}) < len(want) and got == want

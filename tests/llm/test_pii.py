@@ -77,6 +77,45 @@ def test_revealing_terms(spark, monkeypatch):
     assert again == clean
 
 
+def test_query_on_table_with_planted_names(spark):
+    """All of sf0.01 and a few texts that give addresses away, against brute force for spans and terms."""
+    draw = random.Random(12)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    plain = [t for _, t in rows if t and 200 < len(t) < 2000]
+    for i in range(8):
+        rows.append((10**6 + i, f"{draw.choice(plain)} Vrobnik ({'+44 20 7946 0958' if i % 2 else 'v.k@mail3.example.com'}) {draw.choice(plain)}"))
+    found = {k: brute(t or "") for k, (_, t) in enumerate(rows)}
+    texts, entities = {}, {}
+    for k, (_, t) in enumerate(rows):
+        spans = sorted((a, b, x) for x, v in found[k].items() for a, b in v)
+        inside = lambda a, b: any(a < y and x < b for x, y, _ in spans)  # noqa: B023, E731
+        texts[k] = {w for w, a, b in pii.words(t or "") if not inside(a, b)}
+        for a, b, x in spans:
+            entities.setdefault(f"{x}:{t[a:b].lower()}", []).append(k)
+    every = {}
+    for k, (_, t) in enumerate(rows):
+        for w in {w for w, _, _ in pii.words(t or "")}:
+            every[w] = every.get(w, 0) + 1
+    shares, n = {}, len(rows)
+    for docs in entities.values():
+        docs = sorted(set(docs))
+        for w in {w for k in docs for w in texts[k]}:
+            both = [k for k in docs if w in texts[k]]
+            if len({rows[k][1] for k in both}) >= pii.SUPPORT:
+                share = math.log2(len(both) * n / (len(docs) * every[w])) / math.log2(n / len(docs))
+                if share >= pii.GENERALISE:
+                    shares[w] = max(shares.get(w, 0), share)
+    assert "vrobnik" in shares
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.sanitised(df).collect()}
+    for k, (i, t) in enumerate(rows):
+        base = [f"{x}:{a}:{b}" for x in ("email", "ip", "card", "phone") for a, b in found[k][x]]
+        spans = [s for v in found[k].values() for s in v]
+        terms = [f"term:{a}:{b}" for w, a, b in pii.words(t or "") if w in shares and not any(a < y and x < b for x, y in spans)]
+        assert got[i].spans == ",".join(base + terms) and got[i].n_term == len(terms)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+
+
 def test_terms_count_over_whole_texts(spark):
     """A signature repeated in different texts, a name far from the value and a name of two characters are found."""
     draw = random.Random(9)
