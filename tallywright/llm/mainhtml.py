@@ -25,13 +25,17 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*
 _ATTR = re.compile(r"([^\s=\"'/]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 _RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noframes")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-_SKIP_TAGS = frozenset("head nav header footer aside form script style noscript template iframe svg math button select option textarea menu dialog object canvas audio video map title xmp noframes".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot semantics".split())
+_SKIP_TAGS = frozenset("head nav header footer aside form script style noscript template iframe svg annotation button select option textarea menu dialog object canvas audio video map title xmp noframes".split())
 _SKIP_WORDS = frozenset(
     "nav navbar navigation menu header masthead footer sidebar side aside ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion "
     "cookie cookies consent notice notices gdpr comment comments disqus respond replies breadcrumb breadcrumbs share sharing social related newsletter subscribe "
     "subscription signup login popup modal overlay widget pagination pager toolbar search".split()
 )
+#: Words that say nothing about an element. Inside an article a name is boilerplate only if all its words are in
+#: these lists, so "ad-banner" is and "ad-hoc" or "article-header" is not, and a heading may stand in a header.
+_NEUTRAL = frozenset("area bar block bottom box button buttons container content group inner item items left link links list outer post posts right row section site slot top unit wrap wrapper".split())
+_IN_ARTICLE = _SKIP_WORDS - {"header", "side", "social"}
 _SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _CLOSES_P = frozenset(
@@ -70,11 +74,21 @@ class Parsed:
         return ">".join(reversed(keys))
 
 
-def _skipped(tag: str, attrs: str) -> tuple[bool, bool, str]:
+def _boilerplate(value: str, inside: bool) -> bool:
+    """Whether a class or id names boilerplate; more narrowly ``inside`` an article."""
+    if _SKIP_WORDS.isdisjoint(_SPLIT.split(value)):
+        return False
+    if not inside:
+        return True
+    names = (set(_SPLIT.split(name)) for name in value.split())
+    return any(n & _IN_ARTICLE and all(w in _IN_ARTICLE or w in _NEUTRAL or not w or w.isdigit() for w in n) for n in names)
+
+
+def _skipped(tag: str, attrs: str, inside: bool) -> tuple[bool, bool, str]:
     """Whether an element is boilerplate by its tag, role or hiding, whether by a word in its class or id, and its generalised key."""
+    skip, worded, key = tag in _SKIP_TAGS and not (inside and tag == "header"), False, tag
     if not attrs or "=" not in attrs:
-        return tag in _SKIP_TAGS, False, tag
-    skip, worded, key = tag in _SKIP_TAGS, False, tag
+        return skip, False, tag
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name == "class":
@@ -82,7 +96,7 @@ def _skipped(tag: str, attrs: str) -> tuple[bool, bool, str]:
             if first:
                 key = f"{tag}.{re.sub('[0-9]+', 'N', first[0])}"
         if name in ("class", "id"):
-            worded = worded or (tag not in ("html", "body") and not _SKIP_WORDS.isdisjoint(_SPLIT.split(value)))
+            worded = worded or (tag not in ("html", "body", "article", "main") and _boilerplate(value, inside))
         elif name == "role":
             skip = skip or not _SKIP_ROLES.isdisjoint(value.split())
         elif name == "aria-hidden":
@@ -189,7 +203,7 @@ def parse(page: str, spared: frozenset[int] = frozenset()) -> Parsed:
                     break
                 if stack[i][0] in _SAME[tag]:
                     break
-        firm, worded, key = _skipped(tag, m[3])
+        firm, worded, key = _skipped(tag, m[3], open_tags["article"] + open_tags["main"] > 0)
         skip = firm or (worded and lt not in spared)
         if tag in _RAW_END:
             found = _RAW_END[tag].search(page, at)

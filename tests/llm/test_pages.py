@@ -167,3 +167,15 @@ def test_whole_texts_are_kept(spark):
     assert got[4] == "Home Blog\n" + say("text", 60) + "\nEnd."
     assert got[5] == say("piece", 10)
     mainhtml.main_text('<div class="menu">text ' * 20_000, None)  # linear
+
+
+def test_article_parts_are_kept(spark):
+    """A heading in an article's header, ordinary names with a boilerplate word in them, formulas, repeated rows."""
+    inner = '<header><h1>Title</h1></header><div class="article-header"><h2>Sub</h2></div><p>Lead with <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p>'
+    inner += '<div class="ad-hoc"><p>One.</p></div><div id="menu-of-options"><p>Two.</p></div><div class="social"><p>Three.</p></div>'
+    text = "Title\nSub\nLead with x=1.\nOne.\nTwo.\nThree."
+    drop = '<div class="ad-banner">Buy</div><nav>Menu</nav><div class="comment-list"><p>nice</p></div><div id="cookie_notice">OK</div><footer>end</footer><div class="sidebar">side</div>'
+    html = page(f'<header><h1>Site</h1></header><div class="menu-main">Menu</div><article>{inner}{drop}</article><div class="site-header">x</div>')
+    rows = [(1, "http://h.example/1", html), (1, "http://h.example/1", html), (2, "http://h.example/2", html)]
+    got = [(r.page_id, r.text) for r in mainhtml.extracted(spark.createDataFrame(rows, PAGE_SCHEMA)).collect()]
+    assert sorted(got) == [(1, text), (1, text), (2, text)]
