@@ -102,6 +102,8 @@ PREFIXES = ("nakaka", "nakapag", "nakipag", "makapag", "makaka", "napaka", "pina
 SUFFIXES = ("han", "hin", "nan", "nin", "an", "in")
 INFIXES = ("um", "in")
 VOWELS = "aeiou"
+#: A longer run of letters is no word; it is its own only form.
+LONGEST_WORD = 30
 #: What a nasal after ma-, na- or pa- may stand for: it takes the place of the root's first consonant.
 NASALS = (("ng", ("k", "")), ("m", ("p", "b")), ("n", ("t", "d", "s")))
 #: Words that look derived and are not, or mean something else than their root.
@@ -139,8 +141,8 @@ def _unsuffixed(w: str, suffix: str) -> list[str]:
 
 def candidates(word: str) -> list[str]:
     """Forms that a word may be derived from: affixes, infixes, repeated syllables and linkers taken off, sounds that they changed restored."""
-    forms, todo = {word}, [word]
-    while todo and len(forms) < 2000:
+    forms, todo = {word}, [word] if len(word) <= LONGEST_WORD else []
+    while todo:  # every step shortens a form
         w = todo.pop()
         new = [w[len(p) :].lstrip("-") for p in PREFIXES if w.startswith(p) and len(w) - len(p) >= 3]
         new += _nasal(w)

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.functions import multiplicity, tails
+from tallywright.functions import multiplicity, names, tails
 
 #: Answer codes that mean a missing answer on a scale.
 MISSING = (97, 98, 99)
@@ -68,10 +69,16 @@ def text_of(c: Column, kind: str) -> Column:
     return F.trim(c.cast("string"))
 
 
+def natural(text: Column) -> list[Column]:
+    """Sort keys of category text: numbers by value and first, then other text by its letters."""
+    number = F.replace(text, F.lit(","), F.lit("")).try_cast("double")
+    return [number.asc_nulls_last(), F.lower(text).asc(), text.asc()]
+
+
 def banners(df: DataFrame, names: list[str]) -> list[tuple[str, Column]]:
     """Label and membership of each banner column.
 
-    One name of a column gives a banner per distinct value, in order of its text. Otherwise each name is
+    One name of a column gives a banner per distinct value, numbers by value and other text by its letters. Otherwise each name is
     an exact value of the first column that has it, or a column (present and not 0), or a word in the
     first column whose values contain it; what is found nowhere is an empty banner. Without names the
     first column with two to eight values is used.
@@ -86,7 +93,7 @@ def banners(df: DataFrame, names: list[str]) -> list[tuple[str, Column]]:
     column = resolve_column(df, names[0]) if len(names) == 1 else None
     if column:
         text = text_of(F.col(column), kinds[column])
-        values = [r.v for r in df.select(text.alias("v")).filter("v is not null").distinct().orderBy("v").limit(MAX_BANNERS + 1).collect()]
+        values = [r.v for r in df.select(text.alias("v")).filter("v is not null").distinct().orderBy(*natural(F.col("v"))).limit(MAX_BANNERS + 1).collect()]
         if len(values) > MAX_BANNERS:
             raise ValueError(f"{column} has more than {MAX_BANNERS} values; choose a banner with fewer")
         return [(v, text == v) for v in values]
@@ -133,6 +140,23 @@ class Stub:
         return self.high is not None
 
 
+def scale_of_values(column: str, low: float, high: float, kinds: int, whole: bool) -> tuple[int, int] | None:
+    """The scale that numbers from ``low`` to ``high`` belong to, also where nobody chose its lowest points.
+
+    A column named like a rating, or whole numbers of 1 to 5 in one that isn't named like a count, starts at
+    1 (0 for nps or if 0 occurs), and at 5 ends what has no answer above 4.
+    """
+    if not whole:
+        return None
+    rating, likert = names.is_rating(column), 1 <= low and high <= 5 and kinds >= 2
+    known = low in (0, 1)
+    guessed = not known and 0 <= low <= 3 and (rating or (likert and not names.is_count(column)))
+    if not (known or guessed) or high not in SCALE_TOPS:
+        return None
+    start = int(low) if known else int("nps" not in names.words(column))
+    return start, 5 if high == 4 and (rating or likert) else int(high)
+
+
 def read_stub(df: DataFrame, column: str) -> Stub:
     """By name ``_XtoY`` or by values: at most 11 numbers from 0 or 1 to a usual top; else text with commas."""
     kind = dict(df.dtypes)[column]
@@ -143,10 +167,9 @@ def read_stub(df: DataFrame, column: str) -> Stub:
     c = F.col(column)
     if numeric:
         valid = F.when(~c.isin(*MISSING), c)
-        r = df.agg(F.min(valid).alias("lo"), F.max(valid).alias("hi"), F.approx_count_distinct(c).alias("n"), F.bool_and(valid == F.floor(valid)).alias("whole")).first()
-        if r.lo is not None and r.n <= 14 and r.whole and r.lo in (0, 1) and r.hi in SCALE_TOPS:
-            return Stub(column, True, int(r.lo), int(r.hi))
-        return Stub(column, True)
+        r = df.agg(F.min(valid).alias("lo"), F.max(valid).alias("hi"), F.approx_count_distinct(valid).alias("n"), F.bool_and(valid == F.floor(valid)).alias("whole")).first()
+        scale = scale_of_values(column, r.lo, r.hi, r.n, bool(r.whole)) if r.lo is not None and r.n <= 14 else None
+        return Stub(column, True, *(scale or ()))
     share = df.agg(F.avg(c.cast("string").contains(", ").cast("double")).alias("s")).first().s or 0.0
     return Stub(column, False, multi=share > 0.10)
 
@@ -364,6 +387,49 @@ def anova(df: DataFrame, value: str, group: str, weight: str | None = None) -> D
     return out.withColumn("p", tails.f_p("f", "df1", "df2"))
 
 
+def overlapping(df: DataFrame, columns: list[tuple[str, Column]]) -> bool:
+    """Whether some respondent is in two of the banner columns, which are no independent samples then."""
+    held = reduce(lambda a, b: a + b, [F.coalesce(m, F.lit(False)).cast("int") for _, m in columns], F.lit(0))
+    return (df.agg(F.max(held)).first()[0] or 0) > 1
+
+
+def omnibus(df: DataFrame, stub: str, banner: list[str], weight: str | None = None, metric: str = "pct") -> DataFrame:
+    """The test of a whole crosstab over its banner columns: test, stat, df1, df2, p, skipped.
+
+    A mean line gets an analysis of variance; categories a chi-square on counts scaled to the effective base;
+    a multi-select the second-order Rao-Scott test, on respondents. The last two need exclusive columns:
+    overlapping ones are skipped, and ``skipped`` says why. Fewer than two columns or lines give no row.
+    """
+    spark = df.sparkSession
+    name = resolve_column(df, stub)
+    if name is None:
+        raise ValueError(f"no column {stub}")
+    kind, cols = read_stub(df, name), banners(df, banner)
+    schema = "test string, stat double, df1 double, df2 double, p double, skipped string"
+    if len(cols) < 2:
+        return spark.createDataFrame([], schema)
+    w = F.coalesce(F.col(weight), F.lit(0)).cast("double") if weight else F.lit(1.0)
+    place = F.array_compact(F.array(*[F.when(m, F.lit(i)) for i, (_, m) in enumerate(cols, 1)]))
+    t = df.filter(F.col(name).isNotNull()).select(F.col(name).alias("stub"), w.alias("w"), place.alias("place"))
+    if kind.numeric:
+        if metric != "mean":
+            return spark.createDataFrame([], schema)
+        f = anova(t.withColumn("g", F.explode("place")), "stub", "g", "w")
+        return f.select(F.lit("anova").alias("test"), F.col("f").alias("stat"), F.col("df1").cast("double").alias("df1"), F.col("df2").cast("double").alias("df2"), "p", F.lit(None).cast("string").alias("skipped"))
+    test = "rao_scott_2" if kind.multi else "chi_square"
+    if overlapping(df, cols):
+        return spark.createDataFrame([(test, None, None, None, None, "banner columns overlap; test one banner variable")], schema)
+    t = t.filter(F.size("place") > 0).withColumn("g", F.element_at("place", 1).cast("string"))
+    if kind.multi:
+        from tallywright.operators import multiselect
+
+        options = [o for o, _ in multiselect.census(df, name)]
+        out = rao_scott(t.withColumn("chosen", multiselect.split_answers(F.col("stub"))), options, "g")
+    else:
+        out = crosstab_chi_square(t, "stub", "g", "w")
+    return out.select(F.lit(test).alias("test"), "stat", F.col("df").cast("double").alias("df1"), F.lit(None).cast("double").alias("df2"), "p", F.lit(None).cast("string").alias("skipped"))
+
+
 def rao_scott(answers: DataFrame, options: list[str], group: str = "group", chosen: str = "chosen") -> DataFrame:
     """stat, df, p of simultaneous independence of options and exclusive groups, second order.
 

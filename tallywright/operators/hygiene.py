@@ -1,22 +1,25 @@
-"""Quality flags of respondents: duplicates, straight-liners, durations; all window and scalar expressions."""
+"""Quality flags of respondents: duplicates, straight-liners, durations."""
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.functions import names
+from tallywright.operators.ordered import quantile
+
 FLAGS = ("DUPLICATE_ID", "STRAIGHT_LINER", "INVALID_DURATION", "SPEEDER", "DUPLICATE_RECORD")
-ID_NAME = re.compile(r"(respondent|resp)?_?id$|^id$|_no$", re.I)
-TIME_NAME = re.compile(r"duration|time_?taken|completion_?time|seconds|_sec$|loi", re.I)
-RATING_NAME = re.compile(r"rating|_\d+to\d+$|likert|satisf|sat_|_sat", re.I)
 
 
-def duplicate_ids(column: str) -> Column:
-    """Whether another row has the same id; blank-trimmed and case-folded, nulls alike."""
-    key = F.coalesce(F.upper(F.trim(F.col(column).cast("string"))), F.lit("NAN"))
-    return F.count("*").over(Window.partitionBy(key)) > 1
+def repeated(df: DataFrame, keys: list[Column], out: str) -> DataFrame:
+    """``df`` with ``out``: whether another row has equal (or equally null) ``keys``.
+
+    Keys are counted first, and only those that occur twice meet the rows again.
+    """
+    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    twice = df.select(*named).groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n").withColumn(out, F.lit(True))
+    on = [k.eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(twice, on, "left").drop(*[f"_k{i}" for i in range(len(keys))]).withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def straight_liner(columns: list[str]) -> Column:
@@ -25,31 +28,44 @@ def straight_liner(columns: list[str]) -> Column:
     return (F.size(answers) >= 2) & (F.array_min(answers) == F.array_max(answers)) if len(columns) >= 3 else F.lit(False)
 
 
+def rating_columns_of(df: DataFrame) -> list[str]:
+    """Columns named like ratings; of those with bounds in their names the ones on the commonest scale."""
+    found = [c for c in df.columns if not c.startswith("__") and names.is_rating(c)]
+    scales = [names.scale_of(c) for c in found if names.scale_of(c)]
+    if not scales:
+        return found
+    usual = max(sorted(set(scales)), key=scales.count)
+    return [c for c in found if names.scale_of(c) in (None, usual)]
+
+
 def audited(df: DataFrame, id_column: str | None = None, time_column: str | None = None, rating_columns: list[str] | None = None, substantive: list[str] | None = None) -> DataFrame:
     """``df`` with ``flags`` (array), ``__is_flagged`` and ``__flag_reasons``.
 
-    Unnamed columns are found by name. A speeder takes less than a third of the median valid time;
-    a null or non-positive time is invalid. Duplicate records agree in all substantive columns, of
-    which there must be four (all but id, time and ``__`` columns).
+    Unnamed columns are found by name. Ids are compared trimmed and case-folded, nulls alike. A speeder
+    takes less than a third of the median valid time; a null or non-positive time is invalid. Duplicate
+    records agree in all substantive columns, of which there must be four (all but id, time and ``__``
+    columns).
     """
-    names = [c for c in df.columns if not c.startswith("__")]
-    id_column = id_column or next((c for c in names if ID_NAME.search(c)), None)
-    time_column = time_column or next((c for c in names if TIME_NAME.search(c)), None)
-    rating_columns = rating_columns if rating_columns is not None else [c for c in names if RATING_NAME.search(c)]
-    substantive = substantive if substantive is not None else [c for c in names if c not in (id_column, time_column)]
-    flags = []
+    own = [c for c in df.columns if not c.startswith("__")]
+    id_column = id_column or next((c for c in own if names.is_id(c)), None)
+    time_column = time_column or next((c for c in own if names.is_time(c)), None)
+    rating_columns = rating_columns if rating_columns is not None else rating_columns_of(df)
+    substantive = substantive if substantive is not None else [c for c in own if c not in (id_column, time_column)]
+    flags, out = [], df
     if id_column:
-        flags.append(F.when(duplicate_ids(id_column), "DUPLICATE_ID"))
+        out = repeated(out, [F.coalesce(F.upper(F.trim(F.col(id_column).cast("string"))), F.lit("NAN"))], "__twice")
+        flags.append(F.when(F.col("__twice"), "DUPLICATE_ID"))
     flags.append(F.when(straight_liner(rating_columns), "STRAIGHT_LINER"))
     if time_column:
         t = F.col(time_column).try_cast("double")
-        usual = df.filter(t > 0).agg(F.median(t)).first()[0]
+        usual = quantile(df.filter(t > 0), t, 0.5)
         flags.append(F.when(t.isNull() | F.isnan(t) | (t <= 0), "INVALID_DURATION"))
         if usual is not None:
             flags.append(F.when((t > 0) & (t < usual / 3), "SPEEDER"))
     if len(substantive) >= 4:
-        flags.append(F.when(F.count("*").over(Window.partitionBy(*substantive)) > 1, "DUPLICATE_RECORD"))
-    out = df.withColumn("flags", F.array_compact(F.array(*flags)))
+        out = repeated(out, [F.col(c) for c in substantive], "__same")
+        flags.append(F.when(F.col("__same"), "DUPLICATE_RECORD"))
+    out = out.withColumn("flags", F.array_compact(F.array(*flags))).drop("__twice", "__same")
     return out.withColumn("__is_flagged", F.size("flags") > 0).withColumn("__flag_reasons", F.array_join("flags", "; "))
 
 

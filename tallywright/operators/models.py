@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 
 from tallywright.functions import multiplicity, tails
 from tallywright.operators.crosstab import text_of
+from tallywright.operators.ordered import quantiles, running
 
 MAX_COMBINATIONS = 1_500_000
+#: Patterns of respondents that the branch and bound takes to the driver.
+MAX_PATTERNS = 1_000_000
+#: Distinct pairs of values in a Kendall correlation, which are compared with each other.
+MAX_PAIRS = 20_000
 
 
 def _one(df: DataFrame, **values) -> DataFrame:
@@ -30,8 +35,7 @@ def midranks(df: DataFrame, value: str, weight: str | None = None, by: list[str]
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     v = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.sum(w).alias("_w"))
-    upto = F.sum("_w").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    v = v.withColumn("_r", (2 * upto - F.col("_w")) / 2 + 0.5).select(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)], "_v", "_r")
+    v = running(v, "_v", "_w", by).withColumn("_r", (2 * F.col("upto") - F.col("_w")) / 2 + 0.5).select(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(by)], "_v", "_r")
     on = [df[value] == v["_v"]] + [df[b].eqNullSafe(v[f"_b{i}"]) for i, b in enumerate(by)]
     return df.join(v, on, "left").withColumn(out, F.col("_r")).drop("_v", "_r", *[f"_b{i}" for i in range(len(by))])
 
@@ -45,9 +49,8 @@ def _rank_cells(df: DataFrame, value: str, group: str, weight: str | None, resca
     if rescale:
         k = t.agg((F.sum("w") / F.sum("w2")).alias("k")).first()[0] or 1.0
         t = t.withColumn("w", F.col("w") * k).withColumn("w2", F.col("w2") * k * k)
-    y = t.groupBy("y").agg(F.sum("w").alias("yw"))
-    upto = F.sum("yw").over(Window.partitionBy().orderBy("y").rowsBetween(Window.unboundedPreceding, 0))  # distinct values
-    y = y.select(F.col("y").alias("yy"), ((2 * upto - F.col("yw")) / 2 + 0.5).alias("r"))
+    y = running(t.groupBy("y").agg(F.sum("w").alias("yw")), "y", "yw")
+    y = y.select(F.col("y").alias("yy"), ((2 * F.col("upto") - F.col("yw")) / 2 + 0.5).alias("r"))
     return t.join(y, F.col("y") == F.col("yy")).drop("yy")
 
 
@@ -91,7 +94,8 @@ def mann_whitney(df: DataFrame, value: str, group: str, a: str, b: str) -> DataF
         F.sum(F.when(F.col("g") == a, F.col("r") * F.col("w"))).alias("ra"), F.sum(F.when(F.col("g") == a, F.col("w"))).alias("na"), F.sum(F.when(F.col("g") == b, F.col("w"))).alias("nb")
     )
     ties = cells.groupBy("y").agg(F.sum("w").alias("k")).agg(F.sum(F.pow("k", F.lit(3.0)) - F.col("k")).alias("ties"))
-    medians = t.agg(F.median(F.when(g == a, F.col(value).cast("double"))).alias("median_a"), F.median(F.when(g == b, F.col(value).cast("double"))).alias("median_b"))
+    q = quantiles(t.select(g.alias("g"), F.col(value).alias("x")), F.col("x"), [0.5], ["g"])
+    medians = q.agg(F.max(F.when(F.col("g") == a, F.col("q")[0])).alias("median_a"), F.max(F.when(F.col("g") == b, F.col("q")[0])).alias("median_b"))
     s = s.crossJoin(F.broadcast(ties)).crossJoin(F.broadcast(medians))  # one row each
     n = F.col("na") + F.col("nb")
     u = F.col("ra") - F.col("na") * (F.col("na") + 1) / 2
@@ -105,8 +109,7 @@ def wilcoxon(df: DataFrame, before: str, after: str) -> DataFrame:
     """w (the lesser signed rank sum), z, p of paired values; zero differences are dropped, five must remain."""
     d = df.select((F.col(after).cast("double") - F.col(before).cast("double")).alias("d")).filter("d is not null and d <> 0")
     c = d.groupBy(F.abs("d").alias("y")).agg(F.count("*").cast("double").alias("k"), F.sum(F.when(F.col("d") > 0, 1.0).otherwise(0.0)).alias("up"))
-    upto = F.sum("k").over(Window.partitionBy().orderBy("y").rowsBetween(Window.unboundedPreceding, 0))
-    c = c.withColumn("r", (2 * upto - F.col("k") + 1) / 2)
+    c = running(c, "y", "k").withColumn("r", (2 * F.col("upto") - F.col("k") + 1) / 2)
     s = c.agg(F.sum(F.col("up") * F.col("r")).alias("plus"), F.sum((F.col("k") - F.col("up")) * F.col("r")).alias("minus"), F.sum("k").alias("n"), F.sum(F.pow("k", F.lit(3.0)) - F.col("k")).alias("ties"))
     w = F.least("plus", "minus")
     sd = F.sqrt(F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48)
@@ -173,10 +176,12 @@ def correlation(df: DataFrame, x: str, y: str, kind: str = "pearson") -> DataFra
 def kendall(t: DataFrame) -> DataFrame:
     """Tau-b of columns x and y, from the table of distinct pairs.
 
-    Discordant and concordant weights come from one join of that table with itself, so use it on
-    variables with a bounded number of values (ratings, codes).
+    Discordant and concordant weights come from one join of that table with itself, so it is for
+    variables with a bounded number of values (ratings, codes): more than MAX_PAIRS pairs are an error.
     """
     c = t.groupBy("x", "y").agg(F.count("*").cast("double").alias("k"))
+    if c.count() > MAX_PAIRS:
+        raise ValueError(f"more than {MAX_PAIRS} pairs of values; use spearman, or coarser values")
     a, b = c.alias("a"), c.alias("b")
     sign = F.signum(F.col("a.y") - F.col("b.y"))
     s = a.join(b, F.expr("a.x > b.x")).agg(F.sum(sign * F.col("a.k") * F.col("b.k")).alias("s"))
@@ -334,16 +339,16 @@ def quadrants(df: DataFrame, target: str, attributes: list[str], weight: str | N
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     pairs = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("double").alias("x")) for a in attributes])
     t = df.select(F.col(target).cast("double").alias("y"), w.alias("w"), F.explode(pairs).alias("p")).select("y", "w", "p.attribute", "p.x").filter("x is not null and y is not null")
-    stats = t.groupBy("attribute").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("performance"), F.count_distinct("x").alias("k"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n"))
+    stats = t.groupBy("attribute").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("performance"), F.count_distinct("x").alias("k"), F.count("*").alias("n"))
     few = stats.agg(F.min("n")).first()[0] or 0
     if few < 10:
         raise ValueError("each attribute needs ten answers")
-    stats = F.broadcast(stats)  # one row per attribute
+    cuts = quantiles(t, F.col("x"), [0.25, 0.5, 0.75], ["attribute"]).withColumnRenamed("attribute", "of")
+    stats = F.broadcast(stats.join(F.broadcast(cuts), F.col("attribute") == F.col("of")).drop("of"))  # one row per attribute
     b = t.join(stats, "attribute").withColumn("bin", F.when(F.col("k") <= 10, F.col("x")).otherwise(F.size(F.filter(F.array_distinct("q"), lambda e: e < F.col("x"))).cast("double")))
     c = b.groupBy("attribute", "bin", "y").agg(F.count("*").cast("double").alias("c"))
     y = c.groupBy("attribute", "y").agg(F.sum("c").alias("yc"))
-    upto = F.sum("yc").over(Window.partitionBy("attribute").orderBy("y").rowsBetween(Window.unboundedPreceding, 0))
-    y = y.withColumn("r", (2 * upto - F.col("yc") + 1) / 2)
+    y = running(y, "y", "yc", ["attribute"]).withColumn("r", (2 * F.col("upto") - F.col("yc") + 1) / 2)
     g = c.join(y, ["attribute", "y"]).groupBy("attribute", "bin").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("r")).alias("s"), F.sum(F.col("c") * F.col("r") * F.col("r")).alias("ss"))
     h = g.groupBy("attribute").agg(F.sum(F.col("s") * F.col("s") / F.col("c")).alias("a"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), (F.count("*") - 1).alias("df"))
     centred = F.col("s") * F.col("s") / F.col("c")
@@ -391,7 +396,10 @@ def turf(df: DataFrame, items: list[Column], labels: list[str], k: int, top: int
         scored = scored.groupBy("combo").agg(F.sum(F.when(hit > 0, F.col("w")).otherwise(0.0)).alias("rw"), F.sum(hit * F.col("w")).alias("mw"), F.sum("w").alias("tw"))
         best = scored.select("combo", (F.col("rw") / F.col("tw")).alias("reach"), F.when(F.col("rw") > 0, F.col("mw") / F.col("rw")).otherwise(0.0).alias("frequency"))
     else:
-        found = _branch_and_bound([(r.mask, r.w) for r in p.collect()], m, k, top)  # at most 2**m patterns of respondents
+        few = p.limit(MAX_PATTERNS + 1).collect()
+        if len(few) > MAX_PATTERNS:
+            raise ValueError(f"more than {MAX_PATTERNS} different answers; choose fewer items")
+        found = _branch_and_bound([(r.mask, r.w) for r in few], m, k, top)
         best = spark.createDataFrame(found, "combo long, reach double, frequency double")
     name = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.call_function("getbit", F.col("combo"), i) == 1), lambda i: F.element_at(F.array(*[F.lit(x) for x in labels]), i + 1)), " + ")
     named = best.withColumn("items", name)

@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.operators.ordered import quantile
+
 NO_ANSWER = "__NA__"
 MAX_CELLS = 200_000
 CYCLES = 5
@@ -154,7 +156,7 @@ def soft_trim(df: DataFrame, weight: str, percentile: float | None = 95.0, cap_r
         mean = df.agg(F.avg(w)).first()[0] or 0.0
         pulled = F.least(w, F.lit(cap_ratio * mean))
     else:
-        top = df.agg(F.percentile(w, F.lit(percentile / 100))).first()[0] or 0.0
+        top = quantile(df, w, percentile / 100) or 0.0
         pulled = F.when(w > top, F.lit(top) + F.log1p(F.greatest(w - top, F.lit(0.0)))).otherwise(w)
     sums = df.agg(F.sum(w).alias("a"), F.sum(pulled).alias("b")).first()
     return df.withColumn(out, pulled * ((sums.a or 0.0) / sums.b if sums.b else 1.0))
@@ -181,7 +183,7 @@ def use_weight_column(df: DataFrame, weight: str, out: str = "weight") -> DataFr
 
 def suggested_weight(columns: list[str]) -> str | None:
     """A column that is named like a weight; it is suggested, never applied."""
-    names = {"weight", "weights", "wt", "wgt", "wts", "wtvar", "weight_var", "rim_weight", "rimweight", "final_weight", "finalweight", "sample_weight"}
+    names = {"weight", "weights", "wt", "wgt", "wts", "wtvar", "weight_var", "rim_weight", "rimweight", "final_weight", "finalweight", "sample_weight", "wght", "survey_weight", "pweight", "wt_final", "weight_final"}
     return next((c for c in columns if c.strip().lower().replace(" ", "_") in names), None)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tallywright.functions import textprep
 from tallywright.operators import crosstab as ct
 from tallywright.operators import hygiene, models, multiselect, openends, reporting, rules, weighting
 from tallywright.operators import profile as profiling
+from tallywright.plans import tailsql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,15 +78,29 @@ def crosstab_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MEANS = """
-    WITH long AS (SELECT l_linenumber AS x, l_quantity AS w, 'Total' AS col FROM lineitem UNION ALL SELECT l_linenumber, l_quantity, l_returnflag FROM lineitem),
-    m AS (SELECT col, count(*) AS n, sum(w) AS sw, sum(w * w) AS sww, sum(w * x) / sum(w) AS mean, sum(w * x * x) / sum(w) AS sq FROM long GROUP BY 1)"""
-
-
-@query(_MEANS + "SELECT col AS col_label, n AS base_n, round(mean, 6) AS value, round(sqrt((sq - mean * mean) * n / (n - 1)), 6) AS sd, round(sw * sw / sww, 1) AS neff FROM m")
+    WITH o AS (SELECT v, row_number() OVER (ORDER BY v) AS ord FROM (SELECT DISTINCT l_returnflag AS v FROM lineitem)),
+    long AS (SELECT l_linenumber AS x, l_quantity AS w, 'Total' AS col, 0 AS ord FROM lineitem UNION ALL SELECT l_linenumber, l_quantity, l_returnflag, ord FROM lineitem JOIN o ON l_returnflag = v),
+    s AS (SELECT col, ord, count(*) AS n, sum(w) AS sw, sum(w * w) AS sww, sum(w * x) AS sx, sum(w * x * x) AS sxx FROM long GROUP BY 1, 2),
+    m AS (SELECT *, sx / sw AS mean, sqrt((sxx / sw - sx / sw * sx / sw) * n / (n - 1)) AS sd, sw * sw / sww AS raw, round(sw * sw / sww, 1) AS neff FROM s)"""
+
+
+@query(_MEANS + f""",
+    pairs AS (SELECT a.ord AS i, b.ord AS j, a.neff AS na, b.neff AS nb, a.mean - b.mean AS d, a.sd * a.sd / a.neff AS va, b.sd * b.sd / b.neff AS vb FROM m a JOIN m b ON a.ord < b.ord WHERE a.ord > 0),
+    tested AS (SELECT *, d / sqrt(va + vb) AS t, power(va + vb, 2) / (va * va / (na - 1) + vb * vb / (nb - 1)) AS df FROM pairs),
+    won AS (SELECT CASE WHEN d > 0 THEN i ELSE j END AS ord, i, j, chr(CAST(CASE WHEN d > 0 THEN 64 + j ELSE 64 + i END AS INTEGER)) AS l, {tailsql.t("t", "df")} AS p FROM tested WHERE na >= 20 AND nb >= 20),
+    letters AS (SELECT ord, string_agg(CASE WHEN p < 0.05 THEN l WHEN p < 0.10 THEN lower(l) END, ' ' ORDER BY i, j) AS letters FROM won GROUP BY 1),
+    rest AS (SELECT c.*, t.n - c.n AS rn, t.sw - c.sw AS rw, t.sww - c.sww AS rww, t.sx - c.sx AS rx, t.sxx - c.sxx AS rxx FROM m c JOIN m t ON t.ord = 0 WHERE c.ord > 0),
+    bench AS (SELECT ord, raw, rw * rw / rww AS rraw, mean - rx / rw AS d, sd * sd / raw AS va, (rxx / rw - rx / rw * rx / rw) * rn / (rn - 1) / (rw * rw / rww) AS vb FROM rest),
+    bt AS (SELECT *, d / sqrt(va + vb) AS t, power(va + vb, 2) / (va * va / (raw - 1) + vb * vb / (rraw - 1)) AS df FROM bench),
+    bp AS (SELECT *, {tailsql.t("t", "df")} AS p FROM bt)
+    SELECT m.col AS col_label, m.n AS base_n, round(mean, 6) AS value, round(sd, 6) AS sd, neff, CASE WHEN m.ord = 0 THEN '-' ELSE coalesce(letters, '') END AS letters,
+        CASE WHEN m.ord = 0 THEN '-' WHEN bp.raw < 20 OR rraw < 20 THEN '' WHEN p < 0.05 THEN CASE WHEN d > 0 THEN '++' ELSE '--' END WHEN p < 0.10 THEN CASE WHEN d > 0 THEN '+' ELSE '-' END ELSE '' END AS benchmark, round(p, 6) AS p
+    FROM m LEFT JOIN letters l ON m.ord = l.ord LEFT JOIN bp ON m.ord = bp.ord""")
 def crosstab_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted mean and standard deviation of line number by return flag."""
-    t = ct.crosstab(read(spark, sf_dir, "lineitem"), "l_linenumber", ["l_returnflag"], "l_quantity", metric="mean")
-    return t.select("col_label", "base_n", F.round("value", 6).alias("value"), F.round("sd", 6).alias("sd"), "neff")
+    """Weighted mean and standard deviation of line number by return flag, with letters and benchmark."""
+    t = ct.crosstab(read(spark, sf_dir, "lineitem"), "l_linenumber", ["l_returnflag"], "l_quantity", metric="mean", stat_columns=True)
+    p = F.when(F.col("col_ord") > 0, F.round("bm_p", 6)).alias("p")
+    return t.select("col_label", "base_n", F.round("value", 6).alias("value"), F.round("sd", 6).alias("sd"), "neff", "letters", "benchmark", p)
 
 
 @query("""
@@ -106,30 +122,49 @@ def crosstab_top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.filter("col_ord = 0").select("label", F.round("value", 6).alias("value"))
 
 
-@query()
+@query(f"""
+    WITH o AS (SELECT v, row_number() OVER (ORDER BY v) AS ord FROM (SELECT DISTINCT l_returnflag AS v FROM lineitem)),
+    long AS (SELECT l_linenumber AS x, l_quantity AS w, 'Total' AS col, 0 AS ord FROM lineitem UNION ALL SELECT l_linenumber, l_quantity, l_returnflag, ord FROM lineitem JOIN o ON l_returnflag = v),
+    r AS (SELECT 0 AS row_ord, 'NET: Top-2-Box (6-7)' AS label, true AS is_net, 6 AS lo, 7 AS hi UNION ALL SELECT 8 - k, CAST(k AS VARCHAR), false, k, k FROM range(1, 8) g(k)),
+    cells AS (SELECT row_ord, label, is_net, ord, col, count(*) AS n, sum(w) AS sw, round(sum(w) * sum(w) / sum(w * w), 1) AS neff, sum(CASE WHEN x BETWEEN lo AND hi THEN w ELSE 0 END) / sum(w) AS p FROM long, r GROUP BY ALL),
+    z AS (SELECT a.row_ord, a.ord AS i, b.ord AS j, a.neff AS na, b.neff AS nb, (a.p - b.p) / sqrt((a.p * a.neff + b.p * b.neff) / (a.neff + b.neff) * (1 - (a.p * a.neff + b.p * b.neff) / (a.neff + b.neff)) * (1 / a.neff + 1 / b.neff)) AS z
+        FROM cells a JOIN cells b ON a.row_ord = b.row_ord AND a.ord < b.ord WHERE a.ord > 0),
+    q AS (SELECT *, {tailsql.normal("z")} AS q FROM z), k AS (SELECT *, row_number() OVER (PARTITION BY row_ord ORDER BY q, i, j) AS r, count(*) OVER (PARTITION BY row_ord) AS m FROM q),
+    adj AS (SELECT *, least(1.0, min(q * m / r * list_sum(list_transform(range(1, m + 1), lambda h: 1.0 / h))) OVER (PARTITION BY row_ord ORDER BY r DESC)) AS pa FROM k),
+    won AS (SELECT row_ord, CASE WHEN z > 0 THEN i ELSE j END AS ord, i, j, pa, chr(CAST(CASE WHEN z > 0 THEN 64 + j ELSE 64 + i END AS INTEGER)) AS l FROM adj WHERE na >= 20 AND nb >= 20),
+    letters AS (SELECT row_ord, ord, string_agg(CASE WHEN pa < 0.05 THEN l WHEN pa < 0.10 THEN lower(l) END, ' ' ORDER BY i, j) AS letters FROM won GROUP BY 1, 2),
+    rest AS (SELECT c.row_ord, c.ord, c.p, c.neff, greatest(0, least(1, (t.p * t.n - c.p * c.n) / (t.n - c.n))) AS pr, greatest(1, (t.n - c.n) * t.neff / t.n) AS nr FROM cells c JOIN cells t ON c.row_ord = t.row_ord AND t.ord = 0 WHERE c.ord > 0),
+    b AS (SELECT *, (p - pr) / sqrt((p * neff + pr * nr) / (neff + nr) * (1 - (p * neff + pr * nr) / (neff + nr)) * (1 / neff + 1 / nr)) AS z FROM rest), bp AS (SELECT *, {tailsql.normal("z")} AS q FROM b)
+    SELECT CAST(c.row_ord AS INTEGER) AS row_ord, label, is_net, CAST(c.ord AS INTEGER) AS col_ord, c.col AS col_label, CASE WHEN c.ord = 0 THEN '' ELSE chr(CAST(64 + c.ord AS INTEGER)) END AS letter, c.n AS base_n, round(sw, 1) AS base_w, c.neff, c.neff < 30 AS small_base,
+        round(c.p, 4) AS value, CAST(NULL AS DOUBLE) AS sd, CASE WHEN c.ord = 0 THEN '-' ELSE coalesce(letters, '') END AS letters,
+        CASE WHEN c.ord = 0 THEN '-' WHEN bp.neff < 20 OR nr < 20 THEN '' WHEN q < 0.05 THEN CASE WHEN z > 0 THEN '++' ELSE '--' END WHEN q < 0.10 THEN CASE WHEN z > 0 THEN '+' ELSE '-' END ELSE '' END AS benchmark
+    FROM cells c LEFT JOIN letters l ON c.row_ord = l.row_ord AND c.ord = l.ord LEFT JOIN bp ON c.row_ord = bp.row_ord AND c.ord = bp.ord""")
 def crosstab_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters under false-discovery control for dependent tests."""
     return rounded(ct.crosstab(read(spark, sf_dir, "lineitem"), "l_linenumber", ["l_returnflag"], "l_quantity", fdr="by"))
 
 
-@query("""
+@query(f"""
     WITH c AS (SELECT o_orderpriority AS r, o_orderstatus AS c, sum(o_totalprice) AS w, sum(o_totalprice * o_totalprice) AS ww FROM orders GROUP BY 1, 2),
     s AS (SELECT r, c, w * sum(w) OVER () / sum(ww) OVER () AS v FROM c),
-    e AS (SELECT v, sum(v) OVER (PARTITION BY r) * sum(v) OVER (PARTITION BY c) / sum(v) OVER () AS e FROM s)
-    SELECT round(sum((v - e) * (v - e) / e), 4) AS stat, (SELECT (count(DISTINCT r) - 1) * (count(DISTINCT c) - 1) FROM c) AS df FROM e""")
+    e AS (SELECT v, sum(v) OVER (PARTITION BY r) * sum(v) OVER (PARTITION BY c) / sum(v) OVER () AS e FROM s),
+    x AS (SELECT sum((v - e) * (v - e) / e) AS stat, (SELECT (count(DISTINCT r) - 1) * (count(DISTINCT c) - 1) FROM c) AS df FROM e)
+    SELECT round(stat, 4) AS stat, df, round({tailsql.chi2("stat", "df")}, 6) AS p FROM x""")
 def crosstab_chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chi-square of the weighted table, scaled to the effective base."""
     t = ct.crosstab_chi_square(read(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", "o_totalprice")
-    return t.select(F.round("stat", 4).alias("stat"), F.col("df").cast("long"))
+    return t.select(F.round("stat", 4).alias("stat"), F.col("df").cast("long"), F.round("p", 6).alias("p"))
 
 
-@query("""
+@query(f"""
     WITH g AS (SELECT l_returnflag AS g, count(*) AS n, sum(l_quantity) AS w, sum(l_quantity * l_linenumber) AS s, sum(l_quantity * l_linenumber * l_linenumber) AS ss FROM lineitem GROUP BY 1),
-    a AS (SELECT sum(s * s / w) AS a, sum(s) AS s, sum(w) AS w, sum(ss) AS ss, sum(n) AS n, count(*) AS k FROM g)
-    SELECT round(((a - s * s / w) / (k - 1)) / ((ss - a) / (n - k)), 4) AS f, CAST(k - 1 AS BIGINT) AS df1, CAST(n - k AS BIGINT) AS df2 FROM a""")
+    a AS (SELECT sum(s * s / w) AS a, sum(s) AS s, sum(w) AS w, sum(ss) AS ss, sum(n) AS n, count(*) AS k FROM g),
+    x AS (SELECT ((a - s * s / w) / (k - 1)) / ((ss - a) / (n - k)) AS f, CAST(k - 1 AS BIGINT) AS df1, CAST(n - k AS BIGINT) AS df2 FROM a)
+    SELECT round(f, 4) AS f, df1, df2, round({tailsql.f("f", "df1", "df2")}, 6) AS p FROM x""")
 def anova(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted one-way analysis of variance of line number by return flag."""
-    return ct.anova(read(spark, sf_dir, "lineitem"), "l_linenumber", "l_returnflag", "l_quantity").select(F.round("f", 4).alias("f"), "df1", "df2")
+    t = ct.anova(read(spark, sf_dir, "lineitem"), "l_linenumber", "l_returnflag", "l_quantity")
+    return t.select(F.round("f", 4).alias("f"), "df1", "df2", F.round("p", 6).alias("p"))
 
 
 def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,18 +177,19 @@ TYPES = ["click", "error", "purchase", "signup", "view"]
 _DAYS = "WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, list_sort(list(DISTINCT event_type)) AS chosen FROM events GROUP BY 1, 2),"
 
 
-@query(_DAYS + """
+@query(_DAYS + f"""
     o(v) AS (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')),
     y AS (SELECT user_id, day, user_id % 3 AS g, v, CASE WHEN list_contains(chosen, v) THEN 1.0 ELSE 0.0 END AS y FROM d, o),
     n AS (SELECT count(*) AS n FROM d), p AS (SELECT v, avg(y) AS p FROM y GROUP BY 1 HAVING avg(y) > 0 AND avg(y) < 1),
     x AS (SELECT sum((s - k * p) * (s - k * p) / (k * p) + (s - k * p) * (s - k * p) / (k * (1 - p))) AS x2, count(DISTINCT g) AS gs FROM (SELECT v, g, sum(y) AS s, count(*) AS k FROM y GROUP BY 1, 2) JOIN p USING (v)),
     c AS (SELECT a.v AS i, b.v AS j, avg(a.y * b.y) AS joint FROM y a JOIN y b USING (user_id, day) GROUP BY 1, 2),
-    r AS (SELECT sum(power(joint - pi.p * pj.p, 2) / (pi.p * (1 - pi.p) * pj.p * (1 - pj.p))) AS f, count(DISTINCT i) AS k FROM c JOIN p pi ON i = pi.v JOIN p pj ON j = pj.v)
-    SELECT round(x2 / (f / k), 4) AS stat, round(k * (gs - 1) / (f / k), 4) AS df FROM x, r""")
+    r AS (SELECT sum(power(joint - pi.p * pj.p, 2) / (pi.p * (1 - pi.p) * pj.p * (1 - pj.p))) AS f, count(DISTINCT i) AS k FROM c JOIN p pi ON i = pi.v JOIN p pj ON j = pj.v),
+    s AS (SELECT x2 / (f / k) AS stat, k * (gs - 1) / (f / k) AS df FROM x, r)
+    SELECT round(stat, 4) AS stat, round(df, 4) AS df, round({tailsql.chi2("stat", "df")}, 6) AS p FROM s""")
 def rao_scott(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second-order Rao-Scott test of event types by user group."""
     t = ct.rao_scott(user_days(spark, sf_dir), TYPES)
-    return t.select(F.round("stat", 4).alias("stat"), F.round("df", 4).alias("df"))
+    return t.select(F.round("stat", 4).alias("stat"), F.round("df", 4).alias("df"), F.round("p", 6).alias("p"))
 
 
 @query(_DAYS + """
@@ -191,6 +227,24 @@ def rake_two_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(weighting.margin_report(t, "weight", "o_orderstatus").union(weighting.margin_report(t, "weight", "o_orderpriority")))
 
 
+@query("""
+    WITH RECURSIVE c AS (SELECT o_orderstatus AS s, o_orderpriority AS p, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1, 2),
+    gs(s, g) AS (VALUES ('F', 0.5), ('O', 0.3), ('P', 0.2)), gp(p, g) AS (VALUES ('1-URGENT', 0.3), ('2-HIGH', 0.25), ('3-MEDIUM', 0.2), ('4-NOT SPECIFIED', 0.15), ('5-LOW', 0.1)),
+    rake AS (
+        SELECT 0 AS i, list(struct_pack(s := s, p := p, n := n, a := gs.g * total, b := gp.g * total, w := CAST(1 AS DOUBLE))) AS state FROM c JOIN gs USING (s) JOIN gp USING (p), (SELECT sum(n) AS total FROM c)
+        UNION ALL
+        SELECT i + 1, list_transform(state, lambda x: struct_pack(s := x.s, p := x.p, n := x.n, a := x.a, b := x.b, w := x.w * CASE WHEN i % 2 = 0
+            THEN CAST(x.a AS DOUBLE) / list_sum(list_transform(list_filter(state, lambda y: y.s = x.s), lambda y: y.n * y.w)) ELSE CAST(x.b AS DOUBLE) / list_sum(list_transform(list_filter(state, lambda y: y.p = x.p), lambda y: y.n * y.w)) END))
+        FROM rake WHERE i < 80)
+    SELECT x.s AS status, x.p AS priority, CAST(x.n AS BIGINT) AS n, round(x.w, 6) AS weight FROM (SELECT unnest(state) AS x FROM rake WHERE i = 80)""")
+def rake_two_margins_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all cells after raking two variables to convergence, without trimming."""
+    targets = {"o_orderstatus": {"F": 50, "O": 30, "P": 20}, "o_orderpriority": {"1-URGENT": 0.3, "2-HIGH": 0.25, "3-MEDIUM": 0.2, "4-NOT SPECIFIED": 0.15, "5-LOW": 0.1}}
+    t, _ = weighting.rim_weights(read(spark, sf_dir, "orders"), targets, tol=1e-12, trim=None)
+    t = t.groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    return t.agg(F.count("*").alias("n"), F.round(F.max("weight"), 6).alias("weight"))
+
+
 @query("""
     WITH q AS (SELECT quantile_cont(l_extendedprice, 0.95) AS t FROM lineitem),
     w AS (SELECT l_returnflag, l_extendedprice AS w, CASE WHEN l_extendedprice > t THEN t + ln(1 + l_extendedprice - t) ELSE l_extendedprice END AS x FROM lineitem, q),
@@ -206,12 +260,20 @@ def soft_trim_kish(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH d AS (SELECT doc_id, count(*) OVER (PARTITION BY upper(trim(text))) > 1 AS twice, n_chars FROM documents), m AS (SELECT median(n_chars) AS m FROM d WHERE n_chars > 0)
-    SELECT flag, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN twice THEN 'DUPLICATE_ID' END, CASE WHEN n_chars IS NULL OR n_chars <= 0 THEN 'INVALID_DURATION' END, CASE WHEN n_chars > 0 AND n_chars < m / 3 THEN 'SPEEDER' END], lambda x: x IS NOT NULL)) AS flag FROM d, m) GROUP BY 1""")
+    WITH r AS (SELECT *, l_orderkey || '-' || (l_partkey % 50) AS line_id, l_quantity - 3 AS seconds, l_linenumber % 3 AS a_rating, CAST(l_quantity AS BIGINT) % 3 AS b_rating, CASE WHEN l_partkey % 5 > 0 THEN l_suppkey % 3 END AS c_rating FROM lineitem),
+    m AS (SELECT median(seconds) AS m FROM r WHERE seconds > 0),
+    d AS (SELECT count(*) OVER (PARTITION BY line_id) > 1 AS twice, count(*) OVER (PARTITION BY l_returnflag, l_linestatus, CAST(l_shipdate AS DATE), a_rating, b_rating, c_rating) > 1 AS same,
+        (a_rating IS NOT NULL)::INT + (b_rating IS NOT NULL)::INT + (c_rating IS NOT NULL)::INT >= 2 AND least(a_rating, b_rating, c_rating) = greatest(a_rating, b_rating, c_rating) AS straight,
+        seconds <= 0 AS invalid, seconds > 0 AND seconds < m / 3.0 AS speeder FROM r, m)
+    SELECT flag, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN twice THEN 'DUPLICATE_ID' END, CASE WHEN straight THEN 'STRAIGHT_LINER' END, CASE WHEN invalid THEN 'INVALID_DURATION' END,
+        CASE WHEN speeder THEN 'SPEEDER' END, CASE WHEN same THEN 'DUPLICATE_RECORD' END], lambda x: x IS NOT NULL)) AS flag FROM d) GROUP BY 1""")
 def hygiene_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Duplicate, duration and speeder flags, texts standing for ids and lengths for durations."""
-    t = hygiene.audited(read(spark, sf_dir, "documents"), "text", "n_chars", [], [])
-    return t.select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+    """All five flags of order lines, with columns that stand for ids, durations and ratings found by name."""
+    t = read(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", F.col("l_partkey") % 50).alias("line_id"), (F.col("l_quantity") - 3).alias("seconds"), (F.col("l_linenumber") % 3).alias("a_rating"),
+        (F.col("l_quantity").cast("long") % 3).alias("b_rating"), F.when(F.col("l_partkey") % 5 > 0, F.col("l_suppkey") % 3).alias("c_rating"), "l_returnflag", "l_linestatus", F.to_date("l_shipdate").alias("ship_day"),
+    )
+    return hygiene.audited(t, id_column="line_id").select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -233,11 +295,20 @@ def profile_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiling.profile(read(spark, sf_dir, "customer"))
 
 
-@query("SELECT 'o_orderpriority' AS variable, count(o_orderpriority) AS n, count(DISTINCT o_orderpriority) AS kinds FROM orders UNION ALL SELECT 'o_orderstatus', count(o_orderstatus), count(DISTINCT o_orderstatus) FROM orders UNION ALL SELECT 'o_totalprice', count(o_totalprice), count(DISTINCT o_totalprice) FROM orders")
+@query(r"""
+    WITH v AS (SELECT unnest([struct_pack(c := 'o_orderpriority', s := o_orderpriority), struct_pack(c := 'o_orderstatus', s := o_orderstatus), struct_pack(c := 'o_totalprice', s := CAST(o_totalprice AS VARCHAR))]) AS x FROM orders),
+    t AS (SELECT x.c AS variable, x.s AS s, TRY_CAST(x.s AS DOUBLE) AS d FROM v),
+    w AS (SELECT variable, unnest(regexp_extract_all(lower(s), '\w+')) AS word FROM t WHERE variable <> 'o_totalprice'), k AS (SELECT variable, word, count(*) AS k, row_number() OVER (PARTITION BY variable ORDER BY count(*) DESC, word) AS r FROM w GROUP BY 1, 2),
+    u AS (SELECT variable, sum(k) FILTER (WHERE r <= 30) / sum(k) AS reuse FROM k GROUP BY 1)
+    SELECT variable, count(s) AS n, count(DISTINCT s) AS kinds, avg((d IS NOT NULL)::INT) AS "numeric", min(d) AS low, max(d) AS high, avg(regexp_matches(s, '^0\d+')::INT) AS zeros, avg((contains(s, ','))::INT) AS commas,
+        round(avg(length(s)), 4) AS length, 0.0::DOUBLE AS dates, round(any_value(reuse), 6) AS reuse FROM t LEFT JOIN u USING (variable) GROUP BY 1""")
 def profile_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of the profile."""
+    """All measures of the profile."""
     t = profiling.measures(read(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus", F.col("o_totalprice")))
-    return t.select(F.col("column").alias("variable"), F.col("n").cast("long").alias("n"), F.col("distinct").cast("long").alias("kinds"))
+    return t.select(
+        F.col("column").alias("variable"), F.col("n").cast("long").alias("n"), F.col("distinct").cast("long").alias("kinds"), "numeric", "low", "high", "zeros", "commas",
+        F.round("length", 4).alias("length"), "dates", F.round("reuse", 6).alias("reuse"),
+    )
 
 
 # --- models ------------------------------------------------------------------
@@ -250,106 +321,172 @@ _RANKS = """
     gs AS (SELECT g, count(*) AS n, sum(w) AS gw, sum(w) * sum(w) / sum(w * w) AS neff, sum(w * r) / sum(w) AS mr FROM t GROUP BY 1)"""
 
 
-@query(_RANKS.replace("{scale}", ", s AS (SELECT y, g, w * (SELECT sum(w) / sum(w * w) FROM w) AS w FROM w)") + " SELECT round(sum(gw * (mr - m) * (mr - m)) / max(v), 4) AS h, CAST(count(*) - 1 AS BIGINT) AS df, CAST(sum(gs.n) AS BIGINT) AS n FROM gs, a, va")
+@query(_RANKS.replace("{scale}", ", s AS (SELECT y, g, w * (SELECT sum(w) / sum(w * w) FROM w) AS w FROM w)") + f""",
+    h AS (SELECT sum(gw * (mr - m) * (mr - m)) / max(v) AS h, CAST(count(*) - 1 AS BIGINT) AS df, CAST(sum(gs.n) AS BIGINT) AS n FROM gs, a, va)
+    SELECT round(h, 4) AS h, df, n, round({tailsql.chi2("h", "df")}, 6) AS p FROM h""")
 def kruskal_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted Kruskal-Wallis of line number by return flag."""
-    return models.kruskal_wallis(read(spark, sf_dir, "lineitem"), "l_linenumber", "l_returnflag", "l_quantity").select(F.round("h", 4).alias("h"), "df", "n")
+    t = models.kruskal_wallis(read(spark, sf_dir, "lineitem"), "l_linenumber", "l_returnflag", "l_quantity")
+    return t.select(F.round("h", 4).alias("h"), "df", "n", F.round("p", 6).alias("p"))
 
 
-@query(_RANKS.replace("{scale}", ", s AS (SELECT * FROM w)") + " SELECT a.g AS group_a, b.g AS group_b, round(a.mr - b.mr, 3) AS mean_rank_diff, round((a.mr - b.mr) / sqrt(v * (1 / a.neff + 1 / b.neff)), 4) AS z FROM gs a JOIN gs b ON a.g < b.g, va")
+@query(_RANKS.replace("{scale}", ", s AS (SELECT * FROM w)") + f""",
+    z AS (SELECT a.g AS group_a, b.g AS group_b, a.mr - b.mr AS diff, (a.mr - b.mr) / sqrt(v * (1 / a.neff + 1 / b.neff)) AS z FROM gs a JOIN gs b ON a.g < b.g, va),
+    p AS (SELECT *, {tailsql.normal("z")} AS p FROM z), o AS (SELECT *, row_number() OVER (ORDER BY p, group_a, group_b) AS r, count(*) OVER () AS m FROM p),
+    h AS (SELECT *, least(1.0, max(p * (m - r + 1)) OVER (ORDER BY r)) AS p_adj FROM o)
+    SELECT group_a, group_b, round(diff, 3) AS mean_rank_diff, round(z, 4) AS z, round(p, 6) AS p_raw, round(p_adj, 6) AS p_adj, p_adj < 0.05 AS significant FROM h""")
 def dunn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted Dunn comparisons."""
     t = models.dunn(read(spark, sf_dir, "lineitem"), "l_linenumber", "l_returnflag", "l_quantity")
-    return t.select("group_a", "group_b", F.round("mean_rank_diff", 3).alias("mean_rank_diff"), F.round("z", 4).alias("z"))
+    digits = {"mean_rank_diff": 3, "z": 4, "p_raw": 6, "p_adj": 6}
+    return t.select("group_a", "group_b", *[F.round(c, d).alias(c) for c, d in digits.items()], "significant")
 
 
-@query("""
+@query(f"""
     WITH t AS (SELECT o_totalprice AS x, o_orderstatus AS g FROM orders WHERE o_orderstatus IN ('F', 'O')),
-    r AS (SELECT g, (rank() OVER (ORDER BY x) + (rank() OVER (ORDER BY x) + count(*) OVER (PARTITION BY x) - 1)) / 2.0 AS r FROM t)
-    SELECT round(sum(r) FILTER (WHERE g = 'F') - count(*) FILTER (WHERE g = 'F') * (count(*) FILTER (WHERE g = 'F') + 1) / 2.0, 1) AS u, count(*) FILTER (WHERE g = 'F') AS n_a, count(*) FILTER (WHERE g = 'O') AS n_b FROM r""")
+    r AS (SELECT x, g, (rank() OVER (ORDER BY x) + (rank() OVER (ORDER BY x) + count(*) OVER (PARTITION BY x) - 1)) / 2.0 AS r FROM t),
+    s AS (SELECT sum(r) FILTER (WHERE g = 'F') AS ra, count(*) FILTER (WHERE g = 'F') AS na, count(*) FILTER (WHERE g = 'O') AS nb,
+        median(x) FILTER (WHERE g = 'F') AS median_a, median(x) FILTER (WHERE g = 'O') AS median_b FROM r),
+    k AS (SELECT sum(power(k, 3) - k) AS ties FROM (SELECT count(*) AS k FROM t GROUP BY x)),
+    u AS (SELECT *, ra - na * (na + 1) / 2.0 AS u, na + nb AS n FROM s, k),
+    z AS (SELECT *, (greatest(u, na * nb - u) - na * nb / 2.0 - 0.5) / sqrt(na * nb / 12.0 * ((n + 1) - ties / (CAST(n AS DOUBLE) * (n - 1)))) AS z FROM u)
+    SELECT round(u, 1) AS u, round(z, 4) AS z, na AS n_a, nb AS n_b, round(median_a, 2) AS median_a, round(median_b, 2) AS median_b, round(least(1.0, {tailsql.normal("greatest(z, 0.0)")}), 6) AS p FROM z""")
 def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mann-Whitney U of price between two statuses."""
-    return models.mann_whitney(read(spark, sf_dir, "orders"), "o_totalprice", "o_orderstatus", "F", "O").select(F.round("u", 1).alias("u"), "n_a", "n_b")
+    t = models.mann_whitney(read(spark, sf_dir, "orders"), "o_totalprice", "o_orderstatus", "F", "O")
+    digits = {"u": 1, "z": 4, "median_a": 2, "median_b": 2, "p": 6}
+    return t.select(*[F.round(c, d).alias(c) for c, d in digits.items()], "n_a", "n_b")
 
 
-@query("""
+@query(f"""
     WITH d AS (SELECT l_linenumber - l_quantity / 7 AS d FROM lineitem WHERE l_linenumber - l_quantity / 7 <> 0),
-    r AS (SELECT d, (2 * rank() OVER (ORDER BY abs(d)) + count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d)
-    SELECT round(least(sum(r) FILTER (WHERE d > 0), sum(r) FILTER (WHERE d < 0)), 1) AS w, count(*) AS n FROM r""")
+    r AS (SELECT d, (2 * rank() OVER (ORDER BY abs(d)) + count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d),
+    k AS (SELECT sum(power(k, 3) - k) AS ties FROM (SELECT count(*) AS k FROM d GROUP BY abs(d))),
+    s AS (SELECT least(sum(r) FILTER (WHERE d > 0), sum(r) FILTER (WHERE d < 0)) AS w, CAST(count(*) AS DOUBLE) AS n FROM r),
+    z AS (SELECT w, n, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s, k)
+    SELECT round(w, 1) AS w, round(z, 4) AS z, CAST(n AS BIGINT) AS n, round({tailsql.normal("z")}, 6) AS p FROM z""")
 def wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wilcoxon's signed ranks of line number against a seventh of quantity."""
     t = read(spark, sf_dir, "lineitem").withColumn("b", F.col("l_quantity") / 7)
-    return models.wilcoxon(t, "b", "l_linenumber").select(F.round("w", 1).alias("w"), "n")
+    return models.wilcoxon(t, "b", "l_linenumber").select(F.round("w", 1).alias("w"), F.round("z", 4).alias("z"), "n", F.round("p", 6).alias("p"))
 
 
-@query("""
-    WITH s AS (SELECT o_orderstatus AS g, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1)
-    SELECT round(a.m, 2) AS mean_a, round(b.m, 2) AS mean_b, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 4) AS t, round(power(a.v / a.n + b.v / b.n, 2) / (power(a.v / a.n, 2) / (a.n - 1) + power(b.v / b.n, 2) / (b.n - 1)), 2) AS df
-    FROM s a, s b WHERE a.g = 'F' AND b.g = 'O'""")
+@query(f"""
+    WITH s AS (SELECT o_orderstatus AS g, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1),
+    x AS (SELECT a.m AS ma, b.m AS mb, a.n AS na, b.n AS nb, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t,
+        power(a.v / a.n + b.v / b.n, 2) / (power(a.v / a.n, 2) / (a.n - 1) + power(b.v / b.n, 2) / (b.n - 1)) AS df FROM s a, s b WHERE a.g = 'F' AND b.g = 'O')
+    SELECT round(ma, 2) AS mean_a, round(mb, 2) AS mean_b, round(t, 4) AS t, round(df, 2) AS df, na AS n_a, nb AS n_b, round({tailsql.t("t", "df")}, 6) AS p FROM x""")
 def welch_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Welch's t of price between two statuses."""
     t = models.t_test(read(spark, sf_dir, "orders"), "o_totalprice", "o_orderstatus", "F", "O")
-    return t.select(F.round("mean_a", 2).alias("mean_a"), F.round("mean_b", 2).alias("mean_b"), F.round("t", 4).alias("t"), F.round("df", 2).alias("df"))
+    digits = {"mean_a": 2, "mean_b": 2, "t": 4, "df": 2, "p": 6}
+    return t.select(*[F.round(c, d).alias(c) for c, d in digits.items()], "n_a", "n_b")
 
 
-@query("SELECT round(avg(d), 6) AS mean_diff, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 4) AS t, count(*) - 1 AS df FROM (SELECT l_linenumber - l_quantity AS d FROM lineitem)")
+@query(f"""
+    WITH x AS (SELECT avg(d) AS m, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t, count(*) AS n FROM (SELECT l_discount - l_tax AS d FROM lineitem)
+        UNION ALL SELECT avg(d), avg(d) / (stddev_samp(d) / sqrt(count(*))), count(*) FROM (SELECT l_linenumber - l_quantity AS d FROM lineitem))
+    SELECT round(m, 6) AS mean_diff, round(t, 4) AS t, n - 1 AS df, n, round({tailsql.t("t", "(n - 1)")}, 6) AS p FROM x""")
 def paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paired t of line number and quantity."""
-    return models.paired_t(read(spark, sf_dir, "lineitem"), "l_quantity", "l_linenumber").select(F.round("mean_diff", 6).alias("mean_diff"), F.round("t", 4).alias("t"), "df")
+    """Paired t of tax and discount, and of quantity and line number."""
+    df = read(spark, sf_dir, "lineitem")
+    t = models.paired_t(df, "l_tax", "l_discount").union(models.paired_t(df, "l_quantity", "l_linenumber"))
+    return t.select(F.round("mean_diff", 6).alias("mean_diff"), F.round("t", 4).alias("t"), "df", "n", F.round("p", 6).alias("p"))
 
 
-@query("""
-    WITH x AS (SELECT l_quantity AS a, l_extendedprice AS b FROM lineitem),
-    r AS (SELECT a, b, 2 * rank() OVER (ORDER BY a) + count(*) OVER (PARTITION BY a) AS ra, 2 * rank() OVER (ORDER BY b) + count(*) OVER (PARTITION BY b) AS rb FROM x)
-    SELECT 'pearson' AS kind, round(corr(a, b), 6) AS r, count(*) AS n FROM r UNION ALL SELECT 'spearman', round(corr(ra, rb), 6), count(*) FROM r""")
+@query(f"""
+    WITH x AS (SELECT l_quantity AS a, l_extendedprice AS b, l_discount AS c FROM lineitem),
+    r AS (SELECT a, b, c, 2 * rank() OVER (ORDER BY a) + count(*) OVER (PARTITION BY a) AS ra, 2 * rank() OVER (ORDER BY b) + count(*) OVER (PARTITION BY b) AS rb, 2 * rank() OVER (ORDER BY c) + count(*) OVER (PARTITION BY c) AS rc FROM x),
+    s AS (SELECT 'pearson' AS kind, 'price' AS of, corr(a, b) AS r, count(*) AS n FROM r UNION ALL SELECT 'spearman', 'price', corr(ra, rb), count(*) FROM r
+        UNION ALL SELECT 'pearson', 'discount', corr(a, c), count(*) FROM r UNION ALL SELECT 'spearman', 'discount', corr(ra, rc), count(*) FROM r)
+    SELECT kind, of, round(r, 6) AS r, n, round({tailsql.t("(r * sqrt((n - 2) / (1 - r * r)))", "(n - 2)")}, 6) AS p FROM s""")
 def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pearson and Spearman correlation of quantity and price."""
+    """Pearson and Spearman correlation of quantity with price and with discount."""
     t = read(spark, sf_dir, "lineitem")
-    parts = [models.correlation(t, "l_quantity", "l_extendedprice", k).select(F.lit(k).alias("kind"), F.round("r", 6).alias("r"), "n") for k in ("pearson", "spearman")]
-    return parts[0].union(parts[1])
+    parts = [
+        models.correlation(t, "l_quantity", c, k).select(F.lit(k).alias("kind"), F.lit(of).alias("of"), F.round("r", 6).alias("r"), "n", F.round("p", 6).alias("p"))
+        for of, c in (("price", "l_extendedprice"), ("discount", "l_discount")) for k in ("pearson", "spearman")
+    ]
+    return reduce(DataFrame.union, parts)
 
 
-@query("""
+@query(f"""
     WITH c AS (SELECT l_linenumber AS x, floor(l_quantity / 10) AS y, CAST(count(*) AS DOUBLE) AS k FROM lineitem GROUP BY 1, 2),
     s AS (SELECT sum(sign(a.y - b.y) * a.k * b.k) AS s FROM c a JOIN c b ON a.x > b.x), n AS (SELECT sum(k) AS n FROM c),
-    tx AS (SELECT sum(k * (k - 1) / 2) AS t FROM (SELECT x, sum(k) AS k FROM c GROUP BY 1)), ty AS (SELECT sum(k * (k - 1) / 2) AS t FROM (SELECT y, sum(k) AS k FROM c GROUP BY 1))
-    SELECT round(s / sqrt((n * (n - 1) / 2 - tx.t) * (n * (n - 1) / 2 - ty.t)), 6) AS r, CAST(n AS BIGINT) AS n FROM s, n, tx, ty""")
+    tx AS (SELECT sum(k * (k - 1) / 2) AS t, sum(k * (k - 1) * (2 * k + 5)) AS v, sum(k * (k - 1) * (k - 2)) AS w FROM (SELECT x, sum(k) AS k FROM c GROUP BY 1)),
+    ty AS (SELECT sum(k * (k - 1) / 2) AS t, sum(k * (k - 1) * (2 * k + 5)) AS v, sum(k * (k - 1) * (k - 2)) AS w FROM (SELECT y, sum(k) AS k FROM c GROUP BY 1)),
+    z AS (SELECT s / sqrt((n * (n - 1) / 2 - tx.t) * (n * (n - 1) / 2 - ty.t)) AS r, n,
+        s / sqrt((n * (n - 1) * (2 * n + 5) - tx.v - ty.v) / 18 + 2 * tx.t * ty.t / (n * (n - 1)) + tx.w * ty.w / (9 * n * (n - 1) * (n - 2))) AS z FROM s, n, tx, ty)
+    SELECT round(r, 6) AS r, CAST(n AS BIGINT) AS n, round({tailsql.normal("z")}, 6) AS p FROM z""")
 def kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kendall's tau-b of line number and tens of quantity."""
     t = read(spark, sf_dir, "lineitem").withColumn("y", F.floor(F.col("l_quantity") / 10))
-    return models.correlation(t, "l_linenumber", "y", "kendall").select(F.round("r", 6).alias("r"), "n")
+    return models.correlation(t, "l_linenumber", "y", "kendall").select(F.round("r", 6).alias("r"), "n", F.round("p", 6).alias("p"))
 
 
-@query("""
+@query(f"""
     WITH c AS (SELECT l_returnflag AS r, l_linestatus AS c, count(*) AS v FROM lineitem GROUP BY 1, 2),
     f AS (SELECT a.r, b.c, coalesce(c.v, 0) AS v FROM (SELECT DISTINCT r FROM c) a CROSS JOIN (SELECT DISTINCT c FROM c) b LEFT JOIN c ON c.r = a.r AND c.c = b.c),
     e AS (SELECT *, sum(v) OVER (PARTITION BY r) * sum(v) OVER (PARTITION BY c) * 1.0 / sum(v) OVER () AS e FROM f),
-    k AS (SELECT count(DISTINCT r) AS k, count(DISTINCT c) AS m, sum(v) AS n, sum((v - e) * (v - e) / e) AS plain, sum(power(abs(v - e) - least(0.5, abs(v - e)), 2) / e) AS yates FROM e)
-    SELECT round(CASE WHEN (k - 1) * (m - 1) = 1 THEN yates ELSE plain END, 4) AS stat, CAST((k - 1) * (m - 1) AS BIGINT) AS df, round(sqrt(CASE WHEN (k - 1) * (m - 1) = 1 THEN yates ELSE plain END / (n * (least(k, m) - 1))), 6) AS cramers_v FROM k""")
+    k AS (SELECT count(DISTINCT r) AS k, count(DISTINCT c) AS m, sum(v) AS n, sum((v - e) * (v - e) / e) AS plain, sum(power(abs(v - e) - least(0.5, abs(v - e)), 2) / e) AS yates FROM e),
+    s AS (SELECT *, CASE WHEN (k - 1) * (m - 1) = 1 THEN yates ELSE plain END AS stat, CAST((k - 1) * (m - 1) AS BIGINT) AS df FROM k)
+    SELECT round(stat, 4) AS stat, df, round({tailsql.chi2("stat", "greatest(df, 1)")}, 6) AS p, round(sqrt(stat / (n * (least(k, m) - 1))), 6) AS cramers_v, CAST(n AS BIGINT) AS n FROM s""")
 def chi_square_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chi-square and Cramer's v of return flag and line status."""
     t = models.chi_square_association(read(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
-    return t.select(F.round("stat", 4).alias("stat"), "df", F.round("cramers_v", 6).alias("cramers_v"))
+    return t.select(F.round("stat", 4).alias("stat"), "df", F.round("p", 6).alias("p"), F.round("cramers_v", 6).alias("cramers_v"), "n")
 
 
-@query("SELECT '(intercept)' AS term, round(regr_intercept(l_extendedprice, l_quantity), 2) AS estimate, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 2), round(regr_r2(l_extendedprice, l_quantity), 6) FROM lineitem")
+@query(f"""
+    WITH m AS (SELECT regr_intercept(l_tax, l_discount) AS a, regr_slope(l_tax, l_discount) AS b, regr_r2(l_tax, l_discount) AS r2, regr_sxx(l_tax, l_discount) AS sxx, regr_syy(l_tax, l_discount) AS syy, avg(l_discount) AS mx, count(*) AS n FROM lineitem),
+    v AS (SELECT *, syy * (1 - r2) / (n - 2) AS s2, r2 / ((1 - r2) / (n - 2)) AS f FROM m),
+    t AS (SELECT '(intercept)' AS term, a AS estimate, sqrt(s2 * (1.0 / n + mx * mx / sxx)) AS se, r2, f, n FROM v UNION ALL SELECT 'l_discount', b, sqrt(s2 / sxx), r2, f, n FROM v)
+    SELECT term, round(estimate, 8) AS estimate, round(se, 8) AS se, round(estimate / se, 4) AS t, round({tailsql.t("(estimate / se)", "(n - 2)")}, 6) AS p, round(r2, 8) AS r2,
+        round(1 - (1 - r2) * (n - 1) / (n - 2), 8) AS adj_r2, round(f, 4) AS f, round({tailsql.f("f", "1", "(n - 2)")}, 6) AS f_p, n FROM t""")
 def linear_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price on quantity."""
-    t = models.linear_regression(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity"])
-    return t.select("term", F.round("estimate", 2).alias("estimate"), F.round("r2", 6).alias("r2"))
+    """Tax on discount, with all its statistics."""
+    t = models.linear_regression(read(spark, sf_dir, "lineitem"), "l_tax", ["l_discount"])
+    digits = {"estimate": 8, "se": 8, "t": 4, "p": 6, "r2": 8, "adj_r2": 8, "f": 4, "f_p": 6}
+    return t.select("term", *[F.round(c, d).alias(c) for c, d in digits.items()], "n")
+
+
+@query("""
+    WITH c AS (SELECT covar_samp(l_quantity, l_quantity) AS aa, covar_samp(l_quantity, l_discount) AS ab, covar_samp(l_discount, l_discount) AS bb, covar_samp(l_quantity, l_extendedprice) AS ay,
+        covar_samp(l_discount, l_extendedprice) AS by_, covar_samp(l_extendedprice, l_extendedprice) AS yy, avg(l_quantity) AS ma, avg(l_discount) AS mb, avg(l_extendedprice) AS my, count(*) AS n FROM lineitem),
+    d AS (SELECT *, aa * bb - ab * ab AS det FROM c), b AS (SELECT *, (ay * bb - by_ * ab) / det AS ba, (by_ * aa - ay * ab) / det AS bd FROM d),
+    r AS (SELECT *, (ba * ay + bd * by_) / yy AS r2, (yy - ba * ay - bd * by_) * (n - 1) / (n - 3) AS s2 FROM b),
+    t AS (SELECT '(intercept)' AS term, my - ba * ma - bd * mb AS estimate, sqrt(s2 / n + s2 * (ma * ma * bb - 2 * ma * mb * ab + mb * mb * aa) / (det * (n - 1))) AS se, r2, n FROM r
+        UNION ALL SELECT 'l_quantity', ba, sqrt(s2 * bb / (det * (n - 1))), r2, n FROM r UNION ALL SELECT 'l_discount', bd, sqrt(s2 * aa / (det * (n - 1))), r2, n FROM r)
+    SELECT term, round(estimate, 2) AS estimate, round(se, 3) AS se, round(estimate / se, 2) AS t, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 3), 6) AS adj_r2, n FROM t""")
+def linear_regression_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price on quantity and discount."""
+    t = models.linear_regression(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"])
+    digits = {"estimate": 2, "se": 3, "t": 2, "r2": 6, "adj_r2": 6}
+    return t.select("term", *[F.round(c, d).alias(c) for c, d in digits.items()], "n")
 
 
 @query("""
     WITH c AS (SELECT corr(l_quantity, l_discount) AS r, corr(l_quantity, l_extendedprice) AS a, corr(l_discount, l_extendedprice) AS b FROM lineitem),
     p AS (SELECT *, (sqrt(1 + r) + sqrt(1 - r)) / 2 AS u, (sqrt(1 + r) - sqrt(1 - r)) / 2 AS v FROM c),
-    s AS (SELECT *, (u * a - v * b) / (u * u - v * v) AS s1, (u * b - v * a) / (u * u - v * v) AS s2 FROM p)
-    SELECT 'l_quantity' AS feature, round(u * u * s1 * s1 + v * v * s2 * s2, 6) AS raw FROM s UNION ALL SELECT 'l_discount', round(v * v * s1 * s1 + u * u * s2 * s2, 6) FROM s""")
+    s AS (SELECT *, (u * a - v * b) / (u * u - v * v) AS s1, (u * b - v * a) / (u * u - v * v) AS s2 FROM p),
+    w AS (SELECT 'l_quantity' AS feature, u * u * s1 * s1 + v * v * s2 * s2 AS raw FROM s UNION ALL SELECT 'l_discount', v * v * s1 * s1 + u * u * s2 * s2 FROM s)
+    SELECT CAST(row_number() OVER (ORDER BY raw DESC) AS INTEGER) AS rank, feature, round(raw, 6) AS raw, round(100 * raw / sum(raw) OVER (), 4) AS pct, round(sum(raw) OVER (), 6) AS r2, false AS regularised FROM w""")
 def relative_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Johnson's relative weights of two predictors of price."""
-    return models.relative_weights(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"]).select("feature", F.round("raw", 6).alias("raw"))
+    t = models.relative_weights(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"])
+    return t.select("rank", "feature", F.round("raw", 6).alias("raw"), F.round("pct", 4).alias("pct"), F.round("r2", 6).alias("r2"), "regularised")
 
 
-@query()
+@query(f"""
+    WITH l AS (SELECT unnest([struct_pack(a := 'l_linenumber', x := CAST(l_linenumber AS DOUBLE)), struct_pack(a := 'l_quantity', x := CAST(l_quantity AS DOUBLE)), struct_pack(a := 'l_discount', x := CAST(l_discount AS DOUBLE)), struct_pack(a := 'l_tax', x := CAST(l_tax AS DOUBLE))]) AS s, l_extendedprice AS y FROM lineitem),
+    t AS (SELECT s.a AS attribute, s.x AS x, y FROM l),
+    k AS (SELECT attribute, avg(x) AS perf, count(DISTINCT x) AS k, list_distinct(quantile_cont(x, [0.25, 0.5, 0.75])) AS q FROM t GROUP BY 1),
+    b AS (SELECT t.attribute, CASE WHEN k.k <= 10 THEN x ELSE len(list_filter(q, lambda e: e < x)) END AS bin, (2 * rank() OVER (PARTITION BY t.attribute ORDER BY y) + count(*) OVER (PARTITION BY t.attribute, y) - 1) / 2.0 AS r FROM t JOIN k USING (attribute)),
+    g AS (SELECT attribute, bin, CAST(count(*) AS DOUBLE) AS c, sum(r) AS s, sum(r * r) AS ss FROM b GROUP BY 1, 2),
+    h AS (SELECT attribute, count(*) - 1 AS df, greatest(0.001, (sum(s * s / c) - sum(s) * sum(s) / sum(c)) * (sum(c) - 1) / (sum(ss) - sum(s) * sum(s) / sum(c))) AS h FROM g GROUP BY 1),
+    i AS (SELECT h.*, round(perf, 2) AS performance, round(avg(perf) OVER (), 2) AS performance_cut, round(h / sum(h) OVER () * 100, 2) AS importance, 25.0 AS importance_cut FROM h JOIN k USING (attribute))
+    SELECT CAST(row_number() OVER (ORDER BY importance DESC, attribute) AS INTEGER) AS rank, attribute, performance, round(h, 4) AS h, df, round({tailsql.chi2("h", "df")}, 4) AS p, importance,
+        CASE WHEN importance >= importance_cut THEN CASE WHEN performance >= performance_cut THEN 'Q2' ELSE 'Q1' END ELSE CASE WHEN performance >= performance_cut THEN 'Q4' ELSE 'Q3' END END AS quadrant, performance_cut, importance_cut FROM i""")
 def quadrant_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance and performance of line attributes for price."""
     return rounded(models.quadrants(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_linenumber", "l_quantity", "l_discount", "l_tax"]))
@@ -359,11 +496,11 @@ def quadrant_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     o(v) AS (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')), c AS (SELECT a.v AS a, b.v AS b FROM o a JOIN o b ON a.v < b.v),
     s AS (SELECT a || ' + ' || b AS items, avg(CASE WHEN list_contains(chosen, a) OR list_contains(chosen, b) THEN 1.0 ELSE 0.0 END) AS reach,
         sum(list_contains(chosen, a)::INT + list_contains(chosen, b)::INT) * 1.0 / sum((list_contains(chosen, a) OR list_contains(chosen, b))::INT) AS f FROM d, c GROUP BY a, b)
-    SELECT items, round(reach, 6) AS reach, round(f, 6) AS frequency FROM s""")
+    SELECT CAST(row_number() OVER (ORDER BY round(reach, 12) DESC, round(f, 12) DESC, items) AS INTEGER) AS rank, items, round(reach, 6) AS reach, round(f, 6) AS frequency FROM s""")
 def turf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reach of pairs of event types over user days."""
     t = models.turf(user_days(spark, sf_dir), [F.array_contains("chosen", e) for e in TYPES], TYPES, 2, 10)
-    return t.select("items", F.round("reach", 6).alias("reach"), F.round("frequency", 6).alias("frequency"))
+    return t.select("rank", "items", F.round("reach", 6).alias("reach"), F.round("frequency", 6).alias("frequency"))
 
 
 @query("""
@@ -388,13 +525,18 @@ def descriptives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH l AS (SELECT doc_id, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY 1)
-    SELECT count(*) AS n, round(avg(CASE WHEN q = t THEN 1.0 ELSE 0.0 END), 6) AS exact, round(avg(CASE WHEN q = t THEN 1.0 ELSE 0.0 END), 6) AS jaccard FROM l""")
+    WITH t AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS t FROM conversations),
+    a AS (SELECT list_distinct(list_filter(t, lambda x: x IN ('the', 'and', 'of', 'in', 'to'))) AS h, list_distinct(list_filter(t, lambda x: x IN ('the', 'and', 'of', 'on', 'at'))) AS m FROM t),
+    e AS (SELECT *, len(list_intersect(h, m)) AS i, len(list_distinct(list_concat(h, m))) AS u FROM a),
+    o AS (SELECT count(*) AS n, avg(CASE WHEN i = u THEN 1.0 ELSE 0.0 END) AS exact, avg(CASE WHEN u = 0 THEN 1.0 ELSE i * 1.0 / u END) AS jaccard FROM e),
+    c AS (SELECT unnest(list_distinct(list_concat(h, m))) AS code, h, m FROM a), p AS (SELECT code, CAST(sum(list_contains(h, code)::INT) AS DOUBLE) AS a, CAST(sum(list_contains(m, code)::INT) AS DOUBLE) AS b, CAST(sum((list_contains(h, code) AND list_contains(m, code))::INT) AS DOUBLE) AS ab FROM c GROUP BY 1),
+    q AS (SELECT (n - a - b + 2 * ab) / n AS po, (a * b + (n - a) * (n - b)) / (CAST(n AS DOUBLE) * n) AS pe FROM p, o)
+    SELECT n, round(exact, 6) AS exact, round(jaccard, 6) AS jaccard, round((SELECT avg(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) ELSE 1.0 END) FROM q), 6) AS kappa FROM o""")
 def coder_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agreement of two label sets, as two coders."""
-    t = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
-    mark = lambda c: F.when(F.col(c) == 1, F.array(F.lit("1"))).otherwise(F.array(F.lit("0")))
-    return models.agreement(t, mark("q"), mark("t")).select("n", F.round("exact", 6).alias("exact"), F.round("jaccard", 6).alias("jaccard"))
+    """Agreement of two coders that give sets of codes: words found in each turn."""
+    t = read(spark, sf_dir, "conversations")
+    codes = lambda words: F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1), lambda x: x.isin(words.split()))
+    return rounded(models.agreement(t, codes("the and of in to"), codes("the and of on at")), 6)
 
 
 @query("""
@@ -408,11 +550,13 @@ def hierarchy_nets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return openends.hierarchy(t, "l_orderkey", "p_type", "p_brand", "p_size").select("level", "net", "subnet", "leaf", "n", F.round("pct", 4).alias("pct"))
 
 
-@query("""
-    SELECT conv_id, turn, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM conversations""")
+@query(r"""
+    WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '\[[a-z_]+\]|[a-zñ0-9]+(?:[-''][a-zñ0-9]+)*') AS t FROM conversations)
+    SELECT conv_id, turn, len(t) AS n, md5(array_to_string(t, ' ')) AS tokens FROM t""")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of letters and digits per turn."""
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)).cast("long").alias("n"))
+    """Tokens per turn, by the library's tokeniser."""
+    found = textprep.tokens(F.lower("text"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(found).cast("long").alias("n"), F.md5(F.array_join(found, " ")).alias("tokens"))
 
 
 @query("""
