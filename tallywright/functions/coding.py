@@ -50,6 +50,23 @@ SEED = Lexicon(
 )
 
 
+def _index(phrases) -> dict[str, list[tuple[str, ...]]]:
+    """Phrases by their first word, longer ones first."""
+    out: dict[str, list[tuple[str, ...]]] = {}
+    for p in sorted(phrases, key=lambda p: (-len(p), p)):
+        if p:
+            out.setdefault(p[0], []).append(p)
+    return out
+
+
+def _found(index: dict[str, list[tuple[str, ...]]], words: list[str], at: int) -> tuple[str, ...] | None:
+    """The longest phrase of ``index`` that stands at a place."""
+    for p in index.get(words[at], ()):
+        if len(p) == 1 or tuple(words[at : at + len(p)]) == p:
+            return p
+    return None
+
+
 def _phrases(words) -> list[tuple[str, ...]]:
     return sorted((tuple(normalise(w).split()) for w in words), key=lambda p: (-len(p), p))
 
@@ -80,12 +97,22 @@ class Coder:
         words = [w for t in self.topics for p in t[1] for w in p] + [w for d in (self.polar, self.idioms, self.intensifiers, self.suggestions) for p in d for w in p]
         self.roots = frozenset(words) | frozenset(w for p in (*self.negators, *self.flips, *self.contrasts, *self.concessions) for w in p)
         self.longest = max([len(p) for p in self.polar], default=1)
+        tables = ("idioms", "negators", "flips", "suggestions", "intensifiers", "contrasts", "concessions")
+        self.index = {name: _index(getattr(self, name)) for name in tables}
+        self.topic_index: dict[str, list[tuple[int, tuple[str, ...]]]] = {}
+        for n, topic in enumerate(self.topics):
+            for p in topic[1]:
+                if p:
+                    self.topic_index.setdefault(p[0], []).append((n, p))
         self._stems: dict[str, str] = {}
 
     def stems(self, tokens: list[str]) -> list[str]:
         if len(self._stems) > 65_536:
             self._stems.clear()
-        return [self._stems.setdefault(t, stem(t, self.roots)) for t in tokens]
+        for t in tokens:
+            if t not in self._stems:
+                self._stems[t] = stem(t, self.roots)
+        return [self._stems[t] for t in tokens]
 
     def clauses(self, text: str) -> list[tuple[str, list[str]]]:
         """(role, stems) of each clause: cut at punctuation and at contrast and concession words."""
@@ -94,8 +121,8 @@ class Coder:
             words, start, role = self.stems(re.findall(r"\[[a-z_]+\]|[a-zñ0-9]+(?:[-'][a-zñ0-9]+)*", piece)), 0, "plain"
             i = 0
             while i < len(words):
-                turn = next((p for p in self.contrasts if tuple(words[i : i + len(p)]) == p), None) if self.contrast else None
-                yet = next((p for p in self.concessions if tuple(words[i : i + len(p)]) == p), None) if self.contrast else None
+                turn = _found(self.index["contrasts"], words, i) if self.contrast else None
+                yet = _found(self.index["concessions"], words, i) if self.contrast else None
                 if turn or yet:
                     if words[start:i]:
                         out.append((role, words[start:i]))
@@ -112,7 +139,7 @@ class Coder:
     def polarity(self, s: list[str]) -> tuple[float, set[int]]:
         """Score of a clause, and the places whose polarity a negation turned; the longest phrase wins."""
         score, turned, j, scope, kind, boost, absent = 0.0, set(), 0, 0, "", 1.0, False
-        at = lambda table: next((p for p in table if tuple(s[j : j + len(p)]) == p), None)
+        at = lambda table: _found(self.index[table], s, j)
 
         def close() -> None:
             nonlocal score, kind
@@ -121,13 +148,13 @@ class Coder:
             kind = ""
 
         while j < len(s):
-            idiom = at(sorted(self.idioms, key=len, reverse=True)) if self.negation else None
+            idiom = at("idioms") if self.negation else None
             if idiom:
                 score += self.idioms[idiom]
                 j += len(idiom)
                 continue
             hit = next((tuple(s[j : j + n]) for n in range(min(self.longest, len(s) - j), 0, -1) if tuple(s[j : j + n]) in self.polar), None)
-            negator = at(self.negators) if self.negation else None
+            negator = at("negators") if self.negation else None
             if negator and not (hit and len(hit) > len(negator)):
                 if kind == "negation" and scope == WINDOW:  # not not: the second takes the first back
                     kind = ""
@@ -136,8 +163,8 @@ class Coder:
                     kind, scope, absent = "negation", WINDOW, negator in self.absence
                 j += len(negator)
                 continue
-            flip = at(self.flips) if self.negation and not hit else None
-            wish = at(self.suggestions) if not hit else None
+            flip = at("flips") if self.negation and not hit else None
+            wish = at("suggestions") if not hit else None
             if flip or wish:
                 close()
                 if wish:
@@ -145,7 +172,7 @@ class Coder:
                 kind, scope = ("flip" if flip else "wish"), WINDOW
                 j += len(flip or wish)
                 continue
-            strong = at(self.intensifiers) if not hit else None
+            strong = at("intensifiers") if not hit else None
             if strong:
                 boost = max(boost, self.intensifiers[strong])
                 j += len(strong)
@@ -205,7 +232,8 @@ class Coder:
     def _topics(self, scored: list, sentiment: str) -> tuple[list[dict], list[str]]:
         themes, reasons, seen = [], [], set()
         for _, s, score, turned in scored:
-            hits = sorted(((len(p), n, k, p) for n, t in enumerate(self.topics) for p in t[1] for k in range(len(s) - len(p) + 1) if tuple(s[k : k + len(p)]) == p), key=lambda h: (-h[0], h[1], h[2]))
+            hits = [(len(p), n, k, p) for k, w in enumerate(s) for n, p in self.topic_index.get(w, ()) if tuple(s[k : k + len(p)]) == p]
+            hits.sort(key=lambda h: (-h[0], h[1], h[2]))
             owner: dict[int, int] = {}
             found: dict[int, list] = {}
             for length, n, k, p in hits:

@@ -10,25 +10,45 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Masks in the order in which they apply; patterns are Java's and Python's alike.
-CARD = r"(?<![\d-])(?:\d[ -]?){12,18}\d(?![\d-])"
+#: A payment card is 13 to 19 digits with single blanks or hyphens between them that pass Luhn's check.
+CARD = r"(?<![\d#])\d(?:[\s-]?\d){12,18}(?!\d)"
+_GAP = r"[\s.-]?"
+_MOBILE = rf"(?:9\d\d|8[1-9]\d)"
+# Masks in the order in which they apply; patterns are Java's and Python's alike. A number after "#" is an order, not a phone.
 MASKS = (
-    ("[ID]", r"(?i)\bphil\s*sys(?:\s*(?:id|no|number|card))*[\s:.#]*\d[\d -]{7,18}\d"),
-    ("[ID]", r"(?<!\d)\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?!\d)"),
-    ("[PHONE]", r"(?<![\d+])(?:\+?63[ -]?|0)9\d{2}[ -]?\d{3}[ -]?\d{4}(?!\d)"),
-    ("[PHONE]", r"(?<!\d)\(0\d{1,3}\)[ -]?\d{3,4}[ -]?\d{4}(?!\d)|(?<!\d)0\d{1,2}-\d{3,4}-\d{4}(?!\d)"),
+    # national identity: 12 or 16 digits in fours with hyphens anywhere, with blanks shortly after its name
+    ("$1[ID]", r"(?i)(\b(?:phil\s?sys|phil\s?id|national\s+id|psn|pcn)\b[^\d\n]{0,30})\d{4}[\s-]?\d{4}[\s-]?\d{4}(?:[\s-]?\d{4})?(?!\d)"),
+    ("[ID]", r"(?<![\d#])\d{4}(?:-\d{4}){2,3}(?![\d-])"),
+    # mobile phones, then land lines with an area code, then the eight digits of the capital
+    ("[PHONE]", rf"(?<!\d)(?:\+?63{_GAP}\(?{_MOBILE}\)?|\(?0{_MOBILE}\)?){_GAP}(?:\d{_GAP}){{6}}\d(?!\d)"),
+    ("[PHONE]", rf"(?<![\d#])(?:\(0\d{{1,2}}\)|0\d{{1,2}}|\+63{_GAP}\(?\d{{1,2}}\)?){_GAP}\d{{3,4}}{_GAP}\d{{4}}(?!\d)"),
+    ("[PHONE]", r"(?<![\d#.,-])8(?:\d{3}-|[\s.-]\d{3}[\s.-])\d{4}(?![\d-])"),
     ("[EMAIL]", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("[ID]", r"(?<![\d-])\d{3}-\d{3}-\d{3}(?:-\d{3,5})?(?![\d-])"),
-    ("[ID]", r"(?<![\d-])\d{2}-\d{7}-\d(?![\d-])"),
-    ("[ID]", r"(?<![\d-])\d{2}-\d{9}-\d(?![\d-])"),
-    ("[ID]", r"(?i)\b(?:umid|crn)[\s:.#-]*\d{4}-?\d{7}-?\d\b"),
+    # tax, social security, health insurance and unified numbers, by their groups of digits
+    ("[ID]", r"(?<![\d-])\d{3}[\s-]\d{3}[\s-]\d{3}(?:[\s-]\d{3,5})?(?![\d-])"),
+    ("[ID]", r"(?<![\d-])\d{2}[\s-]\d{7}[\s-]\d(?![\d-])"),
+    ("[ID]", r"(?<![\d-])\d{2}[\s-]\d{9}[\s-]\d(?![\d-])"),
+    ("[ID]", r"(?<![\d-])\d{4}[\s-]\d{7}[\s-]\d(?![\d-])"),
+    ("$1[ID]", r"(?i)(\b(?:umid|crn)[\s:.#-]*)\d{4}-?\d{7}-?\d\b"),
+)
+#: Words before a capitalised name, and markers that a name in small letters may follow too, as fixed values.
+HONORIFICS = tuple(
+    "mr mrs ms dr doc sir ma'am mam atty attorney engr gng bb kagawad kapitan mayor kuya ate tita tito mang aling manang manong lolo lola ninong ninang".split()
 )
-#: Words before which a name follows, and words that are no names though they may stand there.
-HONORIFICS = ("mr", "mrs", "ms", "dr", "sir", "ma'am", "mam", "kuya", "ate", "atty", "engr", "kagawad", "kapitan", "mayor")
 NAME_MARKERS = ("si", "ni", "kay")
-NOT_NAMES = frozenset("ang ng sa mga na yung iyong lang nga rin din po naman ba pa the our your staff nanay tatay mama papa lola lolo god lord diyos jesus crew cashier guard teacher manager boss".split())
-_HONORIFIC = re.compile(rf"\b((?i:{'|'.join(map(re.escape, HONORIFICS))})\.?)\s+([A-ZÑ][\w'-]+(?:\s+[A-ZÑ][\w'-]+)?)")
-_MARKED = re.compile(rf"\b((?i:{'|'.join(NAME_MARKERS)}))\s+([A-Za-zÑñ][\w'-]+)")
+#: Words that are no names though they may stand there: kin and trades, pronouns and particles, what follows "kay" in exclamations.
+NOT_NAMES = frozenset(
+    "mama papa nanay tatay inay itay nanang tatang lola lolo tita tito kuya ate ninang ninong bunso anak asawa misis mister amo boss kapitbahay kaibigan pinsan pamangkin apo "
+    "guard driver rider seller cashier tindera tindero manager doctor doktor nurse teacher titser kapitan kagawad mayor konsehal staff agent crew waiter delivery customer client admin sir ma'am maam madam "
+    "ako ikaw siya sila kami tayo kayo niya nila namin natin ninyo kanila akin minsan isa lahat kahit man pa naman talaga rin din lang nga ba daw raw ang ng sa mga na yung iyong po the our your god lord diyos jesus "
+    "ganda bilis sarap galing dami init lamig bait sipag tagal hirap saya lungkot laki liit mura lakas husay tamis alat pait asim bango baho linis dumi "
+    "gulo ingay tahimik dilim liwanag haba ikli layo lapit bigat gaan taas baba dali swerte malas lambot tigas kapal nipis presko sulit arte kulit tamad".split()
+)
+#: Words at which a run of names ends.
+AFTER_NAMES = frozenset("ang na ay ko mo ka po opo ng sa para kanina kahapon dahil pero kasi at yung mga ug ra jud man mahal ayos masyado sobra hindi wala may meron and or was is the".split())
+_CAPITAL = r"(?:[A-ZÑ][a-zñ'-]+|[A-ZÑ]{2,})"
+_HONORIFIC = re.compile(rf"\b((?i:{'|'.join(map(re.escape, HONORIFICS))})\b\.?)\s+({_CAPITAL}(?:\s+(?:(?:de|del|dela|de\s+los|de\s+la|la|los|san)\s+)?{_CAPITAL}){{0,2}})")
+_MARKED = re.compile(rf"\b((?i:{'|'.join(NAME_MARKERS)}))\s+((?:[A-Za-zÑñ][\w'-]*)(?:\s+[A-Za-zÑñ][\w'-]*){{0,3}})")
 
 
 def masked_numbers(c: Column) -> Column:
@@ -38,23 +58,45 @@ def masked_numbers(c: Column) -> Column:
     cards = F.filter(found, lambda m: F.call_function("luhn_check", F.regexp_replace(m, "[ -]", "")))
     text = F.aggregate(cards, text, lambda t, m: F.replace(t, m, F.lit("[CARD]")))
     for mask, pattern in MASKS:
-        text = F.regexp_replace(text, pattern, F.lit(re.sub(r"([$\\])", r"\\\1", mask)))
+        text = F.regexp_replace(text, pattern, F.lit(mask))
     return text
 
 
 def mask_names(text: str, allowed: frozenset[str] = frozenset()) -> str:
-    """Names after honorifics and name markers; known words and brands stay."""
+    """Names after honorifics and name markers; words that are no names and allowed names and brands stay.
+
+    ``allowed`` holds lower-case words, or pairs of words, that may stand as a whole.
+    """
+
+    def known(words: list[str]) -> bool:
+        return any(w in allowed for w in words) or any(" ".join(p) in allowed for p in zip(words, words[1:]))
 
     def titled(m: re.Match) -> str:
-        return m[0] if m[2].lower() in NOT_NAMES or m[2].lower() in allowed else f"{m[1]} [NAME]"
+        words = [w.lower() for w in m[2].split()]
+        if words[0] in NOT_NAMES or known([m[1].lower().rstrip("."), *words]):
+            return m[0]
+        return f"{m[1]} [NAME]" + _rest(m[2], words)
 
     def marked(m: re.Match) -> str:
-        word = m[2].lower()
-        return m[0] if word in NOT_NAMES or word in allowed or len(word) < 3 else f"{m[1]} [NAME]"
+        words = [w.lower() for w in m[2].split()]
+        if words[0] in NOT_NAMES or words[0] in AFTER_NAMES or len(words[0]) < 3 or known(words):
+            return m[0]
+        return f"{m[1]} [NAME]" + _rest(m[2], words)
 
     return _MARKED.sub(marked, _HONORIFIC.sub(titled, text))
 
 
+def _rest(text: str, words: list[str]) -> str:
+    """What follows the name in ``text``: a name in capitals goes on in capitals, any name ends at a common word."""
+    parts = re.findall(r"\S+|\s+", text)
+    n = 1
+    while n < len(words) and words[n] not in NOT_NAMES and words[n] not in AFTER_NAMES and n < 3:
+        if parts[0][:1].isupper() and not parts[2 * n][:1].isupper() and words[n] not in ("de", "del", "dela", "la", "los", "san"):
+            break
+        n += 1
+    return "".join(parts[2 * n - 1 :])
+
+
 def scrub_pii(c: Column, allowed: Iterable[str] = ()) -> Column:
     """All masks; null becomes empty. Applying it twice changes nothing more."""
     keep = frozenset(a.lower() for a in allowed)

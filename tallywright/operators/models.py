@@ -94,7 +94,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, a: str, b: str) -> DataF
         F.sum(F.when(F.col("g") == a, F.col("r") * F.col("w"))).alias("ra"), F.sum(F.when(F.col("g") == a, F.col("w"))).alias("na"), F.sum(F.when(F.col("g") == b, F.col("w"))).alias("nb")
     )
     ties = cells.groupBy("y").agg(F.sum("w").alias("k")).agg(F.sum(F.pow("k", F.lit(3.0)) - F.col("k")).alias("ties"))
-    q = quantiles(t.select(g.alias("g"), F.col(value).alias("x")), F.col("x"), [0.5], ["g"])
+    q = quantiles(t.select(g.alias("g"), F.col(value).alias("x")), F.col("x"), [0.5], ["g"], few=True)
     medians = q.agg(F.max(F.when(F.col("g") == a, F.col("q")[0])).alias("median_a"), F.max(F.when(F.col("g") == b, F.col("q")[0])).alias("median_b"))
     s = s.crossJoin(F.broadcast(ties)).crossJoin(F.broadcast(medians))  # one row each
     n = F.col("na") + F.col("nb")
@@ -343,12 +343,12 @@ def quadrants(df: DataFrame, target: str, attributes: list[str], weight: str | N
     few = stats.agg(F.min("n")).first()[0] or 0
     if few < 10:
         raise ValueError("each attribute needs ten answers")
-    cuts = quantiles(t, F.col("x"), [0.25, 0.5, 0.75], ["attribute"]).withColumnRenamed("attribute", "of")
+    cuts = quantiles(t, F.col("x"), [0.25, 0.5, 0.75], ["attribute"], few=True).withColumnRenamed("attribute", "of")
     stats = F.broadcast(stats.join(F.broadcast(cuts), F.col("attribute") == F.col("of")).drop("of"))  # one row per attribute
     b = t.join(stats, "attribute").withColumn("bin", F.when(F.col("k") <= 10, F.col("x")).otherwise(F.size(F.filter(F.array_distinct("q"), lambda e: e < F.col("x"))).cast("double")))
     c = b.groupBy("attribute", "bin", "y").agg(F.count("*").cast("double").alias("c"))
     y = c.groupBy("attribute", "y").agg(F.sum("c").alias("yc"))
-    y = running(y, "y", "yc", ["attribute"]).withColumn("r", (2 * F.col("upto") - F.col("yc") + 1) / 2)
+    y = running(y, "y", "yc", ["attribute"], few=True).withColumn("r", (2 * F.col("upto") - F.col("yc") + 1) / 2)
     g = c.join(y, ["attribute", "y"]).groupBy("attribute", "bin").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("r")).alias("s"), F.sum(F.col("c") * F.col("r") * F.col("r")).alias("ss"))
     h = g.groupBy("attribute").agg(F.sum(F.col("s") * F.col("s") / F.col("c")).alias("a"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), (F.count("*") - 1).alias("df"))
     centred = F.col("s") * F.col("s") / F.col("c")

@@ -10,43 +10,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slices of a group's range.
-SLICES = 256
+#: A group's range is cut into SIDE * SIDE slices; a value finds its own in two steps of SIDE - 1 comparisons.
+SIDE = 16
 
 
-def running(counts: DataFrame, value: str, weight: str, by: list[str] = (), out: str = "upto", slices: int = SLICES) -> DataFrame:
-    """``counts``, with one row per group and distinct numeric value, and the sum of ``weight`` up to each value."""
+def running(counts: DataFrame, value: str, weight: str, by: list[str] = (), out: str = "upto", few: bool = False) -> DataFrame:
+    """``counts``, with one row per group and distinct numeric value, and the sum of ``weight`` up to each value.
+
+    ``few`` says that a parameter bounds the number of groups; their cuts are broadcast then.
+    """
     by = list(by)
+    few = few or not by
     x = F.col(value).cast("double")
+    slices = SIDE * SIDE
     cuts = counts.groupBy(*by).agg(F.percentile_approx(x, F.array(*[F.lit(i / slices) for i in range(1, slices)]), F.lit(4 * slices)).alias("_cuts"))
-    placed = _matched(counts, cuts, by).withColumn("_slice", F.size(F.filter("_cuts", lambda e: e < x))).drop("_cuts")
-    per = placed.groupBy(*by, "_slice").agg(F.sum(weight).alias("_own"))
-    below = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row per slice
-    per = per.withColumn("_below", F.coalesce(F.sum("_own").over(below), F.lit(0))).drop("_own")
+    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda e, i: (i + 1) % SIDE == 0))
+    placed = _matched(counts, cuts, by, few).withColumn("_c", F.size(F.filter("_coarse", lambda e: e < x)))
+    fine = F.size(F.filter(F.slice("_cuts", SIDE * F.col("_c") + 1, SIDE - 1), lambda e: e < x))
+    placed = placed.withColumn("_slice", SIDE * F.col("_c") + fine).drop("_cuts", "_coarse", "_c")
     inside = Window.partitionBy(*by, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("_inside", F.sum(weight).over(inside))
-    return _matched(placed, per, [*by, "_slice"]).withColumn(out, F.col("_below") + F.col("_inside")).drop("_below", "_inside", "_slice")
+    per = placed.groupBy(*by, "_slice").agg(F.max("_inside").alias("_own"))  # needs no other shuffle
+    below = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row per slice
+    per = per.withColumn("_below", F.coalesce(F.sum("_own").over(below), F.lit(0))).drop("_own")
+    return _matched(placed, per, [*by, "_slice"], few).withColumn(out, F.col("_below") + F.col("_inside")).drop("_below", "_inside", "_slice")
 
 
-def _matched(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """An inner join on equal or equally null ``by``; without any, ``right`` is one row."""
+def _matched(left: DataFrame, right: DataFrame, by: list[str], few: bool) -> DataFrame:
+    """An inner join on equal or equally null ``by``; without any, ``right`` is one row. ``few`` rows are broadcast."""
     if not by:
         return left.crossJoin(F.broadcast(right))
     right = right.withColumnsRenamed({b: f"_of{i}" for i, b in enumerate(by)})
     on = [F.col(b).eqNullSafe(F.col(f"_of{i}")) for i, b in enumerate(by)]
-    return left.join(right, on).drop(*[f"_of{i}" for i in range(len(by))])
+    return left.join(F.broadcast(right) if few else right, on).drop(*[f"_of{i}" for i in range(len(by))])
 
 
-def quantiles(df: DataFrame, value: Column, shares: list[float], by: list[str] = (), out: str = "q") -> DataFrame:
+def quantiles(df: DataFrame, value: Column, shares: list[float], by: list[str] = (), out: str = "q", few: bool = False) -> DataFrame:
     """``by`` and an array of exact quantiles, interpolated between neighbours; null values are left out.
 
     Values are counted first. Without ``by`` there is one row, or none if there are no values.
     """
     by = list(by)
     counts = df.select(*by, value.cast("double").alias("_x")).filter("_x is not null").groupBy(*by, "_x").agg(F.count("*").alias("_k"))
-    counts = running(counts, "_x", "_k", by)
+    counts = running(counts, "_x", "_k", by, few=few)
     total = counts.groupBy(*by).agg(F.max("upto").alias("_n"))
-    t = _matched(counts, total, by) if by else counts.crossJoin(F.broadcast(total))
+    t = _matched(counts, total, by, few)
     parts = []
     for i, s in enumerate(shares):
         place = F.lit(float(s)) * (F.col("_n") - 1)

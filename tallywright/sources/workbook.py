@@ -111,9 +111,19 @@ def parse_count(value: str | None) -> float | None:
     return float(digits) if digits else None
 
 
+#: Words in the stub of a significance row, as fixed values.
+COMPARISONS = ("col comparison", "letters", "benchmark", "vs. total", "sig")
+
+
 def is_significance_row(stub: str | None, cells: list[str | None]) -> bool:
-    """Letters and signs only, under a row with values."""
-    return not (stub or "").strip() and any(cells) and all(SIGNIFICANCE.match(c or "") for c in cells)
+    """Letters and signs only, under a row with values; its stub is empty or says what they are.
+
+    Cells without a letter or plus are empty ones of a data row, unless all are signs.
+    """
+    named = (stub or "").strip().lower()
+    if named and not any(word in named for word in COMPARISONS):
+        return False
+    return any(cells) and all(SIGNIFICANCE.match(c or "") for c in cells)
 
 
 def banner_sheet(spark: SparkSession, book: Workbook, sheet: str, header: int) -> DataFrame:

@@ -205,3 +205,79 @@ def test_census_refuses_what_it_cannot_hold(spark):
     for call in (multiselect.census, multiselect.resolved):
         with pytest.raises(ValueError, match="more than 500 options"):
             call(many(501), "a")
+
+
+def test_scrubber_forms(spark):
+    """Identity, phone and name forms that are masked, and words and numbers that look alike and stay."""
+    masked = {
+        "1234-5678-9012": "[ID]", "PSN 1234 5678 9012 3456": "PSN [ID]", "TIN 123 456 789": "TIN [ID]", "0817 123 4567": "[PHONE]", "(02) 8123 4567": "[PHONE]", "8123-4567": "[PHONE]",
+        "1234-5678901-2": "[ID]", "12-3456789-0": "[ID]", "12-345678901-2": "[ID]", "+63 917 123 4567": "[PHONE]", "Tita Nena Cruz came": "Tita [NAME] came", "Aling Maria": "Aling [NAME]",
+        "si juan kanina": "si [NAME] kanina", "kay Juan at Pedro": "kay [NAME] at Pedro", "Mr. De la Cruz went": "Mr. [NAME] went", "4111 1111 1111 1111": "[CARD]",
+    }
+    kept = ["kay ganda nito", "ni minsan", "order #2024", "I ate rice", "si mama", "costs 8,123.4567", "Mang Inasal", "a 1234 5678 count"]
+    df = spark.createDataFrame([(t, w) for t, w in masked.items()] + [(t, t) for t in kept], "t string, want string")
+    for r in df.withColumn("got", textprep.scrub_pii(F.col("t"), ["Mang Inasal"])).collect():
+        assert r.got == r.want, r.t
+
+
+def test_scales_with_unused_points(spark):
+    from tallywright.operators import crosstab as ct
+
+    rows = [(2 + i % 4, i % 4, 2 + i % 3, float(2 + i % 4), 7 + i % 4) for i in range(40)]
+    df = spark.createDataFrame(rows, "q1 int, nps int, household_size int, half double, q5_rating int")
+    got = {c: (ct.read_stub(df, c).low, ct.read_stub(df, c).high) for c in df.columns}
+    assert got == {"q1": (1, 5), "nps": (None, None), "household_size": (None, None), "half": (1, 5), "q5_rating": (None, None)}
+    assert ct.scale_of_values("q_satisfaction", 2, 4, 3, True) == (1, 5) and ct.scale_of_values("nps", 3, 10, 8, True) == (0, 10) and ct.scale_of_values("q", 1, 3, 3, True) is None
+
+
+def test_omnibus_and_overlap(spark):
+    from tallywright.operators import crosstab as ct
+
+    rows = [(i, "ab"[i % 2], "xyz"[i % 3], 1 if i % 2 else 0, 1 if i % 5 else 0, f"{'A, B' if i % 4 else 'A'}, C", 1 + i % 5) for i in range(120)]
+    df = spark.createDataFrame(rows, "i int, g string, answer string, one int, two int, many string, score int")
+    chi = ct.omnibus(df, "answer", ["g"]).first()
+    assert chi.test == "chi_square" and chi.df1 == 2 and chi.stat == ct.crosstab_chi_square(df, "answer", "g").first().stat and chi.skipped is None
+    assert ct.omnibus(df, "answer", ["one", "two"]).first().skipped and ct.omnibus(df, "many", ["one", "two"]).first().p is None
+    assert ct.omnibus(df, "many", ["g"]).first().test == "rao_scott_2"
+    f = ct.omnibus(df, "score", ["g"], metric="mean").first()
+    assert f.test == "anova" and (f.df1, f.df2) == (1, 118) and abs(f.stat - ct.anova(df, "score", "g").first().f) < 1e-9
+    assert ct.omnibus(df, "score", ["g"]).count() == 0
+
+
+def test_numbers_sort_by_value(spark):
+    from tallywright.operators import crosstab as ct
+
+    df = spark.createDataFrame([("10",), ("2",), ("1",), ("b",), ("A",), ("11",)], "code string")
+    assert [v for v, _ in ct.banners(df, ["code"])] == ["1", "2", "10", "11", "A", "b"]
+
+
+def test_running_and_quantiles(spark):
+    import numpy as np
+
+    from tallywright.operators import ordered
+
+    draw = random.Random(8)
+    rows = [(draw.choice(["a", None]), round(draw.gauss(0, 1), draw.choice([1, 6]))) for _ in range(3000)] + [("one", 5.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    counts = df.filter("x is not null").groupBy("g", "x").agg(F.count("*").alias("k"))
+    for r in ordered.running(counts, "x", "k", ["g"]).collect():
+        assert r.upto == sum(1 for g, x in rows if g == r.g and x is not None and x <= r.x)
+    got = {r.g: r.q for r in ordered.quantiles(df, F.col("x"), [0.0, 0.25, 0.5, 0.95, 1.0], ["g"]).collect()}
+    for g in ("a", None, "one"):
+        want = np.quantile([x for h, x in rows if h == g and x is not None], [0, 0.25, 0.5, 0.95, 1])
+        assert np.allclose(got[g], want)
+    assert "none" not in got and ordered.quantile(df.filter("x is null"), F.col("x"), 0.5) is None
+
+
+def test_names_by_their_words():
+    from tallywright.functions import names
+
+    assert all(map(names.is_id, ("respondent_id", "id", "RespID", "order_no", "caseId"))) and not any(map(names.is_id, ("no", "paid", "valid", "q1")))
+    assert names.is_time("duration") and names.is_time("TimeTaken") and names.is_time("completion_time") and not names.is_time("second_choice")
+    assert names.is_rating("q3_1to5") and names.is_rating("sat_price") and not names.is_rating("saturday")
+    assert names.is_open_end("q9_other") and names.is_code("area_code") and not names.is_code("code") and names.is_row_number("row_no")
+
+
+def test_long_words_are_their_own_stem():
+    roots = frozenset(("dala",))
+    assert textprep.stem("ipinagdadalahan", roots) == "dala" and textprep.candidates("han" * 20) == ["han" * 20]
