@@ -103,6 +103,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle
     return both.select("a", "text_a", "b", "text_b").mapInArrow(each, "a long, b long").distinct()
 
 
+#: Sets with copies, of 24 bytes each, that are sent to every executor (about 30 MB); more are joined by a shuffle.
+BROADCAST_COPIED = 500_000
 #: Bins of the second round's sketches, kept as one byte each, and rows of a bucket's tile.
 SIGNATURE = 1024
 TILE = 1024
@@ -180,11 +182,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     sk = stored(sketches(docs, bands, rows, shingle), "sketches")
     known = sk.filter("doc_id is not null and same is not null")
     groups = known.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    copied = groups.filter("first <> last").select(F.col("same").alias("of"), "first")
-    copies = known.select("same", "doc_id").join(copied, F.col("same") == F.col("of")).filter("doc_id <> first").select("first", "doc_id", "same")
-    copies = stored(copies, "copies")
+    copied = stored(groups.filter("first <> last").select(F.col("same").alias("of"), "first"), "copied")
+    if copied.count() <= BROADCAST_COPIED:
+        copied = F.broadcast(copied)  # the sketches stay where they are, and so does a hot group of copies
+    marked = known.select("doc_id", "same", "n_shingles", "bands").join(copied, F.col("same") == F.col("of"), "left")
+    copies = stored(marked.filter("first is not null and doc_id <> first").select("first", "doc_id"), "copies")
 
-    single = known.select("doc_id", "same", "n_shingles", "bands").join(copies.select("doc_id", "same"), ["doc_id", "same"], "left_anti")
+    single = marked.filter("first is null or doc_id = first")
     bucketed = single.select(F.explode("bands").alias("key"), "doc_id", "n_shingles")
     heads = bucketed.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("head"), F.max("doc_id").alias("top")).filter("head.doc_id <> top")
     shared = heads.select(F.col("key").alias("bucket"), F.col("head.doc_id").alias("center"), F.col("head.n_shingles").alias("n_center"))

@@ -150,3 +150,10 @@ def test_whole_table_is_exact(spark):
     want = exact_components([(r.doc_id, r.text) for r in docs.collect()])
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect()}
     assert len({c for _, c in want.values()}) < len(want) and got == want
+
+
+def test_beyond_the_broadcast_bounds(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BROADCAST_COPIED", -1)
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", -1)
+    test_cases(spark)
+    test_repeated_ids_link_by_any_text(spark)
