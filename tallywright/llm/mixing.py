@@ -12,6 +12,8 @@ MAX_EPOCHS = 3
 SEED = "mix-1"
 #: Slices of a source's hash order; a slice is ordered by itself only where the mix ends in it.
 SLICES = 4096
+#: Slices of all sources that are sent to every executor (about 25 MB); more are joined by a shuffle.
+BROADCAST_CUTS = 250_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -63,7 +65,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     all_in = F.col("upto") <= F.col("rest")
     none_in = F.col("upto") - F.col("slice_size") > F.col("rest")
     cuts = cuts.withColumn("inside", F.when(all_in, 1).when(none_in, 0).cast("int")).withColumn("room", F.col("rest") - (F.col("upto") - F.col("slice_size")))
-    rows = docs.join(cuts.select("s", "c", "source_size", "target", "whole", "inside", "room"), F.expr("source <=> s and slice = c")).drop("s", "c")
+    cuts = stored(cuts.select("s", "c", "source_size", "target", "whole", "inside", "room"), "cuts")
+    if cuts.count() <= BROADCAST_CUTS:
+        cuts = F.broadcast(cuts)  # only rows of the slices in which the mix ends are moved
+    rows = docs.join(cuts, F.expr("source <=> s and slice = c")).drop("s", "c")
     sure = rows.filter("inside is not null").withColumn("extra", F.col("inside").cast("long"))
     order = Window.partitionBy("source", "slice").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     part = rows.filter("inside is null").withColumn("ahead", F.coalesce(F.sum("size").over(order), F.lit(0)))

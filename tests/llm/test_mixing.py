@@ -53,3 +53,9 @@ def test_clamping(spark):
         got = {r.source: r.target for r in mixing.targets(df).collect()}
         want = brute_targets(sizes)
         assert all(abs(got[s] - float(want[s])) <= 1e-9 * max(1.0, float(want[s])) for s in sizes), (sizes, got, want)
+
+
+def test_beyond_the_broadcast_bound(spark, monkeypatch):
+    want = sorted(map(str, mixing.mix_report(documents(spark)).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_CUTS", -1)
+    assert sorted(map(str, mixing.mix_report(documents(spark)).collect())) == want
