@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm import kernels as K
-from tallywright.llm.common import stored
+from tallywright.llm.common import only, stored
 
 STATISTICS = (
     "log_chars", "log_words", "word_bytes", "upper_share", "digit_share", "symbol_share", "bang_rate", "bar_rate",
@@ -241,5 +241,5 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
     Where rows repeat a doc_id they go only if each of them is rejected. A null doc_id stays.
     """
-    told = scored(docs, labels, threshold).filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("predicted").alias("__best"))
-    return docs.join(told.filter("__best = 0").select("__id"), F.col("doc_id") == F.col("__id"), "left_anti")
+    told = scored(docs, labels, threshold).filter("doc_id is not null").groupBy("doc_id").agg(F.max("predicted").alias("best"))
+    return only(docs, "doc_id", told.filter("best = 0").select("doc_id"), "left_anti")

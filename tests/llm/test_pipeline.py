@@ -61,3 +61,9 @@ def test_dedup_keeps_unlike_texts_of_one_id(spark, sf_dir):
     docs = documents(spark, [(i, t, "en", "a", 1) for i, t in rows])
     kept = sorted(((r.doc_id or 0, (r.text or "").removesuffix(" end")) for r in corpus_pipeline.dedup_stage(spark, docs, sf_dir).collect()))
     assert kept == [(0, one), (1, one), (2, two), (3, three), (4, "")]
+
+
+def test_empty_tables_through_all_stages(spark, tmp_path):
+    documents(spark).limit(0).select(*corpus_pipeline.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").collect() == []
