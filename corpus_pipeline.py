@@ -17,7 +17,11 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts are scored like others, so they may go; a null doc_id stays, and rows that repeat a
+    doc_id go only together. An empty table stays empty; other columns than those of documents are dropped.
+    """
     return quality.accepted(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
@@ -50,18 +54,28 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and revealing words are replaced in the texts; n_chars follows."""
+    """Personal data and revealing words are replaced in the texts; n_chars follows.
+
+    Every row stays, null and repeated doc_ids too; a null text becomes empty, equal texts stay equal.
+    """
     docs = docs.select(*COLUMNS)
     return pii.cleaned(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that the sources meet their target weights."""
+    """Documents are repeated or left out so that the sources meet their target weights.
+
+    A null source is one more source. Documents without words, null texts too, weigh nothing and go with
+    their neighbours in the order of the mix. Rows of one doc_id are told apart by their size.
+    """
     return mixing.mixed_rows(docs.select(*COLUMNS))
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents are packed into sequences of 2048 tokens."""
+    """All documents are packed into sequences of 2048 tokens, one row per piece.
+
+    A null or empty text is the end id alone; repeated rows and null doc_ids are packed like others.
+    """
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
