@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,13 +40,34 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes that go to a Python worker at a time while a table is stored; a longer text goes alone.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_BYTES within; buffers on both sides grow with them, the result doesn't depend on them."""
+    before = spark.conf.get(BATCH)
+    digits = before.rstrip("b")
+    if digits.isdigit() and int(digits) <= BATCH_BYTES:
+        yield
+        return
+    spark.conf.set(BATCH, f"{BATCH_BYTES}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     The copy survives lost executors, is computed once however often it is read, and ends the lineage.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

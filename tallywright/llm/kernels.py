@@ -23,7 +23,7 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 SHINGLE = 5
 #: Texts are worked on in chunks of so many bytes and rows at most.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 4096
 #: Values of the sketches of a chunk's texts: some arrays of so many 64-bit words are alive at a time.
 CHUNK_CELLS = 1 << 19
