@@ -45,15 +45,22 @@ BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of BATCH_BYTES within; buffers on both sides grow with them, the result doesn't depend on them."""
+def limit_batches(spark: SparkSession) -> str:
+    """Arrow batches of the session hold BATCH_BYTES from here on, if they held more; gives what was set before.
+
+    Buffers of executors and of their Python workers grow with the batches; results don't depend on them.
+    """
     before = spark.conf.get(BATCH)
     digits = before.rstrip("b")
-    if digits.isdigit() and int(digits) <= BATCH_BYTES:
-        yield
-        return
-    spark.conf.set(BATCH, f"{BATCH_BYTES}b")
+    if not digits.isdigit() or int(digits) > BATCH_BYTES:
+        spark.conf.set(BATCH, f"{BATCH_BYTES}b")
+    return before
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """``limit_batches`` for a while."""
+    before = limit_batches(spark)
     try:
         yield
     finally:

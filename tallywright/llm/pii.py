@@ -99,7 +99,7 @@ def words(text: str) -> Iterator[tuple[str, int, int]]:
 
 
 #: Word forms that a process remembers, about 200 bytes each; beyond it the memory starts anew.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 _CORES: dict[str, str] = {}
 
 

@@ -22,7 +22,7 @@ _CLASS[48:58] = DIGIT
 _CLASS[65:91] = _CLASS[97:123] = LETTER
 _CLASS[[9, 10, 11, 12, 13, 32]] = SPACE_
 #: Runs that are remembered, about 50 bytes each; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 def _classes(data: np.ndarray) -> np.ndarray:
