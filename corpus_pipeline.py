@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality, near duplicates, personal data, source mix, packing."""
+"""The corpus pipeline: quality, near duplicates, personal data, source mix, packing.
+
+Python workers live on from stage to stage beside the executor's heap, so every stage limits the session's
+Arrow batches (``common.limit_batches``), also for the caller's own write of its rows.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm import minhash, mixing, packing, pii, quality
-from tallywright.llm.common import only, stored, table
+from tallywright.llm.common import limit_batches, only, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: No SQL expresses the trained classifier of the first stage; the tests hold each stage against brute force.
@@ -22,6 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts are scored like others, so they may go; a null doc_id stays, and rows that repeat a
     doc_id go only together. An empty table stays empty; other columns than those of documents are dropped.
     """
+    limit_batches(spark)
     return quality.accepted(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
@@ -32,6 +37,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     all stay, and of its copies and near copies one; a null text stays only if its doc_id has no other.
     A null doc_id stays.
     """
+    limit_batches(spark)
     docs = docs.select(*COLUMNS)
     repeated = docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).filter("n > 1").select("id")
     repeated = stored(repeated, "repeated")
@@ -58,6 +64,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Every row stays, null and repeated doc_ids too; a null text becomes empty, equal texts stay equal.
     """
+    limit_batches(spark)
     docs = docs.select(*COLUMNS)
     return pii.cleaned(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -68,6 +75,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is one more source. Documents without words, null texts too, weigh nothing and go with
     their neighbours in the order of the mix. Rows of one doc_id are told apart by their size.
     """
+    limit_batches(spark)
     return mixing.mixed_rows(docs.select(*COLUMNS))
 
 
@@ -76,6 +84,7 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is the end id alone; repeated rows and null doc_ids are packed like others.
     """
+    limit_batches(spark)
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
