@@ -67,12 +67,19 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(BATCH, before)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a few numbers that make a file worth while.
+FILE_ROWS = 100_000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
-    The copy survives lost executors, is computed once however often it is read, and ends the lineage.
+    The copy survives lost executors, is computed once however often it is read, and ends the lineage. Where
+    a bound of its rows is known, ``rows``, it has no more files than FILE_ROWS asks for.
     """
     path = fresh_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     with small_batches(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -85,10 +92,10 @@ BROADCAST_IDS = 1_000_000
 def only(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows of ``df`` whose ``key`` (a long) is in the one-column ``ids``, or is not with ``left_anti``.
 
-    The ids are counted first: up to BROADCAST_IDS of them are broadcast, so the wide rows of ``df`` stay
-    where they are; more are joined by a shuffle.
+    The ids are counted first, so they are computed twice: up to BROADCAST_IDS of them are broadcast, so the
+    wide rows of ``df`` stay where they are; more are joined by a shuffle.
     """
-    ids = stored(ids.select(F.col(ids.columns[0]).cast("long").alias("only_id")).distinct(), "ids")
+    ids = ids.select(F.col(ids.columns[0]).cast("long").alias("only_id")).distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return df.join(ids, F.col(key) == F.col("only_id"), how)

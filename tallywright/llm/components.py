@@ -44,7 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         if not now[0]:
             break
-        e = stored(_small_star(_large_star(e)), "edges")
+        e = stored(_small_star(_large_star(e)), "edges", rows=2 * now[0])
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -134,8 +134,7 @@ def likely(met: DataFrame, docs: DataFrame, percent: int = PERCENT, bands: int =
 
     signs = only(docs.select("doc_id", "text"), "doc_id", met.select("doc_id")).mapInArrow(sign, "id long, sign binary")
     cuts = met.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > TILE).select(F.col("key").alias("k"), F.ceil(F.col("n") / TILE).alias("many"))
-    cuts = stored(cuts, "cuts")  # a row per TILE rows of ``met`` at most
-    if cuts.count() <= BROADCAST_IDS:
+    if cuts.count() <= BROADCAST_IDS:  # a row per TILE rows of ``met`` at most
         cuts = F.broadcast(cuts)  # a hot bucket's rows stay where they are
     tiles = (
         met.join(cuts, F.col("key") == F.col("k"), "left").withColumn("cuts", F.coalesce("many", F.lit(1).cast("long"))).withColumn("own", F.pmod(F.xxhash64("doc_id"), "cuts"))
@@ -182,11 +181,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     sk = stored(sketches(docs, bands, rows, shingle), "sketches")
     known = sk.filter("doc_id is not null and same is not null")
     groups = known.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    copied = stored(groups.filter("first <> last").select(F.col("same").alias("of"), "first"), "copied")
+    copied = groups.filter("first <> last").select(F.col("same").alias("of"), "first")
     if copied.count() <= BROADCAST_COPIED:
         copied = F.broadcast(copied)  # the sketches stay where they are, and so does a hot group of copies
     marked = known.select("doc_id", "same", "n_shingles", "bands").join(copied, F.col("same") == F.col("of"), "left")
-    copies = stored(marked.filter("first is not null and doc_id <> first").select("first", "doc_id"), "copies")
+    copies = marked.filter("first is not null and doc_id <> first").select("first", "doc_id")
 
     single = marked.filter("first is null or doc_id = first")
     bucketed = single.select(F.explode("bands").alias("key"), "doc_id", "n_shingles")
@@ -196,7 +195,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     met = stored(met, "buckets")
     fits = f"100 * least(n_center, n_shingles) >= {percent} * greatest(n_center, n_shingles)"
     stars = met.filter(fits).select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = stored(confirmed(stars, docs, percent, shingle), "links")
+    links = confirmed(stars, docs, percent, shingle)
     first = components(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct().union(links))
 
     # Second round: what one bucket still holds in different components.
@@ -207,7 +206,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     open_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("key").alias("k"))
     open_rows = stored(placed.join(open_keys, F.col("key") == F.col("k")).select("key", "doc_id", "n_shingles", "label"), "open")
     rest = likely(open_rows, docs, percent, bands, rows, shingle)
-    more = stored(confirmed(rest, docs, percent, shingle), "links")
+    more = confirmed(rest, docs, percent, shingle)
     joined = components(first.filter("node <> component").toDF("a", "b").union(more))
     out = sk.join(joined, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
