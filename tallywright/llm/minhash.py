@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tallywright.llm import kernels as K
 from tallywright.llm.common import BROADCAST_IDS, only, stored
 from tallywright.llm.components import components
-from tallywright.llm.streams import grouped
+from tallywright.llm.streams import grouped, lean
 
 PERCENT = 75
 BANDS = 40
@@ -68,7 +68,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int
                     ["doc_id", "n_shingles", "same", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n_shingles long, same binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(each), "doc_id long, n_shingles long, same binary, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle: int = K.SHINGLE) -> DataFrame:
@@ -100,7 +100,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
                 at = to
 
-    return both.select("a", "text_a", "b", "text_b").mapInArrow(each, "a long, b long").distinct()
+    return both.select("a", "text_a", "b", "text_b").mapInArrow(lean(each), "a long, b long").distinct()
 
 
 #: Sets with copies, of 24 bytes each, that are sent to every executor (about 30 MB); more are joined by a shuffle.
@@ -132,7 +132,7 @@ def likely(met: DataFrame, docs: DataFrame, percent: int = PERCENT, bands: int =
                 keys = band_keys(K.one_permutation(h, doc, c.n, bands * rows, band_probes), bands, rows)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.first_row, c.n), pa.array([x.tobytes() + k.tobytes() for x, k in zip(low, keys)], pa.binary())], ["id", "sign"])
 
-    signs = only(docs.select("doc_id", "text"), "doc_id", met.select("doc_id")).mapInArrow(sign, "id long, sign binary")
+    signs = only(docs.select("doc_id", "text"), "doc_id", met.select("doc_id")).mapInArrow(lean(sign), "id long, sign binary")
     cuts = met.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > TILE).select(F.col("key").alias("k"), F.ceil(F.col("n") / TILE).alias("many"))
     if cuts.count() <= BROADCAST_IDS:  # a row per TILE rows of ``met`` at most
         cuts = F.broadcast(cuts)  # a hot bucket's rows stay where they are
@@ -164,7 +164,7 @@ def likely(met: DataFrame, docs: DataFrame, percent: int = PERCENT, bands: int =
             both = np.concatenate(found, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
-    return signed.mapInArrow(compare, "a long, b long").distinct()
+    return signed.mapInArrow(lean(compare), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, shingle: int = K.SHINGLE) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tallywright.llm import kernels as K
 from tallywright.llm.common import stored
+from tallywright.llm.streams import lean
 from tallywright.llm.tokenids import Encoder
 
 CAPACITY = 2048
@@ -219,7 +220,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECE)] if rows else [pa.array([], f.type) for f in PIECE], schema=PIECE)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(each, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(lean(each), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

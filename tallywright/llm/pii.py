@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm.common import stored
+from tallywright.llm.streams import lean
 
 KINDS = ("email", "ip", "card", "phone")
 #: Shares of an entity's information content at which a word is generalised or removed.
@@ -38,6 +39,7 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: ASCII punctuation around a word does not belong to it.
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_EDGE_BYTES = _EDGES.encode()
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 Span = tuple[int, int]
@@ -98,25 +100,16 @@ def words(text: str) -> Iterator[tuple[str, int, int]]:
             yield core.translate(_FOLD), at, at + len(core)
 
 
-#: Word forms that a process remembers, about 200 bytes each; beyond it the memory starts anew.
-REMEMBERED = 50_000
-_CORES: dict[str, str] = {}
+def byte_words(raw: bytes) -> set[bytes]:
+    """The distinct folded words of a text in UTF-8, as ``words`` gives them: bytes split and fold at ASCII only."""
+    out = {w.strip(_EDGE_BYTES) for w in set(raw.lower().split())}
+    out.discard(b"")
+    return out
 
 
 def cores(text: str) -> set[str]:
-    """The distinct folded words of a text, as ``words`` gives them; forms seen before are looked up."""
-    out = set()
-    for raw in set(_WORD.findall(text)):
-        core = _CORES.get(raw)
-        if core is None:
-            core = raw.strip(_EDGES).translate(_FOLD)
-            if len(_CORES) > REMEMBERED:
-                _CORES.clear()
-            if len(raw) <= 64:
-                _CORES[raw] = core
-        out.add(core)
-    out.discard("")
-    return out
+    """``byte_words`` of a string."""
+    return {w.decode("utf-8", "surrogatepass") for w in byte_words(text.encode("utf-8", "surrogatepass"))}
 
 
 def _outside(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
@@ -157,7 +150,7 @@ def entity_texts(docs: DataFrame) -> DataFrame:
             types = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], ["key", "entities", "terms"])
 
-    return _clean(docs).select("text").mapInArrow(each, "key string, entities array<string>, terms array<string>")
+    return _clean(docs).select("text").mapInArrow(lean(each), "key string, entities array<string>, terms array<string>")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -167,16 +160,16 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     if terms.count() <= BROADCAST_TERMS:
-        wanted = spark.sparkContext.broadcast(frozenset(r[0] for r in terms.collect()))
+        wanted = spark.sparkContext.broadcast(frozenset(r[0].encode() for r in terms.collect()))
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found: Counter[str] = Counter()
+            found: Counter[bytes] = Counter()
             for batch in batches:
                 for text in batch.column("text"):
-                    found.update(cores(text.as_py()) & wanted.value)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "c"])
+                    found.update(byte_words(text.as_buffer().to_pybytes()) & wanted.value)
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "c"])
 
-        return _clean(docs).select("text").mapInArrow(each, "term string, c long").groupBy("term").agg(F.sum("c").alias("n"))
+        return _clean(docs).select("text").mapInArrow(lean(each), "term string, c long").groupBy("term").agg(F.sum("c").alias("n"))
     raw = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)))
     core = F.translate(F.regexp_replace("raw", r"^\p{Punct}+|\p{Punct}+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = _clean(docs).select("text", F.monotonically_increasing_id().alias("k")).select("k", raw.alias("raw")).select("k", core.alias("term"))
@@ -246,6 +239,7 @@ def sanitised(docs: DataFrame, generalise: float = GENERALISE, remove: float = R
     n = terms.count()
     few = n <= BROADCAST_TERMS
     told = spark.sparkContext.broadcast({r.term: r.share for r in terms.collect()} if few else {})
+    listed = spark.sparkContext.broadcast(frozenset(w.encode() for w in told.value))
     if few:
         rows = rows.withColumn("own", F.lit(None).cast("map<string,double>"))
     else:
@@ -269,7 +263,8 @@ def sanitised(docs: DataFrame, generalise: float = GENERALISE, remove: float = R
                 found = base_spans(text)
                 base = rendered(found)
                 taken = sorted(((a, b, k) for k, v in found.items() for a, b in v), key=lambda s: (s[0], -s[1]))
-                hits = [(a, b) for w, a, b in _outside(text, sorted(taken)) if w in known] if known and not known.keys().isdisjoint(cores(text)) else []
+                any_known = known and (not few or not listed.value.isdisjoint(byte_words(text.encode())))
+                hits = [(a, b) for w, a, b in _outside(text, sorted(taken)) if w in known] if any_known else []
                 marks = [(a, b, f"[{k.upper()}]") for a, b, k in taken]
                 for a, b in hits:
                     marks.append((a, b, "[REMOVED]" if known[text[a:b].translate(_FOLD)] >= remove else _class_of(text[a:b])))
@@ -286,4 +281,4 @@ def sanitised(docs: DataFrame, generalise: float = GENERALISE, remove: float = R
             arrays = [pa.array(c, t) for c, t in zip(columns, types)]
             yield pa.RecordBatch.from_arrays(arrays + ([batch.column(keep)] if keep else []), names + ([keep] if keep else []))
 
-    return rows.mapInArrow(each, out_type)
+    return rows.mapInArrow(lean(each), out_type)

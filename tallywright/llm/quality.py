@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tallywright.llm import kernels as K
 from tallywright.llm.common import only, stored
+from tallywright.llm.streams import lean
 
 STATISTICS = (
     "log_chars", "log_words", "word_bytes", "upper_share", "digit_share", "symbol_share", "bang_rate", "bar_rate",
@@ -95,7 +96,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(c.first_row, c.n), *(pa.array(x[:, j]) for j in range(x.shape[1]))], ["doc_id", *STATISTICS])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(each, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return docs.mapInArrow(lean(each), "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 Condition = tuple[int, bool, float]  # statistic, above, threshold
