@@ -6,6 +6,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ MAX_COMBINATIONS = 1_500_000
 MAX_PATTERNS = 1_000_000
 #: Distinct pairs of values in a Kendall correlation, which are compared with each other.
 MAX_PAIRS = 20_000
+#: Without ties p is exact for up to so many values in the smaller sample and pairs of both (Mann-Whitney), or differences (Wilcoxon).
+EXACT_SAMPLE, EXACT_PAIRS, EXACT_DIFFERENCES = 8, 10_000, 50
 
 
 def _one(df: DataFrame, **values) -> DataFrame:
@@ -85,8 +88,48 @@ def dunn(df: DataFrame, value: str, group: str, weight: str | None = None) -> Da
     return multiplicity.adjusted(t, "p_raw", [], "holm", ["group_a", "group_b"]).withColumn("significant", F.col("p_adj") < 0.05)
 
 
+def rank_sum_ways(n: int, m: int) -> list[int]:
+    """In how many orders of n and m different values U is 0, 1, ..., n * m: the coefficients of a Gaussian binomial."""
+    ways = [1] + [0] * (n * m)
+    for i in range(1, n + 1):
+        for u in range(n * m, m + i - 1, -1):
+            ways[u] -= ways[u - m - i]
+        for u in range(i, n * m + 1):
+            ways[u] += ways[u - i]
+    return ways
+
+
+def signed_rank_ways(n: int) -> list[int]:
+    """For how many signs of the ranks 1 to n the positive ones sum to 0, 1, ..., n (n + 1) / 2."""
+    ways = [1] + [0] * (n * (n + 1) // 2)
+    for i in range(1, n + 1):
+        for w in range(len(ways) - 1, i - 1, -1):
+            ways[w] += ways[w - i]
+    return ways
+
+
+def exact_rank_sum_p(u: float, n: int, m: int) -> float | None:
+    """Two-sided p of U without ties; None for an empty sample and beyond EXACT_SAMPLE or EXACT_PAIRS."""
+    if not (n >= 1 and m >= 1) or min(n, m) > EXACT_SAMPLE or n * m > EXACT_PAIRS:
+        return None
+    n, m = int(n), int(m)
+    ways = rank_sum_ways(min(n, m), max(n, m))
+    return min(1.0, 2 * sum(ways[: int(min(u, n * m - u)) + 1]) / sum(ways))
+
+
+def exact_signed_rank_p(w: float, n: int) -> float | None:
+    """Two-sided p of the lesser signed rank sum without ties; None beyond EXACT_DIFFERENCES."""
+    if n > EXACT_DIFFERENCES:
+        return None
+    return min(1.0, 2 * sum(signed_rank_ways(n)[: int(w) + 1]) / 2**n)
+
+
 def mann_whitney(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
-    """u (of group ``a``), z, p and medians; normal approximation with tie and continuity correction."""
+    """u (of group ``a``), z, p and medians. p is exact for small samples without ties, else from z.
+
+    z is the normal approximation with tie and continuity correction.
+    """
+    exact = F.pandas_udf(lambda u, n, m: pd.Series([exact_rank_sum_p(*x) for x in zip(u, n, m)], dtype=float), "double")  # a single row
     g = text_of(F.col(group), dict(df.dtypes)[group])
     t = df.filter(g.isin(a, b) & F.col(value).isNotNull())
     cells = _rank_cells(t, value, group, None, False)
@@ -101,20 +144,25 @@ def mann_whitney(df: DataFrame, value: str, group: str, a: str, b: str) -> DataF
     u = F.col("ra") - F.col("na") * (F.col("na") + 1) / 2
     sd = F.sqrt(F.col("na") * F.col("nb") / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     far = F.greatest(u, F.col("na") * F.col("nb") - u) - F.col("na") * F.col("nb") / 2 - 0.5
-    s = s.select(u.alias("u"), F.when(sd > 0, far / sd).otherwise(0.0).alias("z"), F.col("na").cast("long").alias("n_a"), F.col("nb").cast("long").alias("n_b"), "median_a", "median_b")
-    return s.withColumn("p", F.least(F.lit(1.0), tails.normal_p(F.greatest("z", F.lit(0.0)))))
+    s = s.select(u.alias("u"), F.when(sd > 0, far / sd).otherwise(0.0).alias("z"), F.col("na").cast("long").alias("n_a"), F.col("nb").cast("long").alias("n_b"), "median_a", "median_b", "ties")
+    near = F.least(F.lit(1.0), tails.normal_p(F.greatest("z", F.lit(0.0))))
+    return s.withColumn("_exact", exact("u", "n_a", "n_b")).withColumn("p", F.coalesce(F.when((F.col("ties") == 0) & ~F.isnan("_exact"), F.col("_exact")), near)).drop("_exact", "ties")
 
 
 def wilcoxon(df: DataFrame, before: str, after: str) -> DataFrame:
-    """w (the lesser signed rank sum), z, p of paired values; zero differences are dropped, five must remain."""
+    """w (the lesser signed rank sum), z, p of paired values; zero differences are dropped, five must remain.
+
+    p is exact for up to EXACT_DIFFERENCES differences without ties, else from z.
+    """
+    exact = F.pandas_udf(lambda w, n: pd.Series([exact_signed_rank_p(*x) for x in zip(w, n)], dtype=float), "double")  # a single row
     d = df.select((F.col(after).cast("double") - F.col(before).cast("double")).alias("d")).filter("d is not null and d <> 0")
     c = d.groupBy(F.abs("d").alias("y")).agg(F.count("*").cast("double").alias("k"), F.sum(F.when(F.col("d") > 0, 1.0).otherwise(0.0)).alias("up"))
     c = running(c, "y", "k").withColumn("r", (2 * F.col("upto") - F.col("k") + 1) / 2)
     s = c.agg(F.sum(F.col("up") * F.col("r")).alias("plus"), F.sum((F.col("k") - F.col("up")) * F.col("r")).alias("minus"), F.sum("k").alias("n"), F.sum(F.pow("k", F.lit(3.0)) - F.col("k")).alias("ties"))
     w = F.least("plus", "minus")
     sd = F.sqrt(F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48)
-    s = s.filter("n >= 5").select(w.alias("w"), F.when(sd > 0, (w - F.col("n") * (F.col("n") + 1) / 4) / sd).otherwise(0.0).alias("z"), F.col("n").cast("long").alias("n"))
-    return s.withColumn("p", tails.normal_p("z"))
+    s = s.filter("n >= 5").select(w.alias("w"), F.when(sd > 0, (w - F.col("n") * (F.col("n") + 1) / 4) / sd).otherwise(0.0).alias("z"), F.col("n").cast("long").alias("n"), "ties")
+    return s.withColumn("_exact", exact("w", "n")).withColumn("p", F.coalesce(F.when((F.col("ties") == 0) & ~F.isnan("_exact"), F.col("_exact")), tails.normal_p("z"))).drop("_exact", "ties")
 
 
 # --- means -----------------------------------------------------------------

@@ -192,3 +192,24 @@ def test_quadrants(spark):
     rows = [tuple(draw.randrange(1, 6) for _ in range(5)) for _ in range(120)]
     q = models.quadrants(spark.createDataFrame(rows, "y int, a int, b int, c int, d int"), "y", list("abcd")).collect()
     assert q[0].importance_cut == 25.0 and sum(r.importance for r in q) == pytest.approx(100, abs=0.1) and [r["rank"] for r in q] == [1, 2, 3, 4]
+
+
+def test_exact_rank_tests(spark):
+    """p values of small samples without ties, against all orders and all signs."""
+    from itertools import combinations, product
+
+    a, b = [1.1, 5.0, 7.5, 9.0], [0.3, 2.0, 2.5, 3.0, 4.0, 6.0]
+    df = spark.createDataFrame([("a", x) for x in a] + [("b", x) for x in b], "g string, x double")
+    us = [sum(sum(k > j for j in set(range(10)) - set(c)) for k in c) for c in combinations(range(10), 4)]
+    r = models.mann_whitney(df, "x", "g", "a", "b").first()
+    assert r.u == sum(x > y for x in a for y in b)
+    assert r.p == pytest.approx(min(1, 2 * sum(u >= max(r.u, 24 - r.u) for u in us) / len(us)), abs=1e-12)
+    assert [us.count(u) for u in range(25)] == models.rank_sum_ways(4, 6)
+    d = [1.5, -0.5, 3.0, 4.0, -2.0, 6.0, 0.0, None]
+    r = models.wilcoxon(spark.createDataFrame([(0.0, x) for x in d], "b double, a double"), "b", "a").first()
+    sums = [sum(i for i, s in enumerate(signs, 1) if s) for signs in product((0, 1), repeat=6)]
+    assert r.w == 4 and r.n == 6 and r.p == pytest.approx(2 * sum(w <= 4 for w in sums) / 64, abs=1e-12)
+    tied = models.mann_whitney(df.union(spark.createDataFrame([("b", 1.1)], df.schema)), "x", "g", "a", "b").first()
+    assert tied.p == pytest.approx(math.erfc(tied.z / math.sqrt(2)), abs=1e-9)
+    assert models.mann_whitney(df, "x", "g", "a", "nobody").first().p is None
+    assert models.exact_rank_sum_p(3, 9, 9) is None and models.exact_signed_rank_p(3, 51) is None
