@@ -145,7 +145,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, a: str, b: str) -> DataF
     sd = F.sqrt(F.col("na") * F.col("nb") / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     far = F.greatest(u, F.col("na") * F.col("nb") - u) - F.col("na") * F.col("nb") / 2 - 0.5
     s = s.select(u.alias("u"), F.when(sd > 0, far / sd).otherwise(0.0).alias("z"), F.col("na").cast("long").alias("n_a"), F.col("nb").cast("long").alias("n_b"), "median_a", "median_b", "ties")
-    near = F.least(F.lit(1.0), tails.normal_p(F.greatest("z", F.lit(0.0))))
+    near = F.when(F.col("n_a").isNotNull() & F.col("n_b").isNotNull(), F.least(F.lit(1.0), tails.normal_p(F.greatest("z", F.lit(0.0)))))
     return s.withColumn("_exact", exact("u", "n_a", "n_b")).withColumn("p", F.coalesce(F.when((F.col("ties") == 0) & ~F.isnan("_exact"), F.col("_exact")), near)).drop("_exact", "ties")
 
 
