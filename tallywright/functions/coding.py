@@ -32,6 +32,8 @@ class Lexicon:
     skip: tuple[str, ...] = ()
     none: tuple[str, ...] = ()
     dont_know: tuple[str, ...] = ()
+    more: tuple[str, ...] = ()
+    rivals: tuple[str, ...] = ()
 
 
 #: A small seed; surveys bring their own.
@@ -47,6 +49,7 @@ SEED = Lexicon(
     flips=("removes", "prevents", "tanggal"), suggestions={"should": 0.6, "hope": 0.4, "sana": 0.5, "dapat": 0.6},
     contrast=("but", "however", "pero", "kaso"), concession=("although", "even though", "kahit"), skip=("so", "very", "that", "all", "really", "naman", "masyado", "too", "ang", "ka"),
     none=("none", "nothing", "wala", "n/a", "na", "no comment"), dont_know=("dont know", "don't know", "idk", "hindi ko alam", "not sure"),
+    more=("mas",), rivals=("ibang brand", "other brand", "ibang produkto", "iba", "kalaban", "competitor"),
 )
 
 
@@ -73,7 +76,11 @@ def _phrases(words) -> list[tuple[str, ...]]:
 
 @dataclass
 class Coder:
-    """Codes one answer; made once per task from plain dictionaries, so it can be sent to executors."""
+    """Codes one answer; made once per task from plain dictionaries, so it can be sent to executors.
+
+    If the codeframe's options have ``comparative_flip``, praise in a comparison that names a rival (mas mura
+    ang iba) is the rival's, so it counts against.
+    """
 
     codeframe: dict
     lexicon: Lexicon = SEED
@@ -86,6 +93,8 @@ class Coder:
         weigh = lambda d: {tuple(normalise(k).split()): v for k, v in d.items()}
         self.polar, self.idioms, self.intensifiers, self.suggestions = weigh(lx.polar), weigh(lx.idioms), weigh(lx.intensifiers), weigh(lx.suggestions)
         self.negators, self.flips, self.contrasts, self.concessions = _phrases(lx.negators), _phrases(lx.flips), _phrases(lx.contrast), _phrases(lx.concession)
+        self.more, self.rivals = _phrases(lx.more), _phrases(lx.rivals)
+        self.comparative = bool((self.codeframe.get("options") or {}).get("comparative_flip"))
         self.absence, self.skip = {tuple(a.split()) for a in lx.absence}, set(lx.skip)
         self.special = {**SPECIAL, **{k: v for k, v in (self.codeframe.get("special_codes") or {}).items()}}
         for word, value in (self.codeframe.get("sentiment_overrides") or {}).items():
@@ -95,9 +104,9 @@ class Coder:
             pos, neg = (set(_phrases(t.get(k, ()))) for k in ("pos_keywords", "neg_keywords"))
             self.topics.append((t, sorted({*_phrases(t.get("keywords", ())), *pos, *neg}, key=lambda p: (-len(p), p)), pos, neg))
         words = [w for t in self.topics for p in t[1] for w in p] + [w for d in (self.polar, self.idioms, self.intensifiers, self.suggestions) for p in d for w in p]
-        self.roots = frozenset(words) | frozenset(w for p in (*self.negators, *self.flips, *self.contrasts, *self.concessions) for w in p)
+        self.roots = frozenset(words) | frozenset(w for p in (*self.negators, *self.flips, *self.contrasts, *self.concessions, *self.more, *self.rivals) for w in p)
         self.longest = max([len(p) for p in self.polar], default=1)
-        tables = ("idioms", "negators", "flips", "suggestions", "intensifiers", "contrasts", "concessions")
+        tables = ("idioms", "negators", "flips", "suggestions", "intensifiers", "contrasts", "concessions", "more", "rivals")
         self.index = {name: _index(getattr(self, name)) for name in tables}
         self.topic_index: dict[str, list[tuple[int, tuple[str, ...]]]] = {}
         for n, topic in enumerate(self.topics):
@@ -195,6 +204,8 @@ class Coder:
                     close()
             j += 1
         close()
+        if self.comparative and score > 0 and all(any(_found(self.index[t], s, k) for k in range(len(s))) for t in ("more", "rivals")):
+            score = -score
         return score, turned
 
     def code(self, text: str | None) -> dict:

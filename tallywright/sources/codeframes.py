@@ -14,7 +14,7 @@ from tallywright.sources.workbook import Workbook
 MAX_BYTES, MAX_TOPICS, MAX_KEYWORDS = 1 << 20, 500, 2000
 NAME = re.compile(r"[A-Za-z0-9_-]{1,64}")
 STOPWORDS = frozenset("the a an and or of to in is it for on with was are be this that at by from as not no but so very my i we they ang ng sa na mga at ay ko mo po lang para may".split())
-POSITIVE, NEGATIVE = re.compile(r"\b(?:good|great|positive|satisf\w*|like\w*|love\w*|happy|affordable|maganda|masarap)\b", re.I), re.compile(r"\b(?:bad|poor|negative|dissatisf\w*|dislike\w*|not|no|lack\w*|expensive|slow|panget|mahal)\b", re.I)
+POSITIVE, NEGATIVE = re.compile(r"\b(?:good|great|better|positive|favorable|accomplishments?|satisf\w*|like\w*|love\w*|happy|affordable|maganda|masarap)\b", re.I), re.compile(r"\b(?:bad|poor|worse|negative|unfavorable|concerns?|problems?|deficit|dissatisf\w*|dislike\w*|not|no|lack\w*|expensive|slow|panget|mahal)\b", re.I)
 HEADERS = {"code": ("code", "codes", "code_id", "id"), "label": ("label", "theme", "description", "name"), "net": ("net", "category", "group"), "subnet": ("subnet", "subcategory"), "quotes": ("quotes", "anchored verbatims", "verbatims", "exemplars", "examples"), "polarity": ("polarity", "sentiment")}
 
 
@@ -95,28 +95,38 @@ def _columns(header: list[str]) -> dict[str, int]:
 
 
 def from_rows(rows: list[list[str | None]], name: str = "custom") -> dict:
-    """A table with a header among the first 15 rows. Rows without a whole code are headings: (NET), (Subnet)."""
+    """A table with a header among the first 15 rows. Rows without a whole code are headings.
+
+    A heading's ending tells its level: (NET), (Subnet), (Sub-subnet) and so on; a topic's subnet is the path
+    from the second level on, joined by " > ". A heading without such an ending is a net before the first
+    code, and a subnet after. Its words also give a polarity to the codes below that tell none, until another
+    heading does.
+    """
     at = next((i for i, r in enumerate(rows[:15]) if {"label"} <= set(_columns(r)) and len(_columns(r)) >= 2), None)
     if at is None:
         raise ValueError("no header with a code or label column in the first 15 rows")
-    col, topics, net, subnet = _columns(rows[at]), [], "", ""
+    col, topics, net, path, lean = _columns(rows[at]), [], "", [], None
     get = lambda r, k: (r[col[k]] or "").strip() if k in col and col[k] < len(r) else ""
     for n, r in enumerate(rows[at + 1 :], 1):
         label, code = get(r, "label"), get(r, "code")
         if not label:
             continue
         if "code" in col and not re.fullmatch(r"\d+(?:\.0)?", code):
-            kind = re.search(r"\((sub-sub-?net|sub-?net|net)\)\s*$", label, re.I)
+            kind = re.search(r"\(((?:sub-?)*)net\)\s*$", label, re.I)
             clean = re.sub(r"\s*\([^)]*\)\s*$", "", label)
-            if kind is None or kind[1].lower() == "net":
-                net, subnet = clean, ""
+            depth = len(re.findall("sub", kind[1], re.I)) if kind else int(bool(topics))
+            if depth:
+                path = [*path[: depth - 1], clean]
             else:
-                subnet = clean
+                net, path = clean, []
+            lean = {"neutral": lean}.get(polarity_of(label), polarity_of(label))
             continue
         number = int(float(code)) if code else n + 100
         quotes = [q.strip() for q in re.split(r"[;\n|]", get(r, "quotes")) if q.strip()]
         polarity = {"positive": "pos", "pos": "pos", "negative": "neg", "neg": "neg", "neutral": "neutral"}.get(get(r, "polarity").lower())
-        topics.append(_topic(number, label, get(r, "net") or net or "General", get(r, "subnet") or subnet or "General", quotes, polarity))
+        if polarity is None and polarity_of(label) == "neutral":
+            polarity = lean
+        topics.append(_topic(number, label, get(r, "net") or net or "General", get(r, "subnet") or " > ".join(path) or "General", quotes, polarity))
     return _frame(topics, name)
 
 

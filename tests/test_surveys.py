@@ -281,3 +281,20 @@ def test_names_by_their_words():
 def test_long_words_are_their_own_stem():
     roots = frozenset(("dala",))
     assert textprep.stem("ipinagdadalahan", roots) == "dala" and textprep.candidates("han" * 20) == ["han" * 20]
+
+
+def test_comparative_flip():
+    """Praise of a rival counts against, where the codeframe asks for it."""
+    plain, flips = coding.Coder(CODEFRAME), coding.Coder({**CODEFRAME, "options": {"comparative_flip": True}})
+    for text, was, now in [("mas mura ang iba", "pos", "neg"), ("mas mura ang other brand", "pos", "neg"), ("mas mura dito", "pos", "pos"), ("mura ang iba", "pos", "pos"), ("mas mahal ang iba", "neg", "neg")]:
+        assert (plain.code(text)["sentiment"], flips.code(text)["sentiment"]) == (was, now), text
+
+
+def test_codeframe_levels():
+    rows = [["Code", "Label"], ["", "Service"], ["", "Staff (Subnet)"], ["", "Guards (Sub-subnet)"], ["1", "Bags checked"], ["", "Night (Sub-sub-subnet)"], ["2", "Slow guards"],
+            ["", "Cashiers (Sub-subnet)"], ["3", "Change"], ["", "Problems with the place"], ["4", "Parking"], ["5", "Good light"], ["", "Price (NET)"], ["6", "Amount"]]
+    got = [(t["net"], t["subnet"], list(t["codes"])[0]) for t in codeframes.from_rows(rows)["topics"]]
+    assert got == [
+        ("Service", "Staff > Guards", "neutral"), ("Service", "Staff > Guards > Night", "neg"), ("Service", "Staff > Cashiers", "neutral"),
+        ("Service", "Problems with the place", "neg"), ("Service", "Problems with the place", "pos"), ("Price", "General", "neg"),
+    ]
