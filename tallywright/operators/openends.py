@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from collections.abc import Iterator
 from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions.coding import SEED, Coder, Lexicon
 from tallywright.functions.textprep import masked_numbers, normalise
+from tallywright.functions.triggers import Triggers, of_topic
 
 THEME = "struct<code_id:int,theme:string,net:string,subnet:string,topic:string,polarity:string,confidence:double>"
 CODED = f"text string, themes array<{THEME}>, sentiment string, score double, confidence double, needs_review boolean, reasons array<string>"
@@ -75,6 +77,19 @@ def sentiment_counts(df: DataFrame) -> DataFrame:
     return df.groupBy(F.col("coded.sentiment").alias("sentiment")).agg(F.count("*").alias("n"))
 
 
+def counters(df: DataFrame, name: str = "coder") -> tuple[DataFrame, Observation]:
+    """``df`` and counts that fill while it is first run: answers, those to review, corrections, special answers, sentiments.
+
+    Read them by ``Observation.get`` after an action on the returned frame; they cost no extra pass.
+    """
+    seen = Observation(name)
+    some = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
+    why = lambda r: F.array_contains("coded.reasons", r)
+    special = [some(why(f"special:{k}")).alias(f"special_{k}") for k in ("none", "dont_know", "needs_review")]
+    moods = [some(F.col("coded.sentiment") == k).alias(f"sentiment_{k}") for k in ("pos", "neg", "neutral", "mixed")]
+    return df.observe(seen, F.count("*").alias("answers"), some(F.col("coded.needs_review")).alias("needs_review"), some(why("correction")).alias("corrections"), *special, *moods), seen
+
+
 def review_queue(df: DataFrame, order: str = "response_id", most: int = 200) -> DataFrame:
     """The first answers that need a person."""
     return df.filter("coded.needs_review").orderBy(order).select(order, "coded.*").limit(most)
@@ -91,7 +106,7 @@ def hierarchy(df: DataFrame, respondent: str, net: str, subnet: str, leaf: str,
     """Respondents by net, subnet and leaf, each level without double counting, by banner column and in total.
 
     One row per level and column: level (1 to 3), net, subnet, leaf, banner (null: total), n, pct of the
-    column's respondents. Grouping sets count distinct respondents, so a net's number is that of a union.
+    column's respondents. Rows without a net count among the respondents only. Grouping sets count distinct respondents, so a net's number is that of a union.
     """
     b = F.col(banner).cast("string") if banner else F.lit(None).cast("string")
     t = df.select(F.col(respondent).alias("r"), F.col(net).alias("net"), F.col(subnet).alias("subnet"), F.col(leaf).alias("leaf"), b.alias("banner"))
@@ -99,7 +114,7 @@ def hierarchy(df: DataFrame, respondent: str, net: str, subnet: str, leaf: str,
     sets = [*levels, *([(*x, "banner") for x in levels] if banner else [])]
     counted = df.sparkSession.sql(f"""
         SELECT CASE WHEN grouping(leaf) = 0 THEN 3 WHEN grouping(subnet) = 0 THEN 2 ELSE 1 END AS level, net, subnet, leaf, banner, grouping(banner) AS is_total, count(DISTINCT r) AS n
-        FROM {{rows}} GROUP BY GROUPING SETS ({", ".join("(" + ", ".join(x) + ")" for x in sets)}{"" if banner else ", (net, subnet, leaf, banner)"})""", rows=t)
+        FROM {{rows}} GROUP BY GROUPING SETS ({", ".join("(" + ", ".join(x) + ")" for x in sets)}{"" if banner else ", (net, subnet, leaf, banner)"})""", rows=t).filter("net is not null")
     if not banner:
         counted = counted.filter("is_total = 1")
     base = t.groupBy("banner").agg(F.count_distinct("r").alias("base")).select(F.col("banner").alias("b"), F.lit(0).alias("z"), "base").union(t.agg(F.count_distinct("r")).select(F.lit(None).cast("string"), F.lit(1), F.col("count(DISTINCT r)"))) if banner else t.agg(F.count_distinct("r").alias("base")).select(F.lit(None).cast("string").alias("b"), F.lit(1).alias("z"), "base")
@@ -107,6 +122,44 @@ def hierarchy(df: DataFrame, respondent: str, net: str, subnet: str, leaf: str,
     return out.select("level", "net", "subnet", "leaf", "banner", "n", (F.col("n") * 100.0 / F.col("base")).alias("pct"))
 
 
+def leaf_rows(df: DataFrame, respondent: str, codeframe: dict, keep: list[str] = ()) -> DataFrame:
+    """(respondent, net, subnet, leaf, *keep) of each leaf an answer in ``coded`` belongs to, for ``hierarchy``.
+
+    A leaf is a code of a topic. It is met by its code, by a theme that equals its label or holds it or is held
+    by it, by one of the topic's words or quotes in the text, or by its label in the text (four letters at
+    least). An answer without a leaf has one row without a net, so it stays among the respondents.
+    """
+    leaves = [(t.get("net") or "General", t.get("subnet") or "General", c["label"], c["code_id"], i) for i, t in enumerate(codeframe["topics"]) for c in t["codes"].values()]
+    words = [(w, n) for n, leaf in enumerate(leaves) for w in of_topic(codeframe["topics"][leaf[4]])]
+    labels = [leaf[2].strip().lower() for leaf in leaves]
+    sent = df.sparkSession.sparkContext.broadcast((words, labels, [leaf[3] for leaf in leaves]))
+
+    @F.pandas_udf("array<int>")
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        words, labels, codes = sent.value
+        anywhere, named = Triggers(words, whole=False), Triggers([(w, n) for n, w in enumerate(labels)], whole=False, least=4)
+        by_code: dict[int, set[int]] = {}
+        for n, code in enumerate(codes):
+            by_code.setdefault(code, set()).add(n)
+        for coded in batches:
+            alike: dict[str, set[int]] = {}
+            out = []
+            for text, themes in zip(coded["text"], coded["themes"]):
+                low = (text or "").lower()
+                found = anywhere.owners(low) | named.owners(low)
+                for theme in themes if themes is not None else ():
+                    name = (theme["theme"] or "").strip().lower()
+                    if name not in alike:
+                        alike[name] = {n for n, label in enumerate(labels) if label in name or name in label} if name else set()
+                    found |= alike[name] | by_code.get(theme["code_id"], set())
+                out.append(sorted(found))
+            yield pd.Series(out)
+
+    rows = df.select(F.col(respondent), F.explode_outer(met(F.struct("coded.text", "coded.themes"))).alias("_leaf"), *keep)
+    table = df.sparkSession.createDataFrame([(n, *leaf[:3]) for n, leaf in enumerate(leaves)], "_n int, net string, subnet string, leaf string")
+    return rows.join(F.broadcast(table), F.col("_leaf") == F.col("_n"), "left").select(respondent, "net", "subnet", "leaf", *keep)  # a codeframe's codes
+
+
 def stratified_split(df: DataFrame, strata: list[str], key: str, share: float = 0.7, seed: str = "split") -> DataFrame:
     """``df`` with ``part`` (train, test): in each stratum the first round(n * share) rows by salted SHA-256."""
     h = F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256)
@@ -190,20 +243,54 @@ class PassiveAggressive:
             self.w = self.history.pop()
 
     def predict(self, texts: pd.Series) -> pd.DataFrame:
-        """label, confidence, needs_review (margin below .25 or confidence below .5)."""
+        """label, confidence, margin to the next label, needs_review (margin below .25 or confidence below .5)."""
         s = np.stack([hashed(t or "") for t in texts]) @ self.w.T if len(texts) else np.zeros((0, len(self.labels)))
         p = np.exp(s - s.max(1, keepdims=True)) if len(s) else s
         p = p / p.sum(1, keepdims=True) if len(p) else p
         order = np.sort(p, axis=1)
         margin = order[:, -1] - order[:, -2] if p.shape[1] > 1 else order[:, -1]
-        return pd.DataFrame({"label": [self.labels[i] for i in p.argmax(1)], "confidence": order[:, -1], "needs_review": (margin < 0.25) | (order[:, -1] < 0.5)})
+        return pd.DataFrame({"label": [self.labels[i] for i in p.argmax(1)], "confidence": order[:, -1], "margin": margin, "needs_review": (margin < 0.25) | (order[:, -1] < 0.5)})
 
     def apply(self, df: DataFrame, column: str) -> DataFrame:
         """``df`` with ``predicted``; the weights are a few hundred kilobytes and are broadcast."""
         sent = df.sparkSession.sparkContext.broadcast(self)
 
-        @F.pandas_udf("label string, confidence double, needs_review boolean")
+        @F.pandas_udf("label string, confidence double, margin double, needs_review boolean")
         def run(s: pd.Series) -> pd.DataFrame:
             return sent.value.predict(s)
 
         return df.withColumn("predicted", run(column))
+
+    def coded(self, df: DataFrame, codeframe: dict) -> DataFrame:
+        """``df``, which has ``coded``, with ``learned``: codes by whole words first, by the predicted label else.
+
+        Each topic with one of its words or quotes in the text gives the code of the answer's sentiment, or all
+        its codes if it has none for it. Where no topic does, the predicted label's topic (by subnet, net or id)
+        gives its code, and where there is none, the label is the theme. What the prediction doubts or has no code goes
+        to review. A blank answer has no theme.
+        """
+        sent = df.sparkSession.sparkContext.broadcast((self, codeframe["topics"]))
+
+        @F.pandas_udf("label string, themes array<string>, codes array<int>, confidence double, margin double, needs_review boolean")
+        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            learner, topics = sent.value
+            words = Triggers([(w, n) for n, t in enumerate(topics) for w in of_topic(t)], whole=True)
+            by_name = {name: t["codes"] for t in reversed(topics) if (name := t.get("subnet") or t.get("net") or t["id"])}
+            for text, sentiment in batches:
+                out = learner.predict(text)
+                rows = []
+                for answer, mood, label, sure, margin, doubt in zip(text, sentiment, *(out[c] for c in out)):
+                    low, codes = (answer or "").lower(), []
+                    if not low.strip():
+                        rows.append((None, [], [], 0.0, 0.0, True))
+                        continue
+                    for n in sorted(words.owners(low)):
+                        of = topics[n]["codes"]
+                        codes += [of[mood]] if mood in ("pos", "neg") and mood in of else of.values()
+                    if not codes and label in by_name:
+                        codes = [by_name[label].get(mood) or next(iter(by_name[label].values()))]
+                    themes = dict.fromkeys([c["label"] for c in codes] or [label])
+                    rows.append((label, list(themes), list(dict.fromkeys(c["code_id"] for c in codes)), sure, margin, doubt or not codes))
+                yield pd.DataFrame(rows, columns=["label", "themes", "codes", "confidence", "margin", "needs_review"])
+
+        return df.withColumn("learned", run(F.col("coded.text"), F.col("coded.sentiment")))

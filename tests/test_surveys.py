@@ -1,5 +1,6 @@
 import io
 import random
+import re
 import zipfile
 
 import pytest
@@ -298,3 +299,54 @@ def test_codeframe_levels():
         ("Service", "Staff > Guards", "neutral"), ("Service", "Staff > Guards > Night", "neg"), ("Service", "Staff > Cashiers", "neutral"),
         ("Service", "Problems with the place", "neg"), ("Service", "Problems with the place", "pos"), ("Price", "General", "neg"),
     ]
+
+
+def test_triggers():
+    from tallywright.functions.triggers import Triggers
+
+    draw = random.Random(3)
+    words = [("mura", 0), ("mura na", 1), ("a-b", 2), (" No.1 ", 3), ("ñandu", 4), ("ab", 5), ("ura", 6)]
+    whole, anywhere = Triggers(words, whole=True), Triggers(words, whole=False)
+    for _ in range(3000):
+        text = "".join(draw.choice(["mura", "na", " ", "a-b", "no.1", "x", "_", "ñ", "andu", ".", "ku"]) for _ in range(draw.randrange(8)))
+        clean = [(w.strip().lower(), n) for w, n in words if len(w.strip()) >= 3]
+        assert whole.owners(text) == {n for w, n in clean if re.search(rf"\b{re.escape(w)}\b", text)}, text
+        assert anywhere.owners(text) == {n for w, n in clean if w in text}
+    assert Triggers([("ab", 1)], whole=True).owners("ab") == set()
+
+
+def test_leaf_rows(spark):
+    """An answer meets a leaf by code, theme, word or label; one that meets none stays in the base."""
+    theme = lambda code, name: [(code, name, "n", "s", "t", "pos", 0.5)]
+    rows = [(1, ("x", theme(101, "other"))), (2, ("x", theme(7, "GOOD PRICE"))), (3, ("x", theme(7, "price"))), (4, ("the cashiers", [])), (5, ("nothing", [])), (6, (None, None)), (7, ("a poor service here", theme(8, "")))]
+    df = spark.createDataFrame(rows, f"r int, coded struct<text:string,themes:array<{openends.THEME}>>").withColumn("g", F.lit("all"))
+    out = openends.leaf_rows(df, "r", CODEFRAME, ["g"])
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.r, set()).add(r.leaf)
+    assert got == {1: {"Good price"}, 2: {"Good price"}, 3: {"Good price", "Poor price"}, 4: {"Good service", "Poor service"}, 5: {None}, 6: {None}, 7: {"Good service", "Poor service"}}
+    table = {(r.level, r.net, r.leaf, r.banner): (r.n, round(r.pct, 1)) for r in openends.hierarchy(out, "r", "net", "subnet", "leaf", "g").collect()}
+    assert table[1, "Offer", None, None] == (3, 42.9) and table[3, "Offer", "Poor price", "all"] == (1, 14.3) and table[1, "Service", None, None] == (2, 28.6)
+    assert all(net for _, net, _, _ in table)
+
+
+def test_learned_codes(spark):
+    """Whole words give codes first, the predicted label else; what has no code goes to review."""
+    learner = openends.PassiveAggressive(["Price", "Staff", "Elsewhere"])
+    learner.update(["costly bill"] * 5 + ["they smile"] * 5 + ["far away town"] * 5, ["Price"] * 5 + ["Staff"] * 5 + ["Elsewhere"] * 5)
+    rows = [(1, "the staff smile", "pos"), (2, "presyo at staff", "neutral"), (3, "they smile", "neg"), (4, "far away town", "pos"), (5, "  ", "neutral"), (6, "kumurap far away town", "neutral"), (7, None, None)]
+    df = spark.createDataFrame(rows, "i int, t string, s string").withColumn("coded", F.struct(F.col("t").alias("text"), F.col("s").alias("sentiment")))
+    got = {r.i: r.learned for r in learner.coded(df, CODEFRAME).collect()}
+    assert got[1].codes == [111] and got[1].themes == ["Good service"] and got[2].codes == [101, 102, 111, 112]
+    assert got[3].codes == [112] and got[3].label == "Staff" and 0 < got[3].margin <= got[3].confidence
+    assert got[4].codes == [] and got[4].themes == ["Elsewhere"] and got[4].needs_review
+    assert got[5].themes == got[7].themes == [] and got[5].needs_review and got[7].label is None
+    assert got[6].codes == []  # mura is no word of it
+
+
+def test_counters(spark):
+    df = spark.createDataFrame([(1, "the staff is friendly"), (2, "none"), (3, "the staff is rude"), (4, "")], "response_id int, t string")
+    out, seen = openends.counters(openends.coded(df, "t", CODEFRAME))
+    assert out.count() == 4
+    got = seen.get
+    assert (got["answers"], got["special_none"], got["special_needs_review"], got["sentiment_pos"], got["sentiment_neg"], got["corrections"]) == (4, 1, 1, 1, 1, 0)
