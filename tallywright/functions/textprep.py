@@ -126,6 +126,32 @@ def normalised(c: Column) -> Column:
     return run(c)
 
 
+#: Text-speak, regional particles and common misspellings of answers, and what they stand for, as fixed values.
+SPEAK = {
+    "diko": "hindi ko", "dko": "hindi ko", "hnd": "hindi", "hndi": "hindi", "di": "hindi", "aq": "ako", "ikw": "ikaw", "sya": "siya", "sta": "siya", "nla": "nila", "nmin": "namin", "kin": "akin",
+    "kc": "kasi", "kse": "kasi", "kase": "kasi", "lng": "lang", "ngalang": "nga lang", "den": "din", "dn": "din", "pa dn": "pa din", "pdeng": "pwedeng", "pde": "pwede", "pwde": "pwede",
+    "bkt": "bakit", "bkit": "bakit", "tlga": "talaga", "tlaga": "talaga", "sb": "sabi", "dto": "dito", "dun": "doon", "bka": "baka", "brgy": "barangay",
+    "ra gyod": "lang talaga", "ra gyud": "lang talaga", "man gud": "kasi nga", "jud": "talaga", "gyud": "talaga",
+    "calgate": "colgate", "soff": "sof & mmmm", "planggana": "palanggana", "mbango": "mabango",
+}
+
+
+def respelled(c: Column, speak: dict[str, str] = SPEAK) -> Column:
+    """Text with the whole words and phrases of ``speak`` replaced, whatever their case; null becomes empty.
+
+    Longer phrases go first, so "ra gyud" is one phrase. Texts that hold none are not walked again.
+    """
+    word = lambda w: rf"(?iu)(?<![\p{{L}}\p{{N}}_]){re.escape(w)}(?![\p{{L}}\p{{N}}_])"
+    text = F.coalesce(c, F.lit(""))
+    if not speak:
+        return text
+    out = text
+    for w in sorted(speak, key=lambda w: (-len(w.split()), w)):
+        out = F.regexp_replace(out, F.lit(word(w)), F.lit(speak[w].replace("\\", r"\\").replace("$", r"\$")))
+    some = "|".join(re.escape(w) for w in speak)
+    return F.when(text.rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{some})(?![\p{{L}}\p{{N}}_])"), out).otherwise(text)
+
+
 def tokens(c: Column) -> Column:
     """Tokens of normalised text."""
     return F.regexp_extract_all(c, F.lit(f"({TOKEN})"), 1)

@@ -75,20 +75,42 @@ def natural(text: Column) -> list[Column]:
     return [number.asc_nulls_last(), F.lower(text).asc(), text.asc()]
 
 
-def banners(df: DataFrame, names: list[str]) -> list[tuple[str, Column]]:
+#: Columns that make the banner where none is named, the first that is there.
+DEFAULT_BANNERS = ("Region", "Age_Generation", "Gender", "Socioeconomic_Class")
+
+
+def first_with_few(df: DataFrame, columns: list[str], most: int) -> str | None:
+    """The first of ``columns`` that has 2 to ``most`` different values."""
+    if not columns:
+        return None
+    counts = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in columns]).first().asDict()
+    near = [c for c in columns if counts[c] <= most + most // 2]
+    exact = df.agg(*[F.count_distinct(c).alias(c) for c in near]).first().asDict() if near else {}
+    return next((c for c in near if 2 <= exact[c] <= most), None)
+
+
+def banner_groups(df: DataFrame, most: int = 5) -> list[tuple[str, Column]]:
+    """Columns for a table of net counts: the first values, ``most`` of them, of the first column with two to six."""
+    column = first_with_few(df, [c for c in df.columns if not c.startswith("__")], 6)
+    return [(f"{v} ({letter(i)})", m) for i, (v, m) in enumerate(banners(df, [column])[:most], 1)] if column else []
+
+
+def banners(df: DataFrame, names: list[str], besides: str | None = None) -> list[tuple[str, Column]]:
     """Label and membership of each banner column.
 
     One name of a column gives a banner per distinct value, numbers by value and other text by its letters. Otherwise each name is
     an exact value of the first column that has it, or a column (present and not 0), or a word in the
     first column whose values contain it; what is found nowhere is an empty banner. Without names the
-    first column with two to eight values is used.
+    first of DEFAULT_BANNERS is used, or else the first column with two to eight values, but never ``besides``;
+    where there is none, there are no banner columns.
     """
     names = [n for n in names if n.strip().lower() != "total"]
     if not names:
-        counts = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in df.columns]).first().asDict()
-        near = [c for c in df.columns if counts[c] <= 12]
-        exact = df.agg(*[F.count_distinct(c).alias(c) for c in near]).first().asDict() if near else {}
-        names = [next(c for c in near if 2 <= exact[c] <= 8)]
+        others = [c for c in df.columns if c != besides]
+        chosen = next((c for c in DEFAULT_BANNERS if c in others), None) or first_with_few(df, others, 8)
+        if chosen is None:
+            return []
+        names = [chosen]
     kinds = dict(df.dtypes)
     column = resolve_column(df, names[0]) if len(names) == 1 else None
     if column:
@@ -272,7 +294,7 @@ def crosstab(
     if name is None:
         raise ValueError(f"no column {stub}")
     kind = read_stub(df, name)
-    cols = banners(df, banner)
+    cols = banners(df, banner, name)
     mean = metric == "mean" and kind.numeric
     rows = [Row("Mean", F.lit(True))] if mean else rows_of(df, kind, nets)
     if metric == "t2b":
@@ -404,7 +426,7 @@ def omnibus(df: DataFrame, stub: str, banner: list[str], weight: str | None = No
     name = resolve_column(df, stub)
     if name is None:
         raise ValueError(f"no column {stub}")
-    kind, cols = read_stub(df, name), banners(df, banner)
+    kind, cols = read_stub(df, name), banners(df, banner, name)
     schema = "test string, stat double, df1 double, df2 double, p double, skipped string"
     if len(cols) < 2:
         return spark.createDataFrame([], schema)

@@ -350,3 +350,26 @@ def test_counters(spark):
     assert out.count() == 4
     got = seen.get
     assert (got["answers"], got["special_none"], got["special_needs_review"], got["sentiment_pos"], got["sentiment_neg"], got["corrections"]) == (4, 1, 1, 1, 1, 0)
+
+
+def test_respelled(spark):
+    want = {"Diko alam kc mbango": "hindi ko alam kasi mabango", "ra gyud, PA DN!": "lang talaga, pa din!", "dito din": "dito din", "kcal dñ soff.": "kcal dñ sof & mmmm.", None: "", "di-di": "hindi-hindi"}
+    df = spark.createDataFrame(list(want.items()), "t string, want string")
+    for r in df.withColumn("got", textprep.respelled(F.col("t"))).collect():
+        assert r.got == r.want, r.t
+    assert df.limit(1).select(textprep.respelled(F.lit("cost xx"), {"xx": "$1\\"}).alias("t")).first().t == "cost $1\\"
+
+
+def test_columns_by_default(spark):
+    """Banners, banner groups and the open end where none is asked for."""
+    from tallywright.operators import crosstab as ct
+
+    rows = [("ab"[i % 2], "xyz"[i % 3], ["n", "s"][i % 2], f"answer {i} " + "long words " * 6, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "q string, r string, Gender string, why string, i int")
+    assert [v for v, _ in ct.banners(df, [])] == ["n", "s"] and [v for v, _ in ct.banners(df, [], "Gender")] == ["a", "b"]
+    assert [v for v, _ in ct.banners(df.drop("Gender"), [], "q")] == ["x", "y", "z"] and ct.banners(df.select("i"), []) == []
+    groups = ct.banner_groups(df.select("i", "r", "q"), 2)
+    assert [g for g, _ in groups] == ["x (A)", "y (B)"] and df.filter(groups[0][1]).count() == 20 and ct.banner_groups(df.select("i")) == []
+    assert profiling.open_end(df) == "why" and profiling.open_end(df, "q") == "q" and profiling.open_end(df.select("i", "q")) is None
+    assert profiling.open_end(df.select("q", F.lit("some words here and there").alias("z"))) == "z"
+    assert {r.col_label for r in ct.crosstab(df, "q", []).collect()} == {"Total", "n", "s"}
