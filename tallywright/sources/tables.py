@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.operators.profile import promoted
-from tallywright.sources import workbook
+from tallywright.sources import spss, workbook
 
 ENCODINGS = ("utf-8", "windows-1252", "ISO-8859-1")
 SEPARATORS = (",", ";", "\t", "|")
@@ -47,7 +47,7 @@ def read_csv(spark: SparkSession, path: str, promote: bool = True) -> DataFrame:
 
 
 def read_survey(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """A survey table and what is known of it, by the file's ending: .csv, .xlsx or .parquet."""
+    """A survey table and what is known of it, by the file's ending: .csv, .xlsx, .sav or .parquet."""
     end = os.path.splitext(path)[1].lower()
     if end == ".csv":
         return read_csv(spark, path), {"format": "csv"}
@@ -58,9 +58,11 @@ def read_survey(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
         if tabulated:
             return workbook.banner_sheet(spark, book, sheet, row), {"format": "xlsx", "sheet": sheet, "pretabulated": True}
         return promoted(workbook.sheet_frame(spark, book, sheet, row)), {"format": "xlsx", "sheet": sheet, "pretabulated": False}
+    if end in (".sav", ".zsav"):
+        return spss.read_sav(spark, path)
     if end == ".parquet" or not end:
         return spark.read.parquet(path), {"format": "parquet"}
-    raise ValueError(f"{end} files are not read; use .csv, .xlsx or .parquet")
+    raise ValueError(f"{end} files are not read; use .csv, .xlsx, .sav or .parquet")
 
 
 def with_value_labels(df: DataFrame, labels: dict[str, dict[str, str]], missing: dict[str, tuple[float, float]] | None = None) -> DataFrame:
