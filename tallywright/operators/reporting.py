@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.operators import crosstab as ct
+from tallywright.operators import models, weighting
 from tallywright.operators.profile import profile
+from tallywright.sources.exports import Section, frequency_tables, section, top_two_box
 
 #: Release targets of a coder: largest or least per cent.
 GATE = {"other_pct": ("<=", 15.0), "theme_agree_pct": (">=", 80.0), "theme_kappa": (">=", 0.70), "sent_acc_pct": (">=", 85.0)}
@@ -84,6 +86,70 @@ def snapshot(themes: DataFrame, delights: list[str], ignore: tuple[str, ...] = (
     return themes.withColumn("kind", kind).filter(F.col("kind").isNotNull() & (F.size("quotes") > 0)).select("kind", "theme", "n", F.element_at("quotes", 1).alias("quote"))
 
 
+def satisfaction(df: DataFrame, weight: str | None = None) -> float | None:
+    """Share of the top two points of the first column named for satisfaction that has answers, up to five."""
+    x = lambda c: F.when(~F.col(c).try_cast("double").isin(97.0, 98.0, 99.0), F.col(c).try_cast("double"))
+    named = [c for c in df.columns if "csat" in c.lower() or "satisfaction" in c.lower()]
+    highest = df.agg(*[F.max(x(c)).alias(c) for c in named]).first().asDict() if named else {}
+    column = next((c for c in named if highest[c] is not None and highest[c] <= 5), None)
+    return top_two_box(df.withColumn("_score", x(column)), "_score", weight).first().share if column else None
+
+
+def key_figures(df: DataFrame, weight: str | None = None) -> Section:
+    """Respondents, effective base, weighting efficiency and satisfaction, for the snapshot."""
+    n = df.count()
+    w = weighting.weight_diagnostics(df, weight).first() if weight else None
+    csat = satisfaction(df, weight)
+    neff, efficiency = (w.neff or 0.0, 100 * (w.efficiency or 0.0)) if w else (float(n), 100.0)
+    return Section("Key figures", [["figure", "value"], ["Respondents", n], ["Effective base", neff], ["Weighting efficiency, %", efficiency], ["Satisfaction, %", "n/a" if csat is None else 100 * csat]])
+
+
+def snapshot_sections(df: DataFrame, themes: DataFrame, delights: list[str], weight: str | None = None) -> list[Section]:
+    """The snapshot page: key figures, what pleases and what hurts in the answers' own words."""
+    told = snapshot(themes, delights).orderBy(F.desc("n"), "theme")
+    quotes = [section(told.filter(F.col("kind") == kind).select("theme", "n", "quote"), title) for kind, title in (("delight", "Delights"), ("friction", "Frictions"))]
+    return [key_figures(df, weight), *quotes]
+
+
+def omnibus_line(test) -> str:
+    """A row of ``crosstab.omnibus`` in words: statistic, degrees of freedom and p without a leading zero."""
+    if test is None:
+        return ""
+    if test.skipped:
+        return f"Not tested: {test.skipped}."
+    if test.stat is None or test.p is None:
+        return "Not tested: too few answers."
+    df = f"{test.df1:.4g}" + (f", {test.df2:.4g}" if test.df2 is not None else "")
+    name = {"chi_square": "Chi-square", "rao_scott_2": "Rao-Scott chi-square", "anova": "F"}[test.test]
+    return f"{name}({df}) = {test.stat:.2f}, p " + ("< .001" if test.p < 0.001 else "= " + f"{test.p:.3f}".removeprefix("0"))
+
+
+def tables_for_report(
+    df: DataFrame, demographics: list[str] = (), crosstabs: list[tuple[str, list[str]]] = (), measures: list[str] = (), themes: DataFrame | None = None, weight: str | None = None,
+) -> list[Section]:
+    """Sections of a report: categories, crosstabs with the test of the whole table, means and deviations, themes.
+
+    ``sources.exports.sections_book`` and ``sections_page`` write them as a workbook or a page.
+    """
+    out = []
+    if demographics:
+        counts = frequency_tables(df, list(demographics), weight).orderBy("variable", *ct.natural(F.col("category")))
+        out.append(section(counts.select("variable", "category", "n", F.round("percent", 1).alias("%"), F.round("weighted", 1).alias("weighted n")), "Characteristics of the respondents"))
+    for stub, banner in crosstabs:
+        cells = sorted(ct.crosstab(df, stub, banner, weight=weight).collect(), key=lambda r: (r.row_ord, r.col_ord))  # lines and columns are bounded
+        columns = sorted({(c.col_ord, c.col_label, c.base_n) for c in cells})
+        lines = {}
+        for c in cells:
+            lines.setdefault((c.row_ord, c.label), {})[c.col_ord] = f"{c.value:.1f}{' ' + c.letters if c.letters else ''}" if c.value is not None else ""
+        rows = [[stub, *[label for _, label, _ in columns]], ["Base", *[n for *_, n in columns]], *[[label, *[line.get(o, "") for o, *_ in columns]] for (_, label), line in sorted(lines.items())]]
+        out.append(Section(f"{stub} by {', '.join(banner) or 'default banner'}", rows, omnibus_line(ct.omnibus(df, stub, banner, weight).first())))
+    if measures:
+        out.append(section(models.descriptives(df, list(measures)), "Means and standard deviations"))
+    if themes is not None:
+        out.append(section(themes.orderBy(F.desc("n"), "theme").select("theme", "n", "prevalence"), "Themes of the answers"))
+    return out
+
+
 def nearest_topics(df: DataFrame, column: str, codeframe: dict, embed: Callable[[list[str]], np.ndarray], least: float = 0.35) -> DataFrame:
     """``df`` with ``topic`` and ``similarity``: the topic whose centroid of quotes and keywords is nearest.
 

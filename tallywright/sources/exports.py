@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from html import escape
 
 from pyspark.sql import DataFrame
@@ -76,9 +77,12 @@ def html_table(df: DataFrame, title: str) -> str:
     return f"<h2>{escape(title)}</h2><table><tr>{head}</tr>" + "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r) + "</tr>" for r in rows) + "</table>"
 
 
+#: Looks of an A4 page.
+STYLE = "body{font-family:sans-serif;max-width:210mm;margin:auto}table{border-collapse:collapse}td,th{padding:2px 8px;border-bottom:1px solid #ccc}"
+
+
 def report_html(sections: list[tuple[str, DataFrame]], title: str) -> str:
-    style = "body{font-family:sans-serif;max-width:210mm;margin:auto}table{border-collapse:collapse}td,th{padding:2px 8px;border-bottom:1px solid #ccc}"
-    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{escape(title)}</title><style>{style}</style></head><body><h1>{escape(title)}</h1>' + "".join(html_table(d, t) for t, d in sections) + "</body></html>"
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{escape(title)}</title><style>{STYLE}</style></head><body><h1>{escape(title)}</h1>' + "".join(html_table(d, t) for t, d in sections) + "</body></html>"
 
 
 def frequency_tables(df: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
@@ -99,6 +103,36 @@ def top_two_box(df: DataFrame, column: str, weight: str | None = None) -> DataFr
     return t.agg(F.count("*").alias("n"), (F.sum(F.when(x >= 4, w).otherwise(0.0)) / F.sum(w)).alias("share"))
 
 
+@dataclass(frozen=True)
+class Section:
+    """A table of a report: its lines, the first being the head, and a line below them."""
+
+    title: str
+    rows: list[list[object]]
+    note: str = ""
+
+
+def section(df: DataFrame, title: str, note: str = "") -> Section:
+    """A small result as a section, in its own order."""
+    return Section(title, [list(df.columns), *[list(r) for r in _small(df)]], note)
+
+
+def sections_book(sections: list[Section]) -> bytes:
+    """A workbook with a sheet per section."""
+    return workbook.write([(name, [[s.title], [], *s.rows, *([[], [s.note]] if s.note else [])]) for name, s in zip(workbook.sheet_names([s.title for s in sections]), sections)])
+
+
+def sections_page(sections: list[Section], title: str) -> str:
+    """The sections as one HTML page; everything in them is escaped."""
+    show = lambda v: "" if v is None else f"{v:.2f}" if isinstance(v, float) else escape(str(v))
+    line = lambda r, tag: "<tr>" + "".join(f"<{tag}>{show(v)}</{tag}>" for v in r) + "</tr>"
+    parts = [
+        f"<h2>Table {i}. {escape(s.title)}</h2><table>{line(s.rows[0], 'th')}{''.join(line(r, 'td') for r in s.rows[1:])}</table>" + (f"<p><i>Note.</i> {escape(s.note)}</p>" if s.note else "")
+        for i, s in enumerate(sections, 1)
+    ]
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{escape(title)}</title><style>{STYLE}</style></head><body><h1>{escape(title)}</h1>' + "".join(parts) + "</body></html>"
+
+
 def append_audit(log: DataFrame, path: str) -> None:
     """Add an audit log's rows to a Parquet table; readers see whole appends."""
     log.write.mode("append").parquet(path)

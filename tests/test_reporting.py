@@ -109,3 +109,29 @@ def test_senses_and_roots(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     rows = rules.rule_coded(df, "t", loved, senses=[rules.mahal(340)], roots=["bili", "mahal"]).orderBy("i").collect()
     assert [[c.code_id for c in r.codes] for r in rows] == [[340], [340, 120], [340], [110], [120], [120], [120], [350], [900]]
+
+
+def test_report_tables(spark):
+    """The report's sections hold what the operators give, as a workbook and as a page."""
+    from tallywright.operators import crosstab as ct
+    from tallywright.operators import weighting
+    from tallywright.sources import exports, workbook
+
+    rows = [("ab"[i % 2], "xyz"[(i * i) % 3], 1 + i % 5, 99 if i % 10 == 0 else 1 + i % 5, 1.0 + i % 2, f"<b>{'friendly staff' if i % 2 else 'so expensive'}", i) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, q string, score int, Satisfaction int, w double, t string, response_id int")
+    themes = openends.theme_frequencies(openends.coded(df, "t", CODEFRAME))
+    out = reporting.tables_for_report(df, ["g", "q"], [("q", ["g"])], ["score"], themes, "w")
+    assert [s.title for s in out] == ["Characteristics of the respondents", "q by g", "Means and standard deviations", "Themes of the answers"]
+    assert out[0].rows[1] == ["g", "a", 30, 50.0, 30.0] and out[0].rows[2] == ["g", "b", 30, 50.0, 60.0]
+    test = ct.omnibus(df, "q", ["g"], "w").first()
+    assert out[1].note == f"Chi-square(1) = {test.stat:.2f}, p = " + f"{test.p:.3f}".removeprefix("0") and out[1].rows[1] == ["Base", 60, 30, 30]
+    assert out[2].rows[1][:3] == ["score", 60, 3.0]
+    book = workbook.Workbook(exports.sections_book(out))
+    assert len(book.sheets) == 4
+    page = exports.sections_page(reporting.snapshot_sections(df, themes, ["Good"], "w"), "A & B")
+    assert "A &amp; B" in page and "&lt;b&gt;friendly staff" in page and "<b>" not in page and "Delights" in page
+    figures = dict(reporting.key_figures(df, "w").rows[1:])
+    kept = [r for r in rows if r[3] != 99]
+    assert figures["Respondents"] == 60 and figures["Satisfaction, %"] == pytest.approx(100 * sum(r[4] for r in kept if r[3] >= 4) / sum(r[4] for r in kept))
+    assert figures["Effective base"] == pytest.approx(weighting.weight_diagnostics(df, "w").first().neff) and reporting.satisfaction(df.drop("Satisfaction")) is None
+    assert reporting.omnibus_line(None) == "" and "overlap" in reporting.omnibus_line(ct.omnibus(df.withColumn("one", F.lit(1)).withColumn("two", F.lit(1)), "q", ["one", "two"]).first())
