@@ -371,6 +371,41 @@ def wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.wilcoxon(t, "b", "l_linenumber").select(F.round("w", 1).alias("w"), F.round("z", 4).alias("z"), "n", F.round("p", 6).alias("p"))
 
 
+@query("""
+    WITH m AS (SELECT r_name AS g, n_name, round(avg(c_acctbal), 6) AS x FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+        WHERE r_name IN ('AMERICA', 'ASIA') GROUP BY r_name, n_name),
+    r AS (SELECT g, x, row_number() OVER (ORDER BY x) AS r FROM m),
+    s AS (SELECT count(*) FILTER (WHERE g = 'AMERICA') AS na, count(*) FILTER (WHERE g = 'ASIA') AS nb, sum(r) FILTER (WHERE g = 'AMERICA') AS ra,
+        median(x) FILTER (WHERE g = 'AMERICA') AS median_a, median(x) FILTER (WHERE g = 'ASIA') AS median_b FROM r),
+    u AS (SELECT *, ra - na * (na + 1) / 2 AS u FROM s),
+    masks AS (SELECT unnest(range(CAST(power(2, na + nb) AS BIGINT))) AS mask FROM u),
+    orders_of AS (SELECT mask, sum(pos) - count(*) * (count(*) + 1) / 2 AS v FROM masks, (SELECT unnest(range(1, na + nb + 1)) AS pos FROM u)
+        WHERE (mask >> (pos - 1)) & 1 = 1 GROUP BY mask HAVING count(*) = (SELECT na FROM u))
+    SELECT CAST(u AS DOUBLE) AS u, na AS n_a, nb AS n_b, round(median_a, 4) AS median_a, round(median_b, 4) AS median_b,
+        round(least(1.0, 2.0 * (SELECT count(*) FROM orders_of WHERE v <= least(u, na * nb - u)) / (SELECT count(*) FROM orders_of)), 9) AS p FROM u""")
+def mann_whitney_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mann-Whitney U of the nations' mean balances in two regions: few enough for an exact p."""
+    t = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    means = t.groupBy("r_name", "n_name").agg(F.round(F.avg("c_acctbal"), 6).alias("x"))
+    out = models.mann_whitney(means, "x", "r_name", "AMERICA", "ASIA")
+    return out.select("u", "n_a", "n_b", F.round("median_a", 4).alias("median_a"), F.round("median_b", 4).alias("median_b"), F.round("p", 9).alias("p"))
+
+
+@query("""
+    WITH y AS (SELECT year(o_orderdate) AS y, round(avg(o_totalprice) FILTER (WHERE o_orderpriority = '5-LOW'), 6) - round(avg(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT'), 6) AS d
+        FROM orders GROUP BY 1),
+    r AS (SELECT d, row_number() OVER (ORDER BY abs(d)) AS r FROM y WHERE d <> 0),
+    s AS (SELECT least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)) AS w, count(*) AS n FROM r),
+    masks AS (SELECT unnest(range(CAST(power(2, n) AS BIGINT))) AS mask FROM s),
+    signs AS (SELECT mask, coalesce(sum(pos) FILTER (WHERE (mask >> (pos - 1)) & 1 = 1), 0) AS v FROM masks, (SELECT unnest(range(1, n + 1)) AS pos FROM s) GROUP BY mask)
+    SELECT CAST(w AS DOUBLE) AS w, n, round(least(1.0, 2.0 * (SELECT count(*) FROM signs WHERE v <= w) / (SELECT count(*) FROM signs)), 9) AS p FROM s WHERE n >= 5""")
+def wilcoxon_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wilcoxon's signed ranks of yearly mean prices of two priorities: few enough for an exact p."""
+    mean = lambda p: F.round(F.avg(F.when(F.col("o_orderpriority") == p, F.col("o_totalprice"))), 6)
+    years = read(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y")).agg(mean("1-URGENT").alias("urgent"), mean("5-LOW").alias("low"))
+    return models.wilcoxon(years, "urgent", "low").select("w", "n", F.round("p", 9).alias("p"))
+
+
 @query(f"""
     WITH s AS (SELECT o_orderstatus AS g, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1),
     x AS (SELECT a.m AS ma, b.m AS mb, a.n AS na, b.n AS nb, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t,
