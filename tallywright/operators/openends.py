@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import numpy as np
@@ -294,3 +294,51 @@ class PassiveAggressive:
                 yield pd.DataFrame(rows, columns=["label", "themes", "codes", "confidence", "margin", "needs_review"])
 
         return df.withColumn("learned", run(F.col("coded.text"), F.col("coded.sentiment")))
+
+
+def hashed_all(texts: list[str]) -> np.ndarray:
+    return np.stack([hashed(t) for t in texts])
+
+
+class SoftmaxHead:
+    """Multinomial logistic regression over embedded texts, fitted in Spark and applied in Arrow batches."""
+
+    MOST_LABELS = 100
+
+    def __init__(self, labels: list[str], weights: np.ndarray, bias: np.ndarray, embed: Callable[[list[str]], np.ndarray]):
+        self.labels, self.weights, self.bias, self.embed = labels, weights, bias, embed
+
+    @classmethod
+    def fit(cls, examples: DataFrame, column: str, label: str, embed: Callable[[list[str]], np.ndarray] = hashed_all, ridge: float = 1e-3) -> SoftmaxHead:
+        """Fit to the rows with a label; a null text is empty. ``embed`` turns texts into rows of numbers and must be picklable."""
+        from pyspark.ml.classification import LogisticRegression
+        from pyspark.ml.functions import array_to_vector
+
+        rows = examples.filter(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("name"), F.col(column).alias("t"))
+        labels = sorted(r.name for r in rows.select("name").distinct().limit(cls.MOST_LABELS + 1).collect())
+        if not 2 <= len(labels) <= cls.MOST_LABELS:
+            raise ValueError(f"a head needs 2 to {cls.MOST_LABELS} labels")
+
+        @F.pandas_udf("array<double>")
+        def embedded(s: pd.Series) -> pd.Series:
+            return pd.Series(list(np.asarray(embed([t or "" for t in s]), float)) if len(s) else [], dtype=object)
+
+        number = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("name")) - 1
+        model = LogisticRegression(family="multinomial", regParam=ridge, standardization=False).fit(rows.select(array_to_vector(embedded("t")).alias("features"), number.cast("double").alias("label")))
+        return cls(labels, model.coefficientMatrix.toArray(), model.interceptVector.toArray(), embed)
+
+    def apply(self, df: DataFrame, column: str) -> DataFrame:
+        """``df`` with ``head``: the likeliest label and its probability."""
+        sent = df.sparkSession.sparkContext.broadcast(self)
+
+        @F.pandas_udf("label string, confidence double")
+        def run(s: pd.Series) -> pd.DataFrame:
+            me = sent.value
+            if not len(s):
+                return pd.DataFrame({"label": [], "confidence": []})
+            z = np.asarray(me.embed([t or "" for t in s]), float) @ me.weights.T + me.bias
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            return pd.DataFrame({"label": [me.labels[i] for i in p.argmax(1)], "confidence": p.max(1)})
+
+        return df.withColumn("head", run(column))

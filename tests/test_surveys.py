@@ -373,3 +373,14 @@ def test_columns_by_default(spark):
     assert profiling.open_end(df) == "why" and profiling.open_end(df, "q") == "q" and profiling.open_end(df.select("i", "q")) is None
     assert profiling.open_end(df.select("q", F.lit("some words here and there").alias("z"))) == "z"
     assert {r.col_label for r in ct.crosstab(df, "q", []).collect()} == {"Total", "n", "s"}
+
+
+def test_softmax_head(spark):
+    draw = random.Random(4)
+    texts = {"pos": ["very nice place", "love the friendly staff", "fast and clean"], "neg": ["so dirty and slow", "rude cashier", "terrible queue"], "neutral": ["went on monday", "near the station", "bought rice"]}
+    rows = [(draw.choice(t), k) for k, t in texts.items() for _ in range(20)] + [("unlabelled", None)]
+    head = openends.SoftmaxHead.fit(spark.createDataFrame(rows, "t string, label string"), "t", "label")
+    out = head.apply(spark.createDataFrame([("nice clean place",), ("rude and dirty",), ("on monday near the station",), (None,)], "t string"), "t").collect()
+    assert [r.head.label for r in out][:3] == ["pos", "neg", "neutral"] and all(1 / 3 <= r.head.confidence <= 1 for r in out)
+    with pytest.raises(ValueError, match="2 to 100"):
+        openends.SoftmaxHead.fit(spark.createDataFrame(rows[:20], "t string, label string"), "t", "label")
