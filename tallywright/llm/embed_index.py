@@ -1,23 +1,24 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
-Reference vectors (pivots) are drawn from a bounded sample. A vector is described by the order of its
-nearest pivots: it is posted in the inverted list of its nearest one and looks for partners in the lists
-of its PREFIX nearest. Where lists by one pivot would grow long, a list belongs to a set of two or three
-pivots: a vector is posted in that of its nearest and looks in those of all such sets of its PREFIX
-nearest, so the lists stay short and the rows grow in proportion to the vectors. Only pairs that share
-at least SHARED of their PREFIX nearest pivots are verified by cosine in double precision. Lists are
-worked through in blocks that hold a bounded number of posted vectors while the looking ones stream past;
-a block gives counts and a spanning forest of its links, never its pairs.
+Reference vectors (pivots) are drawn from a bounded sample, none close to another. A vector is described by
+its PREFIX nearest pivots. A link is a pair that shares at least SHARED of them and whose cosine in double
+precision reaches the bound; neither the number of vectors nor the way they are laid out enters into it.
+
+Every pair that shares SHARED pivots meets. Pivots have numbers, and a vector stands in the inverted lists of
+its pivots with the lowest numbers, all but the SHARED - 1 last: there a pair has its lowest common pivot. A
+long list is split by a second pivot and again by a third where that makes the lists shorter; a pair then has
+its two or three lowest common pivots in one list. In other lists where it meets it is passed over, so each
+link counts once. Lists are worked through in blocks that hold a bounded number of vectors while those of the
+blocks after them stream past; a block gives counts and a spanning forest of its links, never its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.llm.common import BROADCAST_IDS, stored
@@ -26,12 +27,12 @@ from tallywright.llm.components import components
 COSINE = 0.95
 PREFIX = 8
 SHARED = 3
-#: Pivots by number of vectors, between these bounds; they are drawn from SAMPLE vectors by a hash of vec_id.
-PIVOTS = (64, 1024)
+#: Pivots at most, whatever the number of vectors; they are drawn from SAMPLE vectors by a hash of vec_id.
+PIVOTS = 512
 SAMPLE = 4096
-#: Vectors up to which a list belongs to one pivot, and to two; beyond that to three.
-ONE_PIVOT, TWO_PIVOTS = 1_000_000, 50_000_000
-#: Posted vectors in a block, and looking ones that meet them at a time.
+#: Vectors of a list by one pivot, and of one by two, beyond which it is split by one more. Links don't depend on it.
+ONE_PIVOT, TWO_PIVOTS = 8192, 8192
+#: Vectors that a block holds, and that meet them at a time.
 BLOCK = 2048
 STREAM = 512
 
@@ -46,10 +47,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _spread(sample: np.ndarray, n: int) -> np.ndarray:
-    """n of the sample's rows, each the farthest from those before it."""
+def _spread(sample: np.ndarray, n: int, apart: float) -> np.ndarray:
+    """n of the sample's rows, each the farthest from those before it; fewer where the rest has a cosine of ``apart`` to one.
+
+    Pivots closer than links are long would tell linked vectors apart.
+    """
     chosen, near = [0], sample @ sample[0]
-    for _ in range(min(n, len(sample)) - 1):
+    while len(chosen) < min(n, len(sample)) and near.min() < apart:
         i = int(near.argmin())
         chosen.append(i)
         near = np.maximum(near, sample @ sample[i])
@@ -68,7 +72,7 @@ def usable(vectors: DataFrame, all_rows: bool = False) -> DataFrame:
 
 
 def _described(rows: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
-    """rep, copies, v and near: the ids of the PREFIX nearest pivots, nearest first."""
+    """rep, copies, v and near: the numbers of the PREFIX nearest pivots, lowest first."""
     sent = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,40 +81,66 @@ def _described(rows: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
                 continue
             x = _unit(_matrix(batch.column("v"), dim))
             k = min(PREFIX, len(sent.value))
-            near = np.argsort(-(x @ sent.value.T), axis=1, kind="stable")[:, :k].astype(np.int32)
+            near = np.sort(np.argsort(-(x @ sent.value.T), axis=1, kind="stable")[:, :k], axis=1).astype(np.int32)
             lists = pa.ListArray.from_arrays(np.arange(0, near.size + 1, k, dtype=np.int32), pa.array(near.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), batch.column("v"), lists], ["rep", "copies", "v", "near"])
 
     return rows.mapInArrow(each, f"rep long, copies long, v {dict(rows.dtypes)['v']}, near array<int>")
 
 
-def _list(near: Column, places: tuple[int, ...]) -> Column:
-    """The number of the list that belongs to the pivots at these places of ``near``."""
-    out = F.lit(0).cast("long")
-    for i in range(len(places)):
-        out = out * 4096 + F.get(F.array_sort(F.array(*[F.get(near, p) for p in places])), i)  # there are fewer pivots
-    return out
+def _placed(described: DataFrame, n_pivots: int) -> DataFrame:
+    """list, block, role, rep, copies, v, near: role 0 where a vector is held, 1 where it meets the held ones.
 
+    The pivots of a list are the digits of its number to the base 4096, each plus one. A vector is held in one
+    block of a list and meets those before it.
+    """
+    prefix, shared = min(PREFIX, n_pivots), min(SHARED, n_pivots)
+    bounds = [ONE_PIVOT, TWO_PIVOTS, float("inf")][: shared - 1] + [float("inf")]
+    digit = F.get("near", "at").cast("long") + 1
+    rows = described.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(prefix - shared)))).withColumn("list", digit)
+    out = None
+    for depth, bound in enumerate(bounds, 1):
+        last = prefix - shared + depth
+        sizes = rows.groupBy("list").agg(F.count("*").alias("n")).filter(F.col("n") > min(BLOCK, bound))
+        sizes = stored(sizes, "lists")
+        split, n_split = None, 0
+        if bound < float("inf"):
+            # a split is worth while where it leaves fewer pairs that meet
+            long = sizes.filter(F.col("n") > bound).withColumnRenamed("list", "of")
+            parted = rows.join(F.broadcast(long), F.col("list") == F.col("of"))  # no more than there are sets of pivots
+            parted = parted.withColumn("at", F.explode(F.sequence(F.col("at") + 1, F.lit(last)))).withColumn("list", F.col("of") * 4096 + digit)
+            parts = parted.groupBy("of", "n", "list").agg(F.count("*").alias("m")).groupBy("of", "n").agg(F.sum(F.col("m") * F.col("m")).alias("after"))
+            split = stored(parts.filter(F.col("after") < F.col("n") * F.col("n")).select("of"), "split")
+            n_split = split.count()
+        if n_split:
+            sizes = sizes.join(F.broadcast(split), F.col("list") == F.col("of"), "left_anti")
+        blocks = sizes.filter(F.col("n") > BLOCK).select(F.col("list").alias("large"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
+        n_blocks = blocks.count()
+        if n_blocks <= BROADCAST_IDS:
+            blocks = F.broadcast(blocks)
+        here = rows.join(F.broadcast(split), F.col("list") == F.col("of"), "left_anti") if n_split else rows
+        if n_blocks:
+            here = here.join(blocks, F.col("list") == F.col("large"), "left")
+            own = F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1).cast("long")))
+            here = here.withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), "own"))).withColumn("role", (F.col("block") < F.col("own")).cast("int"))
+        else:
+            here = here.withColumn("block", F.lit(0).cast("long")).withColumn("role", F.lit(0))
+        here = here.select("list", "block", "role", "rep", "copies", "v", "near")
+        out = here if out is None else out.union(here)
+        if not n_split:
+            break
+        rows = rows.join(F.broadcast(split), F.col("list") == F.col("of"))
+        rows = rows.withColumn("at", F.explode(F.sequence(F.col("at") + 1, F.lit(last)))).withColumn("list", F.col("of") * 4096 + digit).drop("of")
+    return out
 
-def _linked(described: DataFrame, dim: int, n_pivots: int, cosine: float, depth: int) -> DataFrame:
-    """(rep, n, other): links counted with their copies, and one edge of a spanning forest, null if none.
 
-    A list belongs to ``depth`` pivots.
-    """
-    shared = min(SHARED, n_pivots)
-    depth, prefix = min(depth, n_pivots), min(PREFIX, n_pivots)
-    near = F.col("near")
-    posted = described.withColumn("list", _list(near, tuple(range(depth))))
-    blocks = posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    if blocks.count() <= BROADCAST_IDS:
-        blocks = F.broadcast(blocks)
-    home = posted.join(blocks, "list").select("list", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), F.lit(0).alias("role"), "rep", "copies", "v", "near")
-    sets = F.array(*[_list(near, c) for c in combinations(range(prefix), depth)])
-    look = described.withColumn("list", F.explode(sets)).join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("list", "block", F.lit(1).alias("role"), "rep", "copies", "v", "near")
-    rows = home.union(look).repartition("list", "block").sortWithinPartitions("list", "block", "role")
+def _linked(described: DataFrame, dim: int, n_pivots: int, cosine: float) -> DataFrame:
+    """(rep, n, other): links counted with their copies, and one edge of a spanning forest, null if none."""
+    shared, words = min(SHARED, n_pivots), -(-n_pivots // 64)
+    rows = _placed(described, n_pivots).repartition("list", "block").sortWithinPartitions("list", "block", "role", "near")
 
     def bits(near: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(near), -(-n_pivots // 64)), np.uint64)
+        out = np.zeros((len(near), words), np.uint64)
         for j in range(near.shape[1]):
             out[np.arange(len(near)), near[:, j] >> 6] |= np.uint64(1) << (near[:, j] & 63).astype(np.uint64)
         return out
@@ -119,6 +149,12 @@ def _linked(described: DataFrame, dim: int, n_pivots: int, cosine: float, depth:
         near = np.asarray(batch.column("near").flatten().to_numpy(zero_copy_only=False)).reshape(batch.num_rows, -1)
         return batch.column("rep").to_numpy(), batch.column("copies").to_numpy(), _unit(_matrix(batch.column("v"), dim)), near, bits(near)
 
+    def shares(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(q), len(x)), np.int16)
+        for w in range(words):
+            out += np.bitwise_count(q[:, None, w] & x[None, :, w])
+        return out
+
     def counted(link: np.ndarray, q: np.ndarray, q_copies: np.ndarray, x: np.ndarray, x_copies: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Each one's links and the least id of its component inside the block."""
         most, low_q, low_x = np.iinfo(np.int64).max, q.copy(), x.copy()
@@ -131,40 +167,60 @@ def _linked(described: DataFrame, dim: int, n_pivots: int, cosine: float, depth:
         for ids, n, low in ((q, link @ x_copies, low_q), (x, q_copies @ link, low_x)):
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(low, mask=low == ids)], ["rep", "n", "other"])
 
+    def meet(number: int, looking: tuple, held: tuple, itself: int | None = None) -> Iterator[pa.RecordBatch]:
+        """Links of the list between the looking and the held; ``itself``: where the looking stand among the held."""
+        pivots = []
+        while number:
+            number, d = divmod(number, 4096)
+            pivots.insert(0, d - 1)
+        depth = len(pivots)
+        q_rep, q_copies, q, q_near, q_mask = looking
+        rep, copies, x, near, mask = held if itself is None else (p[: itself + len(q)] for p in held)
+        at = np.arange(len(rep))
+        if len(at) > STREAM and (q_near[0, :depth] == q_near[-1, :depth]).all() and (q_near[0, :depth] != pivots).any():
+            # rows are sorted, so all that look have these lowest pivots; they meet those with the same in the list of these
+            at = np.flatnonzero((near[:, :depth] != q_near[0, :depth]).any(1))
+        link = (q @ x[at].T >= cosine) & (q_rep[:, None] != rep[None, at])
+        if itself is not None:
+            link &= itself + np.arange(len(q))[:, None] > at[None, :]
+        for checked in (False, True):
+            a, b = np.flatnonzero(link.any(1)), np.flatnonzero(link.any(0))
+            if not len(a):
+                return
+            link, at = link[np.ix_(a, b)], at[b]
+            q_rep, q_copies, q_mask = q_rep[a], q_copies[a], q_mask[a]
+            if not checked:
+                below = np.array([(1 << min(max(pivots[-1] - 64 * w, 0), 64)) - 1 for w in range(words)], np.uint64)  # those before the list's last
+                link &= (shares(q_mask, mask[at]) >= shared) & (shares(q_mask & below, mask[at] & below) == depth - 1)
+        yield from counted(link, q_rep, q_copies, rep[at], copies[at])
+
+    def among(number: int, held: tuple) -> Iterator[pa.RecordBatch]:
+        for s in range(0, len(held[0]), STREAM):
+            yield from meet(number, tuple(p[s : s + STREAM] for p in held), held, s)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, ready = None, [], None
+        now, gathered, held = None, [], None
         for batch in batches:
             lists, block, role = (batch.column(c).to_numpy() for c in ("list", "block", "role"))
             cut = np.flatnonzero((np.diff(lists) != 0) | (np.diff(block) != 0) | (np.diff(role) != 0)) + 1
             for at, to in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
                 if at == to:
                     continue
-                key = (lists[at], block[at])
+                key = (int(lists[at]), int(block[at]))
+                if gathered and (key != now or role[at]):  # all that the block holds is there
+                    if key == now or sum(g.num_rows for g in gathered) > 1:
+                        held = tuple(np.concatenate(p) for p in zip(*map(load, gathered)))
+                        yield from among(now[0], held)
+                    gathered = []
                 if key != now:
-                    now, held, ready = key, [], None
-                if role[at] == 0:
-                    held.append(load(batch.slice(at, to - at)))
-                    continue
-                if not held:
-                    continue
-                if ready is None:
-                    ready = tuple(np.concatenate(p) for p in zip(*held))
-                rep, copies, x, near, mask = ready
-                for s in range(at, to, STREAM):
-                    q_rep, q_copies, q, q_near, q_mask = load(batch.slice(s, min(STREAM, to - s)))
-                    common = np.bitwise_count(q_mask[:, None, 0] & mask[None, :, 0]).astype(np.int16)
-                    for w in range(1, mask.shape[1]):
-                        common += np.bitwise_count(q_mask[:, None, w] & mask[None, :, w])
-                    link = (common >= shared) & (q @ x.T >= cosine)
-                    # The posted one looks for the other where the other's list is among its own; such a pair meets twice and counts once.
-                    twice = np.ones(link.shape, bool)
-                    for first in q_near[:, :depth].T:
-                        twice &= (mask.T[first >> 6] >> (first & 63).astype(np.uint64)[:, None]) & np.uint64(1) == 1
-                    link &= (q_rep[:, None] < rep[None, :]) | (~twice & (q_rep[:, None] != rep[None, :]))
-                    a, b = np.flatnonzero(link.any(1)), np.flatnonzero(link.any(0))
-                    if not len(a):
-                        continue
-                    yield from counted(link[np.ix_(a, b)], q_rep[a], q_copies[a], rep[b], copies[b])
+                    now, held = key, None
+                if not role[at]:
+                    gathered.append(batch.slice(at, to - at))
+                elif held is not None:
+                    for s in range(at, to, STREAM):
+                        yield from meet(key[0], load(batch.slice(s, min(STREAM, to - s))), held)
+        if gathered:
+            yield from among(now[0], tuple(np.concatenate(p) for p in zip(*map(load, gathered))))
 
     return rows.mapInArrow(each, "rep long, n long, other long")
 
@@ -186,15 +242,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     reps = ids.groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     groups = ready.groupBy("h", "g").agg(F.first("v").alias("v")).join(reps, ["h", "g"])
     groups = stored(groups.select("v", "rep", "copies", "h", "g"), "vectors")
-    counts = {r.dim: r.n for r in groups.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    dims = sorted(r.dim for r in groups.select(F.size("v").alias("dim")).distinct().collect())
     found = None
-    for dim, n in sorted(counts.items()):
+    for dim in dims:
         rows = groups.filter(F.size("v") == dim)
         sample = rows.select("v", F.xxhash64("rep").alias("h")).orderBy("h").limit(SAMPLE).toPandas()
-        wanted = min(PIVOTS[1], max(PIVOTS[0], 1 << max(0, (n // 200)).bit_length()))
-        pivots = _spread(_unit(np.stack(sample["v"].to_list()).astype(np.float64)), wanted)
-        depth = 1 if n <= ONE_PIVOT else 2 if n <= TWO_PIVOTS else 3
-        links = _linked(stored(_described(rows, pivots, dim), "described"), dim, len(pivots), cosine, depth)
+        pivots = _spread(_unit(np.stack(sample["v"].to_list()).astype(np.float64)), PIVOTS, 2 * cosine - 1)  # twice a link's squared length apart
+        links = _linked(stored(_described(rows, pivots, dim), "described"), dim, len(pivots), cosine)
         found = links if found is None else found.union(links)
     if found is None:
         found = spark.createDataFrame([], "rep long, n long, other long")

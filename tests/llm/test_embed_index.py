@@ -75,3 +75,32 @@ def test_empty_and_null_ids(spark):
     assert embed_index.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
     rows = embed_index.near_duplicates(spark.createDataFrame([(None, [1.0]), (1, [1.0]), (1, [1.0]), (2, [1.0])], "vec_id long, embedding array<float>")).collect()
     assert sorted(map(tuple, rows), key=str) == sorted([(None, 0, None, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)], key=str)
+
+
+def test_links_do_not_depend_on_the_layout(spark, monkeypatch):
+    """Lists by one, two or three pivots, in short or long blocks: the same rows, and at least 0.98 of all links."""
+    draw = np.random.Generator(np.random.PCG64(12))
+    base = draw.normal(size=(1500, 16))
+    x = np.concatenate((base, base[:700] + draw.uniform(0.2, 0.35, (700, 1)) * draw.normal(size=(700, 16)), 3 * base[0] + 0.3 * draw.normal(size=(200, 16))))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = int((x @ x.T >= 0.95).sum()) - len(x)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").cache()
+    got = []
+    for one, two, block in ((10**9, 10**9, 2048), (10**9, 10**9, 24), (0, 10**9, 2048), (0, 0, 2048), (0, 0, 8)):
+        monkeypatch.setattr(embed_index, "ONE_PIVOT", one)
+        monkeypatch.setattr(embed_index, "TWO_PIVOTS", two)
+        monkeypatch.setattr(embed_index, "BLOCK", block)
+        got.append(sorted(map(tuple, embed_index.near_duplicates(df).collect())))
+    assert all(g == got[0] for g in got)
+    assert true >= sum(r[1] for r in got[0]) >= 0.98 * true > 1000
+
+
+def test_pivots_are_apart(spark):
+    """More vectors than pivots on a sphere: linked ones share their nearest pivots all the same."""
+    x = np.random.Generator(np.random.PCG64(13)).normal(size=(3000, 3))
+    assert len(embed_index._spread(x / np.linalg.norm(x, axis=1, keepdims=True), embed_index.PIVOTS, 0.9)) < 100
+    x = x[:400]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute(rows)
