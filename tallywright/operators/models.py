@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions import multiplicity, tails
 from tallywright.operators.crosstab import text_of
-from tallywright.operators.ordered import quantiles, running
+from tallywright.operators.ordered import quantiles, quantiles_of, running
 
 MAX_COMBINATIONS = 1_500_000
 #: Patterns of respondents that the branch and bound takes to the driver.
@@ -21,6 +23,8 @@ MAX_PATTERNS = 1_000_000
 MAX_PAIRS = 20_000
 #: Without ties p is exact for up to so many values in the smaller sample and pairs of both (Mann-Whitney), or differences (Wilcoxon).
 EXACT_SAMPLE, EXACT_PAIRS, EXACT_DIFFERENCES = 8, 10_000, 50
+#: Quadrants rank the target in slices of so many rows, by at most so many cuts; bins are digits of four bits, so many in a number.
+SLICE_ROWS, CUTS, DIGITS = 400_000, 4_096, 15
 
 
 def _one(df: DataFrame, **values) -> DataFrame:
@@ -378,26 +382,82 @@ def relative_weights(df: DataFrame, target: str, predictors: list[str], weight:
 QUADRANTS = {(True, True): "Q2", (True, False): "Q1", (False, True): "Q4", (False, False): "Q3"}
 
 
+def _rank_sums(df: DataFrame, edges: list[np.ndarray], bins: list[int]) -> DataFrame:
+    """(i, bin, c, s, ss): count, sum and sum of squares of y's midranks, less their mean, by bin of each of the columns x0, x1, ...
+
+    A row has the bins ``bins`` of its values among ``edges`` as one digit a column and goes once to its slice of
+    y's range. Slices are ranked by themselves, then shifted by what lies below; sketched cuts only place them.
+    """
+    n, cuts = df.agg(F.count("*"), F.percentile_approx("y", F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)]), F.lit(4 * CUTS))).first()
+    slices = min(CUTS, 1 + n // SLICE_ROWS)
+    cuts = np.array([cuts[CUTS * i // slices - 1] for i in range(1, slices)], float)
+    words = [range(start, min(start + DIGITS, len(edges))) for start in range(0, len(edges), DIGITS)]
+    names = ["slice", "y", *[f"c{j}" for j in range(len(words))]]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y = b.column("y").to_numpy()
+            cols = [pa.array(np.searchsorted(cuts, y).astype(np.int32)), pa.array(y)]
+            for word in words:
+                code = np.zeros(len(y), np.int64)
+                for i in word:
+                    x = b.column(f"x{i}")
+                    digit = np.where(x.is_valid().to_numpy(zero_copy_only=False), 1 + np.searchsorted(edges[i], x.fill_null(0).to_numpy()), 0)
+                    code |= digit << 4 * (i % DIGITS)
+                cols.append(pa.array(code))
+            alike = pa.table(cols, names).group_by(names, use_threads=False).aggregate([([], "count_all")])
+            yield from alike.select([*names, "count_all"]).rename_columns([*names, "k"]).to_batches()
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy() for c in b.columns] for b in batches]
+        if not parts:
+            return
+        piece, y, *codes, k = [np.concatenate(c) for c in zip(*parts)]
+        del parts
+        for p in np.unique(piece):
+            here = np.flatnonzero(piece == p)
+            values, spot = np.unique(y[here], return_inverse=True)
+            for i in range(len(edges)):
+                digit = codes[i // DIGITS][here] >> 4 * (i % DIGITS) & 15
+                m = np.where(digit > 0, k[here], 0).astype(float)
+                each = np.bincount(spot, m, len(values))
+                r = (np.cumsum(each) - (each - 1) / 2)[spot]
+                c, s, ss = (np.bincount(digit, t, 1 + bins[i])[1:] for t in (m, m * r, m * r * r))
+                some = np.flatnonzero(c)
+                yield pa.record_batch([pa.array(np.full(len(some), p)), pa.array(np.full(len(some), i, np.int32)), pa.array(some.astype(np.int32)), *[pa.array(t[some]) for t in (c, s, ss)]], ["slice", "i", "bin", "c", "s", "ss"])
+
+    dealt = df.mapInArrow(deal, ", ".join(["slice int, y double", *[f"{c} long" for c in names[2:]], "k long"]))
+    sums = dealt.repartition(slices, "slice").mapInArrow(rank, "slice int, i int, bin int, c double, s double, ss double")
+    own = Window.partitionBy("i").orderBy("slice").rangeBetween(Window.unboundedPreceding, -1)  # a row per slice and bin
+    sums = sums.withColumn("b", F.coalesce(F.sum("c").over(own), F.lit(0.0)) - (F.sum("c").over(Window.partitionBy("i")) + 1) / 2)
+    b, c, s = F.col("b"), F.col("c"), F.col("s")
+    return sums.groupBy("i", "bin").agg(F.sum("c").alias("c"), F.sum(s + b * c).alias("s"), F.sum(F.col("ss") + 2 * b * s + b * b * c).alias("ss"))
+
+
 def quadrants(df: DataFrame, target: str, attributes: list[str], weight: str | None = None) -> DataFrame:
     """Importance and performance: rank, attribute, performance, h, importance, quadrant and the cut-offs.
 
     Performance is the (weighted) mean, importance an attribute's share of the rank statistics of the
-    target over its values (quartile bins beyond ten). All attributes are unpivoted into one job.
+    target over its values (quartile bins beyond ten). Values are counted first; then each row is ranked once for all attributes.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    pairs = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("double").alias("x")) for a in attributes])
-    t = df.select(F.col(target).cast("double").alias("y"), w.alias("w"), F.explode(pairs).alias("p")).select("y", "w", "p.attribute", "p.x").filter("x is not null and y is not null")
-    stats = t.groupBy("attribute").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("performance"), F.count_distinct("x").alias("k"), F.count("*").alias("n"))
-    few = stats.agg(F.min("n")).first()[0] or 0
-    if few < 10:
-        raise ValueError("each attribute needs ten answers")
-    cuts = quantiles(t, F.col("x"), [0.25, 0.5, 0.75], ["attribute"], few=True).withColumnRenamed("attribute", "of")
-    stats = F.broadcast(stats.join(F.broadcast(cuts), F.col("attribute") == F.col("of")).drop("of"))  # one row per attribute
-    b = t.join(stats, "attribute").withColumn("bin", F.when(F.col("k") <= 10, F.col("x")).otherwise(F.size(F.filter(F.array_distinct("q"), lambda e: e < F.col("x"))).cast("double")))
-    c = b.groupBy("attribute", "bin", "y").agg(F.count("*").cast("double").alias("c"))
-    y = c.groupBy("attribute", "y").agg(F.sum("c").alias("yc"))
-    y = running(y, "y", "yc", ["attribute"], few=True).withColumn("r", (2 * F.col("upto") - F.col("yc") + 1) / 2)
-    g = c.join(y, ["attribute", "y"]).groupBy("attribute", "bin").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("r")).alias("s"), F.sum(F.col("c") * F.col("r") * F.col("r")).alias("ss"))
+    df = df.select(F.col(target).cast("double").alias("y"), w.alias("w"), *[F.col(a).cast("double").alias(f"x{i}") for i, a in enumerate(attributes)]).filter("y is not null")
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"x{i}").alias("_x")) for i in range(len(attributes))])
+    cells = df.select("w", F.explode(pairs).alias("p")).select("w", "p.i", "p._x").filter("_x is not null").groupBy("i", "_x").agg(F.sum("w").alias("w"), F.count("*").alias("_k")).persist()
+    try:
+        # up to ten values are all among the percentiles of the distinct ones
+        values = F.array_distinct(F.percentile_approx("_x", F.array(*[F.lit(i / 100) for i in range(1, 101)]), F.lit(10_000)))
+        stats = cells.groupBy("i").agg((F.sum(F.col("w") * F.col("_x")) / F.sum("w")).alias("performance"), F.count("*").alias("k"), F.sum("_k").alias("n"), values.alias("few")).collect()
+        if min((r.n for r in stats), default=0) < 10:
+            raise ValueError("each attribute needs ten answers")
+        cuts = {r.i: r.q for r in quantiles_of(cells.select("i", "_x", "_k"), [0.25, 0.5, 0.75], ["i"], few=True).collect()} if any(r.k > 10 for r in stats) else {}
+    finally:
+        cells.unpersist()
+    stats.sort(key=lambda r: r.i)
+    edges = [np.unique(np.array(r.few if r.k <= 10 else cuts[r.i], float)) for r in stats]
+    g = _rank_sums(df.select("y", *[F.col(f"x{r.i}").alias(f"x{j}") for j, r in enumerate(stats)]), edges, [len(e) + (r.k > 10) for e, r in zip(edges, stats)])
+    stats = F.broadcast(df.sparkSession.createDataFrame([(j, attributes[r.i], r.performance) for j, r in enumerate(stats)], "i int, attribute string, performance double"))
+    g = g.join(stats.select("i", "attribute"), "i")
     h = g.groupBy("attribute").agg(F.sum(F.col("s") * F.col("s") / F.col("c")).alias("a"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), (F.count("*") - 1).alias("df"))
     centred = F.col("s") * F.col("s") / F.col("c")
     h = h.select(F.col("attribute").alias("of"), "df", F.greatest(F.lit(0.001), F.coalesce((F.col("a") - centred) * (F.col("c") - 1) / F.when(F.col("ss") > centred, F.col("ss") - centred), F.lit(0.0))).alias("h"))

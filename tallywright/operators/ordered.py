@@ -50,8 +50,13 @@ def quantiles(df: DataFrame, value: Column, shares: list[float], by: list[str] =
 
     Values are counted first. Without ``by`` there is one row, or none if there are no values.
     """
-    by = list(by)
     counts = df.select(*by, value.cast("double").alias("_x")).filter("_x is not null").groupBy(*by, "_x").agg(F.count("*").alias("_k"))
+    return quantiles_of(counts, shares, by, out, few)
+
+
+def quantiles_of(counts: DataFrame, shares: list[float], by: list[str] = (), out: str = "q", few: bool = False) -> DataFrame:
+    """``quantiles`` of distinct values ``_x`` that occur ``_k`` times."""
+    by = list(by)
     counts = running(counts, "_x", "_k", by, few=few)
     total = counts.groupBy(*by).agg(F.max("upto").alias("_n"))
     t = _matched(counts, total, by, few)

@@ -194,6 +194,34 @@ def test_quadrants(spark):
     assert q[0].importance_cut == 25.0 and sum(r.importance for r in q) == pytest.approx(100, abs=0.1) and [r["rank"] for r in q] == [1, 2, 3, 4]
 
 
+def test_quadrants_in_slices(spark, monkeypatch):
+    """Against ranks by pandas: nulls, ties, NaN, quartile bins, weights, more columns than fit in one number; rows are not multiplied."""
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(models, "SLICE_ROWS", 50)
+    draw = random.Random(2)
+    names = [f"a{i}" for i in range(17)]
+    some = lambda x: None if draw.random() < 0.1 else x
+    for scale in (1000, 3):
+        rows = [(some(float(draw.randrange(scale))), draw.random(), *[some(float(draw.randrange(-3, 4 + 3 * i))) for i in range(16)], 7.0) for _ in range(700)]
+        rows[0] = (float("nan"), *rows[0][1:])
+        df = spark.createDataFrame(rows, "y double, w double, " + ", ".join(f"{n} double" for n in names))
+        out = models.quadrants(df, "y", names, "w")
+        assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got = {r.attribute: r for r in out.collect()}
+        assert set(got) == set(names)
+        for i, n in enumerate(names):
+            y, w, x = (np.array(v) for v in zip(*[(1e9 if r[0] != r[0] else r[0], r[1], r[2 + i]) for r in rows if r[0] is not None and r[2 + i] is not None]))
+            bins = x if len(set(x)) <= 10 else np.searchsorted(np.unique(np.quantile(x, [0.25, 0.5, 0.75])), x)
+            r = pd.Series(y).rank() - (len(y) + 1) / 2
+            h = (r.groupby(bins).sum() ** 2 / r.groupby(bins).count()).sum() * (len(y) - 1) / (r * r).sum()
+            assert got[n].h == pytest.approx(max(0.001, h), rel=1e-9) and got[n].df == len(set(bins)) - 1
+            assert got[n].performance == pytest.approx((w * x).sum() / w.sum(), abs=0.0051)
+    with pytest.raises(ValueError, match="ten answers"):
+        models.quadrants(df.limit(5), "y", names)
+
+
 def test_exact_rank_tests(spark):
     """p values of small samples without ties, against all orders and all signs."""
     from itertools import combinations, product
